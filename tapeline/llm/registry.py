@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, quality, toxicity
 
-_MODULES = (mixing, packing)
+_MODULES = (mixing, packing, toxicity, quality)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
