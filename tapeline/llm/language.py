@@ -156,7 +156,6 @@ def predict(net: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     langs: list[str] = []
     scores = []
     for first, raws in batches([t.lower() if t else t for t in texts], 1 << 19):
-        # Padding comes after a window's bytes; the way back starts with it, so windows are turned to start at their last byte.
         data, sizes, owner = windows(raws)
         sums = np.zeros((len(raws), len(net["classes"])))
         np.add.at(sums, owner, position_sums(net, data, sizes))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import jpeg, language, mixing, packing, quality, toxicity
+from . import jpeg, language, mixing, packing, pii, quality, toxicity
 
-_MODULES = (mixing, packing, language, toxicity, quality, jpeg)
+_MODULES = (mixing, packing, language, toxicity, quality, jpeg, pii)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
