@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch; texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
+#: And bytes, where rows hold arrays.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a Python worker turns into arrays at once; a longer text is a batch of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -23,12 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows (texts can be long) and sees that a checkpoint folder is set.
+    """Bounds Arrow batches by rows and bytes (texts can be long) and sees that a checkpoint folder is set.
 
     The folder is the one the cluster names in spark.checkpoint.dir; one of our own is set only where none is, as in tests.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
