@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import jpeg, language, mixing, packing, pii, quality, topk, toxicity
+from . import jaccard, jpeg, language, mixing, packing, pii, quality, topk, toxicity
 
-_MODULES = (mixing, packing, topk, language, toxicity, quality, jpeg, pii)
+_MODULES = (mixing, packing, topk, language, jaccard, toxicity, quality, jpeg, pii)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
