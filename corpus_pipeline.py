@@ -1,8 +1,76 @@
-"""Stages that turn `documents` into packed training sequences."""
+"""Stages that turn `documents` into packed training sequences. Each works on all that the one before it kept.
 
-STAGES = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeline.llm import jaccard, mixing, packing, pii, toxicity
+from tapeline.llm.common import prepared, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity field doesn't take for toxic; null and empty texts stay. Rows of a doc_id that scores as toxic in any of them go."""
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return docs.select(COLUMNS).join(found.filter("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of 0.8 or more over five-word shingles join, the document of the smallest id.
+
+    Texts without words are in no group and stay. Repeated rows of a kept doc_id stay too.
+    """
+    found = jaccard.similar(docs, k=5, percent=80)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by pseudonyms; n_chars follows the text."""
+    return pii.pseudonymise(docs.select(COLUMNS)).withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: its taken words over its words, rounded half up; none for those not taken.
+
+    A source's taken words are whole passes and one part of a pass, so only the document that the part ends in is rounded.
+    """
+    plan = mixing.mix(docs).filter("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    plan = plan.groupBy("doc_id").agg(F.max("times").alias("times")).filter("times > 0")
+    return docs.select(COLUMNS).join(plan, "doc_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with the sequence they go to and their place in it."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the learned stage nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What each stage kept is written to the shared checkpoint folder and read again."""
+    prepared(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ from .quality import sample
 #: Weights; a hashed feature has one of so many.
 SPACE = 1 << 18
 #: Labelled rows to learn from at most: those of the least hash of their id.
-SAMPLE = 5000
+SAMPLE = 3000
 #: Tokens of a chain at most; a longer text is cut into several.
 CHAIN = 64
 #: Bytes at a token's start that are features by themselves.
@@ -63,7 +63,7 @@ def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.minimum(CHAIN, np.repeat(first[1:], n) - begin)
     steps = np.arange(CHAIN)
     on = steps < size[:, None]
-    return np.where(on, begin[:, None] + steps, 0), on
+    return np.where(on, begin[:, None] + steps, 0).astype(np.int32), on
 
 
 def marginals(emit: np.ndarray, on: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +96,20 @@ def label_tokens(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.
     """Labels of tokens from labels of documents: a token of a toxic document is toxic if one of its own features is
     found in toxic documents nearly alone, by counts of documents."""
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-    own = found[:, : 1 + len(PREFIXES)]
-    flat = np.unique(doc[:, None].astype(np.int64) * SPACE + own)
-    d, f = flat // SPACE, flat % SPACE
-    inside, outside = (np.bincount(f[toxic[d] == k], minlength=SPACE) for k in (1, 0))
+    inside, outside = np.zeros(SPACE), np.zeros(SPACE)
+    for column in range(1 + len(PREFIXES)):
+        flat = np.unique(doc * SPACE + found[:, column])
+        d, f = flat // SPACE, flat % SPACE
+        inside += np.bincount(f[toxic[d] == 1], minlength=SPACE)
+        outside += np.bincount(f[toxic[d] == 0], minlength=SPACE)
     share = toxic.mean() if len(toxic) else 0.5
     # At least three documents, and odds 30 times those of a document drawn at random.
     sure = (inside >= 3) & ((inside + 0.1) / (outside + 0.1) >= 30 * share / max(1 - share, 1e-9))
     sure[0] = False
-    return (sure[own].any(1) & (toxic[doc] == 1)).astype(np.float64)
+    marked = np.zeros(len(found), bool)
+    for column in range(1 + len(PREFIXES)):
+        marked |= sure[found[:, column]]
+    return (marked & (toxic[doc] == 1)).astype(np.float64)
 
 
 def summary(p: np.ndarray, index: np.ndarray, on: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +170,8 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 12, rate: fl
             w0 -= rate * gb / np.sqrt(g0)
     model["weights"], model["link"], model["constant"] = w.astype(np.float32), link, np.asarray(w0)
     each = []
-    for k in range(0, len(index), 20_000):
-        i, m = index[k : k + 20_000], on[k : k + 20_000]
+    for k in range(0, len(index), 2000):
+        i, m = index[k : k + 2000], on[k : k + 2000]
         each.append(marginals(np.where(m, w[found[i]].sum(2) + w0, 0.0), m, link)[0])
     _, x = summary(np.concatenate(each) if each else np.zeros((0, CHAIN)), index, on, first)
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
