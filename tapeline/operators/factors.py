@@ -132,7 +132,7 @@ def sector_factors(bars: DataFrame, flow: DataFrame, events: DataFrame, members:
     w = W.by("sector_code")
     df = df.withColumns({
         **{f"flow_{n}d": F.round(W.rolling_sum("net_inflow", n, w), 2) for n in (3, 5, 10)},
-        "volatility_20d": F.when(W.rolling_count("mean_change", 20, w) >= 2, F.round(W.rolling_std("mean_change", 20, w), 5)),
+        "volatility_20d": F.when(W.rolling_count("mean_change", 20, w) >= 2, F.round(W.rolling_std("mean_change", 20, w), 8)),
         "volume_anomaly": F.round(F.col("volume") / F.when(W.prior_mean("volume", 5, w) != 0, W.prior_mean("volume", 5, w)), 6), "inflow_share": F.col("inflow_members") / F.col("members") * 100,
     })
     df = W.streak(df, F.col("net_inflow") > 0, "inflow_streak", ("sector_code",)).withColumn("fund_strength", F.round(W.cume_pct("net_inflow"), 6))

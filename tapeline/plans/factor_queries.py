@@ -70,7 +70,7 @@ select sector_code, trade_date, net_inflow, rising, limit_ups, members, mean_cha
 from (select *, cast(case when up then sum(case when up then 1 else 0 end) over (partition by sector_code, island order by trade_date) else 0 end as bigint) as inflow_streak,
     round(case when net_inflow is not null then cume_dist() over (partition by trade_date, net_inflow is null order by net_inflow) * 100 end, 6) as fund_strength from (
   select *, round(sum(net_inflow) over (w rows between 2 preceding and current row), 2) as flow_3d, round(sum(net_inflow) over (w rows between 4 preceding and current row), 2) as flow_5d, round(sum(net_inflow) over (w rows between 9 preceding and current row), 2) as flow_10d,
-    case when count(mean_change) over (w rows between 19 preceding and current row) >= 2 then round(stddev_pop(mean_change) over (w rows between 19 preceding and current row), 5) end as volatility_20d,
+    case when count(mean_change) over (w rows between 19 preceding and current row) >= 2 then round(stddev_pop(mean_change) over (w rows between 19 preceding and current row), 8) end as volatility_20d,
     round(volume / nullif(avg(volume) over (w rows between 5 preceding and 1 preceding), 0), 6) as volume_anomaly, inflow_members / members * 100 as inflow_share, coalesce(net_inflow > 0, false) as up, sum(case when coalesce(net_inflow > 0, false) then 0 else 1 end) over (w) as island
   from (select sector_code, b.trade_date, cast(sum(cast(main_net_inflow as decimal(20,2))) as double) as net_inflow, count(*) filter (change_pct > 0) as rising, count(up) as limit_ups, count(*) as members, round(avg(change_pct), 6) as mean_change, sum(volume_hand) as volume, count(*) filter (main_net_inflow > 0) as inflow_members
     from member_bars b left join flow f on f.stock_code = b.stock_code and f.trade_date = b.trade_date left join (select distinct stock_code, trade_date, 1 as up from limit_events where event_type = 'limit_up') u on u.stock_code = b.stock_code and u.trade_date = b.trade_date group by 1, 2)
@@ -84,13 +84,13 @@ def _frames(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
 def index_bars(spark: SparkSession, d: str) -> DataFrame:
     """Indexes: the mean prices of each region's stocks by day."""
     b = D.bars(spark, d).join(F.broadcast(D.stocks(spark, d).select("stock_code", "region_key")), "stock_code")
-    df = b.groupBy(F.concat(F.lit("IDX"), F.col("region_key")).alias("index_code"), "trade_date").agg(*[F.round(F.avg(c), 2).alias(c) for c in ("open_price", "high_price", "low_price", "close_price")], F.sum("volume_hand").alias("volume_hand"), F.sum(F.col("amount_yuan").cast("decimal(18,2)")).cast("double").alias("amount_yuan"))
+    df = b.groupBy(F.concat(F.lit("IDX"), F.col("region_key")).alias("index_code"), "trade_date").agg(*[(F.sum(F.col(c).cast("decimal(18,8)")).cast("double") / F.count("*")).alias(c) for c in ("open_price", "high_price", "low_price", "close_price")], F.sum("volume_hand").alias("volume_hand"), F.sum(F.col("amount_yuan").cast("decimal(18,2)")).cast("double").alias("amount_yuan"))
     return df.withColumn("pre_close_price", F.lag("close_price").over(W.by("index_code")))
 
 
 INDEX = """
 select *, lag(close_price) over (partition by index_code order by trade_date) as pre_close_price from (
-  select 'IDX' || region_key as index_code, trade_date, round(avg(open_price), 2) as open_price, round(avg(high_price), 2) as high_price, round(avg(low_price), 2) as low_price, round(avg(close_price), 2) as close_price, cast(sum(volume_hand) as bigint) as volume_hand, cast(sum(cast(amount_yuan as decimal(18,2))) as double) as amount_yuan
+  select 'IDX' || region_key as index_code, trade_date, cast(sum(cast(open_price as decimal(18,8))) as double) / count(*) as open_price, cast(sum(cast(high_price as decimal(18,8))) as double) / count(*) as high_price, cast(sum(cast(low_price as decimal(18,8))) as double) / count(*) as low_price, cast(sum(cast(close_price as decimal(18,8))) as double) / count(*) as close_price, cast(sum(volume_hand) as bigint) as volume_hand, cast(sum(cast(amount_yuan as decimal(18,2))) as double) as amount_yuan
   from bars b join stocks s on s.stock_code = b.stock_code group by 1, 2)"""
 
 
