@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import factor_queries, insight_queries
+from . import factor_queries, insight_queries, strategy_queries
 
-_MODULES = (factor_queries, insight_queries)
+_MODULES = (factor_queries, insight_queries, strategy_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
