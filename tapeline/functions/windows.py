@@ -12,52 +12,54 @@ def by(*keys: str, order: str | list = "trade_date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*(order if isinstance(order, list) else [order]))
 
 
-STOCK = by("stock_code")
+def _of(w: WindowSpec | None) -> WindowSpec:
+    """The window given, or that of a stock by day; made when asked for, as it needs a session."""
+    return w if w is not None else by("stock_code")
 
 
-def sma(col: str | Column, n: int, w: WindowSpec = STOCK) -> Column:
+def sma(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     """Mean of the last n rows, fewer at the start."""
-    return F.avg(col).over(w.rowsBetween(1 - n, 0))
+    return F.avg(col).over(_of(w).rowsBetween(1 - n, 0))
 
 
-def prior_mean(col: str | Column, n: int = 5, w: WindowSpec = STOCK) -> Column:
+def prior_mean(col: str | Column, n: int = 5, w: WindowSpec | None = None) -> Column:
     """Mean of the n rows before this one."""
-    return F.avg(col).over(w.rowsBetween(-n, -1))
+    return F.avg(col).over(_of(w).rowsBetween(-n, -1))
 
 
-def lag_k(col: str | Column, k: int, w: WindowSpec = STOCK) -> Column:
-    return F.lag(col, k).over(w)
+def lag_k(col: str | Column, k: int, w: WindowSpec | None = None) -> Column:
+    return F.lag(col, k).over(_of(w))
 
 
-def rolling_std(col: str | Column, n: int = 20, w: WindowSpec = STOCK) -> Column:
-    return F.stddev_pop(col).over(w.rowsBetween(1 - n, 0))
+def rolling_std(col: str | Column, n: int = 20, w: WindowSpec | None = None) -> Column:
+    return F.stddev_pop(col).over(_of(w).rowsBetween(1 - n, 0))
 
 
-def rolling_extreme(col: str | Column, n: int, fn: str = "max", w: WindowSpec = STOCK) -> Column:
-    return getattr(F, fn)(col).over(w.rowsBetween(1 - n, 0))
+def rolling_extreme(col: str | Column, n: int, fn: str = "max", w: WindowSpec | None = None) -> Column:
+    return getattr(F, fn)(col).over(_of(w).rowsBetween(1 - n, 0))
 
 
-def prior_extreme(col: str | Column, n: int, fn: str = "max", w: WindowSpec = STOCK) -> Column:
+def prior_extreme(col: str | Column, n: int, fn: str = "max", w: WindowSpec | None = None) -> Column:
     """Extreme of the n rows strictly before this one."""
-    return getattr(F, fn)(col).over(w.rowsBetween(-n, -1))
+    return getattr(F, fn)(col).over(_of(w).rowsBetween(-n, -1))
 
 
-def history_days(w: WindowSpec = STOCK) -> Column:
-    return F.row_number().over(w)
+def history_days(w: WindowSpec | None = None) -> Column:
+    return F.row_number().over(_of(w))
 
 
-def guarded(expr: Column, source: str | Column, n: int, w: WindowSpec = STOCK) -> Column:
+def guarded(expr: Column, source: str | Column, n: int, w: WindowSpec | None = None) -> Column:
     """expr, where none of the last n rows (or all there are) lacks its source."""
     source = F.col(source) if isinstance(source, str) else source
-    return F.when(F.count(source).over(w.rowsBetween(1 - n, 0)) == F.least(history_days(w), F.lit(n)), expr)
+    return F.when(F.count(source).over(_of(w).rowsBetween(1 - n, 0)) == F.least(history_days(w), F.lit(n)), expr)
 
 
-def rolling_sum(col: str | Column, n: int, w: WindowSpec = STOCK) -> Column:
-    return F.sum(col).over(w.rowsBetween(1 - n, 0))
+def rolling_sum(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
+    return F.sum(col).over(_of(w).rowsBetween(1 - n, 0))
 
 
-def rolling_count(col: str | Column, n: int, w: WindowSpec = STOCK) -> Column:
-    return F.count(col).over(w.rowsBetween(1 - n, 0))
+def rolling_count(col: str | Column, n: int, w: WindowSpec | None = None) -> Column:
+    return F.count(col).over(_of(w).rowsBetween(1 - n, 0))
 
 
 def streak(df: DataFrame, condition: Column, out: str, keys: tuple[str, ...] = ("stock_code",), order: str = "trade_date") -> DataFrame:
@@ -75,7 +77,7 @@ def cume_pct(col: str, by_: str = "trade_date") -> Column:
     return F.when(F.col(col).isNotNull(), F.cume_dist().over(w) * 100)
 
 
-def rsi_simple(delta: Column, n: int = 14, w: WindowSpec = STOCK) -> Column:
+def rsi_simple(delta: Column, n: int = 14, w: WindowSpec | None = None) -> Column:
     """Relative strength by simple means of gains and losses; 100 where there are only gains."""
     gain = sma(F.greatest(delta, F.lit(0.0)), n, w)
     loss = sma(F.greatest(-delta, F.lit(0.0)), n, w)
@@ -145,9 +147,9 @@ def change_points(df: DataFrame, key: list[str], order: str, state: str) -> Data
     return df.filter((F.col("_n") > 1) & ~F.col(state).eqNullSafe(F.col("previous_state"))).drop("_n")
 
 
-def crossed_up(a: str, b: str, w: WindowSpec = STOCK) -> Column:
+def crossed_up(a: str, b: str, w: WindowSpec | None = None) -> Column:
     """a was not above b on the row before, and is now."""
-    return (F.lag(a).over(w) <= F.lag(b).over(w)) & (F.col(a) > F.col(b))
+    return (F.lag(a).over(_of(w)) <= F.lag(b).over(_of(w))) & (F.col(a) > F.col(b))
 
 
 def forward_compound(col: str, h: int, w: WindowSpec) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import windows as W
 from .factors import KEY, membership_asof
 
-DAY = Window.orderBy("trade_date")  # for frames of one row a day only
+def per_day() -> WindowSpec:
+    """For frames of one row a day only."""
+    return Window.orderBy("trade_date")
 
 
 def ratio(a: Column | str, b: Column | str, scale: float = 100) -> Column:
@@ -237,7 +239,7 @@ def emotion_scores(percentiles: DataFrame, least: int = 60) -> DataFrame:
 def emotion_stages(scores: DataFrame, raw: DataFrame, limits: dict[str, float] = THRESHOLDS) -> DataFrame:
     """Primary stage by priority ice, retreat, climax, recovery, active; auxiliary state. Days without both scores are left out."""
     df = scores.filter("short_score is not null and risk_score is not null").join(raw, "trade_date")
-    high, slope = W.recent_high_and_slope("short_score", DAY)
+    high, slope = W.recent_high_and_slope("short_score", per_day())
     df = df.withColumns({"_high": high, "slope": slope})
     s, r, t = F.col("short_score"), F.col("risk_score"), limits
     downs, ups = F.col("qualified_limit_down_count"), F.col("natural_limit_up_count")
@@ -256,7 +258,7 @@ def emotion_stages(scores: DataFrame, raw: DataFrame, limits: dict[str, float] =
 def forward_validation(scores: DataFrame, raw: DataFrame) -> DataFrame:
     """By bucket of the short score: sample, mean next-day breadth, and mean compounded index return over one and three days."""
     df = raw.select("trade_date", "up_ratio_pct", "core_index_trend")
-    df = df.withColumns({"next_breadth": F.lead("up_ratio_pct").over(DAY), "t1": W.forward_compound("core_index_trend", 1, DAY), "t3": W.forward_compound("core_index_trend", 3, DAY)})
+    df = df.withColumns({"next_breadth": F.lead("up_ratio_pct").over(per_day()), "t1": W.forward_compound("core_index_trend", 1, per_day()), "t3": W.forward_compound("core_index_trend", 3, per_day())})
     df = scores.filter("short_score is not null").join(df, "trade_date")
     bucket = F.when(F.col("short_score") < 40, "low").when(F.col("short_score") < 70, "middle").otherwise("high")
     return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("days"), F.count("next_breadth").alias("sample_t1"), F.round(F.avg("next_breadth"), 6).alias("mean_breadth"), F.round(F.avg("t1"), 6).alias("mean_t1"), F.count("t3").alias("sample_t3"), F.round(F.avg("t3"), 6).alias("mean_t3"))

@@ -204,7 +204,7 @@ def w20(spark, d):
 
 
 def w21(spark, d):
-    return D.bars(spark, d).select("stock_code", "trade_date", F.round(W.forward_compound("change_pct", 3, W.STOCK), 6).alias("forward_3"))
+    return D.bars(spark, d).select("stock_code", "trade_date", F.round(W.forward_compound("change_pct", 3, W.by("stock_code")), 6).alias("forward_3"))
 
 
 def w22(spark, d):

@@ -126,7 +126,7 @@ from (select *, case when coalesce(train_trades, 0) < 30 or coalesce(test_trades
   select trial, changes, any_value(trades) filter (split = 'train') as train_trades, any_value(win_rate) filter (split = 'train') as train_win_rate, any_value(mean_return) filter (split = 'train') as train_mean_return, any_value(wilson) filter (split = 'train') as train_wilson, any_value(trades) filter (split = 'test') as test_trades, any_value(win_rate) filter (split = 'test') as test_win_rate, any_value(mean_return) filter (split = 'test') as test_mean_return, any_value(wilson) filter (split = 'test') as test_wilson,
     abs(any_value(win_rate) filter (split = 'train') - any_value(win_rate) filter (split = 'test')) as drift from results group by 1, 2))"""
 ALL = N.ALL | {
-    "ev": _frame(""), "rk": RANK, "evt": _frame("rk"), "screened": SCREENED, "sig": "select stock_code, trade_date, idx as "at" from crossed join calendar using (trade_date)", "crossed": Q.TABLE["w20_crossed_up"][1], "nb": "select stock_code, idx, open_price, close_price from bars join calendar using (trade_date)",
+    "ev": _frame(""), "rk": RANK, "evt": _frame("rk"), "screened": SCREENED, "sig": 'select stock_code, trade_date, idx as "at" from crossed join calendar using (trade_date)', "crossed": Q.TABLE["w20_crossed_up"][1], "nb": "select stock_code, idx, open_price, close_price from bars join calendar using (trade_date)",
     "outcomes": OUT, "tf": "select o.*, volume_ratio, close_position from outcomes o join f1 f on f.stock_code = o.stock_code and f.trade_date = o.trade_date", "grid": GRID, "fin": END, "results": EVAL,
 }
 
