@@ -18,9 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field doesn't take for toxic; null and empty texts stay. Rows of a doc_id that scores as toxic in any of them go."""
-    found = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return docs.select(COLUMNS).join(found.filter("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the toxicity field doesn't take for toxic; null and empty texts stay. Each row of a repeated doc_id is judged by its own text."""
+    return toxicity.clean(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

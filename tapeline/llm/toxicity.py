@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,6 +229,20 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "spans")
 
 
+def clean(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text and more) that don't score as toxic, as they are; each row is judged where it is read, and none moves."""
+    spark = prepared(docs.sparkSession)
+    known = sample(docs, labels, "toxic", rows)
+    model = spark.sparkContext.broadcast(train(known["text"].tolist(), known["label"].to_numpy()))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            scores = [apply(model.value, raws)[0] for _, raws in batches(part.column("text").to_pylist())]
+            yield part.filter(pa.array(np.concatenate(scores) < 0.5)) if scores else part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
