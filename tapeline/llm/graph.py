@@ -16,8 +16,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     checkpoint folder. Null ends are dropped; loops and repeated edges do no harm; no edges give no rows.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null").distinct())
-    last = None
-    for _ in range(rounds):
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    last = state(now)
+    for _ in range(rounds if last[0] else 0):
         both = now.union(now.select("v", "u")).filter("u <> v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,9 +28,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v")
         now = stored(small.union(loops).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == last:
+        before, last = last, state(now)
+        if last == before:
             break
-        last = state
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(found.select("component", "component")).groupBy("node").agg(F.min("component").alias("component"))

@@ -8,6 +8,7 @@ fewer candidates; each document takes the l whose estimated cost is least, and a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,11 @@ from .common import batches, mix, prepared, stored, table, words_of
 from .graph import components
 
 #: Counters of the sketch that estimates how many documents a shingle is in, and counters in a row of it.
-COUNTERS, ROW = 1 << 20, 1 << 14
+COUNTERS, ROW = 1 << 22, 1 << 16
 #: Prefix lengths to choose from, by the matches that they ask for.
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Documents of a shingle up to which each pair is emitted; more are one bundle by their first.
-PAIRS_UP_TO = 24
+PAIRS_UP_TO = 64
 #: Documents that are compared in one task; larger bundles are dealt into a grid of such blocks.
 BLOCK = 768
 
@@ -83,7 +84,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), "c1": _longs(np.concatenate([p[1][0] for p in parts] or [np.zeros(0, np.uint64)])), "c2": _longs(np.concatenate([p[1][1] for p in parts] or [np.zeros(0, np.uint64)])), "row": None, "counts": None})
         rows = [r for r in range(COUNTERS // ROW) if sketch[r * ROW : (r + 1) * ROW].any()]
         for r in rows:
-            yield pd.DataFrame({"doc_id": [None], "n": [None], "c1": [None], "c2": [None], "row": [r], "counts": [sketch[r * ROW : (r + 1) * ROW].tobytes()]})
+            yield pd.DataFrame({"doc_id": [None], "n": [None], "c1": [None], "c2": [None], "row": [r], "counts": [zlib.compress(sketch[r * ROW : (r + 1) * ROW].tobytes(), 1)]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, row int, counts binary")
 
@@ -95,7 +96,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for row, counts in zip(frame["row"], frame["counts"], strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(counts, np.int32).astype(np.float32)
+                sums[row] = sums.get(row, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.float32)
         for row, total in sums.items():
             yield pd.DataFrame({"row": [row], "counts": [total.tobytes()]})
 
@@ -159,64 +160,72 @@ def postings(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
 
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """a1, a2, b1, b2, need, hot: pairs of sets that share a prefix shingle.
+    """a1, a2, b1, b2, hot: pairs of sets that share as many prefix shingles as they must.
 
     lists is dealt by token and sorted by it, and its runs are read as they come. A shingle of up to PAIRS_UP_TO sets gives
     those of their pairs whose sizes and places leave room for enough overlap; a shingle of more sets ties each to the first (hot), for a bundle that is compared whole.
     """
 
-    def pairs(c: np.ndarray, n: np.ndarray, at: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
-        i, j = np.triu_indices(len(n), 1)
-        most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-        # overlap / (n_i + n_j - overlap) >= percent / 100
-        ok = (100 + percent) * most.astype(np.int64) >= percent * (n[i].astype(np.int64) + n[j])
-        return i[ok], j[ok], np.minimum(l[i], l[j])[ok]
+    def room(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether overlap / (n_i + n_j - overlap) >= percent / 100 can still be: what lies before the places, this one, what lies behind."""
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        return (100 + percent) * most >= percent * (n[i] + n[j])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["token", "c1", "c2", "n", "at", "l"]
-        rest, first = None, None  # rows of the last token so far; if they are many, the first row they are tied to
+        rest, first = None, None  # rows of the last token so far; or, if they are many, the token and the row that they are tied to
 
         def emit(rows: dict[str, np.ndarray], final: bool) -> Iterator[pd.DataFrame]:
-            """Runs of rows that are known whole; the last run stays unless final."""
+            """Pairs of runs that are known whole; the last run stays unless final. Runs of one size are worked on together."""
             nonlocal rest, first
-            token = rows["token"]
-            cut = np.flatnonzero(np.diff(token)) + 1
-            bounds = np.concatenate([[0], cut, [len(token)]])
-            out, hot = [], []
-            last = len(bounds) - 2
-            for r in np.flatnonzero((np.diff(bounds) > 1) | (np.arange(last + 1) == last)):
-                s = slice(bounds[r], bounds[r + 1])
-                c = np.stack([rows["c1"][s], rows["c2"][s]], 1)
-                n, at, l = rows["n"][s], rows["at"][s], rows["l"][s]  # noqa: E741
-                new = np.ones(len(c), bool)
-                new[1:] = (c[1:] != c[:-1]).any(1)
-                c, n, at, l = c[new], n[new], at[new], l[new]  # noqa: E741
-                if first is not None and first[0] == token[s.start]:
-                    hot.append((np.broadcast_to(first[1], c.shape), c))
-                elif len(c) > PAIRS_UP_TO:
-                    hot.append((np.broadcast_to(c[0], c.shape)[1:], c[1:]))
-                    if r == last and not final:
-                        first = (token[s.start], c[0].copy())
-                elif r == last and not final:
-                    rest = {k: v[s] for k, v in rows.items()}
-                    continue
-                elif len(c) > 1:
-                    i, j, need = pairs(c, n, at, l)
-                    out.append((c[i], c[j], need))
-                if r == last:
-                    rest = None
-            for group, is_hot in ((out, False), (hot, True)):
-                if group:
-                    a, b = np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group])
-                    flip = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-                    a, b = np.where(flip[:, None], b, a), np.where(flip[:, None], a, b)
-                    need = np.ones(len(a), np.int8) if is_hot else np.concatenate([g[2] for g in group])
-                    yield pd.DataFrame({"a1": a[:, 0], "a2": a[:, 1], "b1": b[:, 0], "b2": b[:, 1], "need": need, "hot": is_hot})
+            same = (rows["token"][1:] == rows["token"][:-1]) & (rows["c1"][1:] == rows["c1"][:-1]) & (rows["c2"][1:] == rows["c2"][:-1])
+            rows = {k: v[np.append(True, ~same)] for k, v in rows.items()}
+            token, n, at = rows["token"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
+            left, right, needs, hot = [], [], [], []
+            tied = np.zeros(len(starts), bool)
+            if first is not None:
+                if first[0] == token[0]:
+                    tied[0] = True
+                    k = np.arange(sizes[0])
+                    hot.append((np.broadcast_to(first[1], (len(k), 2)), np.stack([rows["c1"][k], rows["c2"][k]], 1)))
+                if len(starts) > 1 or not tied[0]:
+                    first = None
+            rest = None
+            if not final and not tied[-1] and sizes[-1] <= PAIRS_UP_TO:
+                rest = {k: v[starts[-1] :] for k, v in rows.items()}
+                tied[-1] = True
+            for r in np.flatnonzero(~tied & (sizes > PAIRS_UP_TO)):
+                k = np.arange(starts[r] + 1, starts[r] + sizes[r])
+                head = np.array([rows["c1"][starts[r]], rows["c2"][starts[r]]])
+                hot.append((np.broadcast_to(head, (len(k), 2)), np.stack([rows["c1"][k], rows["c2"][k]], 1)))
+                if r == len(starts) - 1 and not final:
+                    first = (token[starts[r]], head)
+            for m in np.unique(sizes[~tied & (sizes > 1) & (sizes <= PAIRS_UP_TO)]):
+                group = starts[~tied & (sizes == m)]
+                x, y = np.triu_indices(m, 1)
+                i, j = (group[:, None] + x).ravel(), (group[:, None] + y).ravel()
+                ok = room(n, at, i, j)
+                left.append(i[ok])
+                right.append(j[ok])
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                needs.append(np.minimum(rows["l"][i], rows["l"][j]))
+                yield frame_of(np.stack([rows["c1"][i], rows["c2"][i]], 1), np.stack([rows["c1"][j], rows["c2"][j]], 1), needs[0], False)
+            if hot:
+                a, b = np.concatenate([h[0] for h in hot]), np.concatenate([h[1] for h in hot])
+                yield frame_of(a, b, np.ones(len(a), np.int8), True)
+
+        def frame_of(a: np.ndarray, b: np.ndarray, need: np.ndarray, is_hot: bool) -> pd.DataFrame:
+            flip = ((a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])))[:, None]
+            a, b = np.where(flip, b, a), np.where(flip, a, b)
+            return pd.DataFrame({"a1": a[:, 0], "a2": a[:, 1], "b1": b[:, 0], "b2": b[:, 1], "need": need, "hot": is_hot})
 
         held: list[pd.DataFrame] = []
         for frame in frames:
             held.append(frame)
-            if sum(map(len, held)) < 20_000:
+            if sum(map(len, held)) < 100_000:
                 continue
             frame, held = pd.concat(held), []
             rows = {k: frame[k].to_numpy() for k in names}
@@ -231,25 +240,11 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     sorted_lists = lists.repartition("token").sortWithinPartitions("token", "c1", "c2")
     found = sorted_lists.mapInPandas(run, "a1 long, a2 long, b1 long, b2 long, need byte, hot boolean")
     matched = found.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.max("hot").alias("hot"))
-    return matched.filter((F.col("shared") >= F.col("need")) | F.col("hot")).select("a1", "a2", "b1", "b2")
-
-
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the shingles' hashes, sorted, as bytes."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for _, raws in batches(frame["text"].tolist()):
-                h, at = shingles(raws, k)
-                out += [h[at[i] : at[i + 1]].tobytes() for i in range(len(raws))]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "hashes": out})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, hashes binary")
+    return matched.filter((F.col("shared") >= F.col("need")) | F.col("hot")).select("a1", "a2", "b1", "b2", "hot")
 
 
 def compare(ids: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets: all overlaps by products of their incidence in columns."""
+    """What the links among these sets connect, as pairs with the smallest: all overlaps by products of their incidence in columns."""
     m = len(ids)
     if m < 2:
         return []
@@ -260,7 +255,7 @@ def compare(ids: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tup
     row = np.repeat(np.arange(m), n)[often[column]]
     column = place[column[often[column]]]
     overlap = np.zeros((m, m), np.float32)
-    width = max(256, (1 << 22) // m)
+    width = min(max(256, (1 << 22) // m), max(1, int(often.sum())))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for lo in range(0, int(often.sum()), width):
@@ -279,28 +274,38 @@ def compare(ids: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tup
             x = parent[x]
         return x
 
-    out = []
     for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
         rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((int(ids[x]), int(ids[y])))
+        parent[max(rx, ry)] = min(rx, ry)
+    # Each document with the smallest of those that it hangs together with here: stars, which need no more rounds.
+    groups: dict[int, list[int]] = {}
+    for x in np.flatnonzero(linked_any(i[linked], j[linked], m)):
+        groups.setdefault(root(x), []).append(int(ids[x]))
+    return [(min(g), x) for g in groups.values() for x in g if x != min(g)]
+
+
+def linked_any(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether each of m documents is in a link."""
+    out = np.zeros(m, bool)
+    out[i] = out[j] = True
     return out
 
 
-def links(bundles: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect what the documents' links connect. bundles: key, doc_id, hashes; a key's rows are bounded."""
+def links(bundles: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links that connect what the documents' links connect. bundles: key, doc_id, text; a key's rows are bounded."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, hashes = None, [], []
         for frame in frames:
-            out = []
-            for k, doc_id, raw in zip(frame["key"], frame["doc_id"], frame["hashes"], strict=True):
-                if k != key:
-                    out += compare(np.array(ids), hashes, percent)
-                    key, ids, hashes = k, [], []
-                ids.append(doc_id)
-                hashes.append(np.frombuffer(raw, np.uint64))
+            out, keys, docs = [], frame["key"].tolist(), frame["doc_id"].tolist()
+            for lo, raws in batches(frame["text"].tolist()):
+                h, at = shingles(raws, k)
+                for i in range(len(raws)):
+                    if keys[lo + i] != key:
+                        out += compare(np.array(ids), hashes, percent)
+                        key, ids, hashes = keys[lo + i], [], []
+                    ids.append(docs[lo + i])
+                    hashes.append(h[at[i] : at[i + 1]].copy())
             yield pd.DataFrame(out, columns=["a", "b"])
         yield pd.DataFrame(compare(np.array(ids), hashes, percent), columns=["a", "b"])
 
@@ -308,12 +313,12 @@ def links(bundles: DataFrame, percent: int) -> DataFrame:
 
 
 def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids. A filter of a bounded number of bits first drops nearly all others where
+    """The rows of docs joined to those of ids (doc_id and more). A filter of a bounded number of bits first drops nearly all others where
     they are read, so that their texts aren't shuffled for the join."""
     count = ids.count()
-    bits = 1 << min(24, max(10, (8 * max(count, 1) - 1).bit_length()))
+    bits = 1 << min(24, max(10, (16 * max(count, 1) - 1).bit_length()))
     place = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(bits))
-    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("mask")).collect()
+    words = ids.select("doc_id").distinct().select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("mask")).collect()
     table_ = np.zeros(bits // 32, np.int64)
     for w in words:
         table_[w["word"]] = w["mask"]
@@ -325,7 +330,30 @@ def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield frame[(flags.value[p // 32] >> (p % 32)) & 1 == 1][["doc_id", "text"]]
 
     near = docs.select("doc_id", "text", place.alias("_place")).mapInPandas(run, "doc_id long, text string")
-    return near.join(ids, "doc_id", "left_semi")
+    # Dealt once by doc_id, for dropping repeated rows and for the join.
+    return near.repartition("doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h").join(ids, "doc_id")
+
+
+def bundled(near: DataFrame) -> DataFrame:
+    """doc_id, key: for each candidate pair a key that both have, and no key of more than about BLOCK documents.
+
+    Pairs that hang together are compared together where they are few. Of larger components, pairs from rare shingles go by
+    their first document, and documents of one frequent shingle are dealt by hash into blocks, each two of which share a key.
+    """
+    group = stored(components(near))
+    large = group.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    small = group.join(large, "component", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").cast("string").alias("key"))
+    nodes = group.join(large, "component", "left_semi").select(F.col("node").alias("a"))
+    rest = stored(near.join(nodes, "a", "left_semi"))
+    stars = rest.filter("not hot").select("a", F.concat(F.lit("p"), F.col("a").cast("string")).alias("key"), "b")
+    stars = stars.select(F.col("b").alias("doc_id"), "key").union(stars.select(F.col("a").alias("doc_id"), "key")).distinct()
+    hot = stored(components(rest.filter("hot")))
+    sizes = hot.groupBy("component").agg(F.ceil(F.count("*") * 2 / BLOCK).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
+    dealt = hot.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # With more than one block, a block also meets itself within each of its pairs.
+    dealt = dealt.filter((F.col("parts") == 1) | (F.col("own") != F.col("other")))
+    grid = dealt.select(F.col("node").alias("doc_id"), F.concat_ws("-", F.lit("h"), "component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    return small.union(stars).union(grid)
 
 
 def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -344,17 +372,9 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # Sets by the smallest document that has them.
     classes = stored(of_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
     name = lambda x: classes.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("rep").alias(x))
-    near = pairs.join(name("a"), ["a1", "a2"]).join(name("b"), ["b1", "b2"]).select("a", "b")
-    bundles = stored(components(near))
-    reps = bundles.select(F.col("node").alias("doc_id"))
-    sets = sets_of(needed(docs, reps).dropDuplicates(["doc_id"]), k)
-    # A bundle of more than a block is dealt into blocks by hash, and each two blocks are compared in a task of their own.
-    sizes = bundles.groupBy("component").agg(F.ceil(F.count("*") * 2 / BLOCK).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    dealt = bundles.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # With more than one block, a block also meets itself within each of its pairs.
-    dealt = dealt.filter((F.col("parts") == 1) | (F.col("own") != F.col("other")))
-    keyed = dealt.select(F.col("node").alias("doc_id"), F.concat_ws("-", "component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    true_links = stored(links(keyed.join(sets, "doc_id").select("key", "doc_id", "hashes"), percent))
+    near = stored(pairs.join(name("a"), ["a1", "a2"]).join(name("b"), ["b1", "b2"]).select("a", "b", "hot"))
+    keyed = stored(bundled(near))
+    true_links = stored(links(needed(docs, keyed).select("key", "doc_id", "text"), k, percent))
     joined = components(true_links).select(F.col("node").alias("rep"), "component")
     final = classes.join(joined, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     out = of_docs.join(final, ["c1", "c2"], "left")
