@@ -61,11 +61,11 @@ def raw_sector(spark, d):
 def multi(spark, d):
     """Bars three times, of sources with different priorities and times."""
     b = D.bars(spark, d).select(*KEY, "close_price")
-    parts = [b.filter(cond).withColumns({"source": F.lit(s), "updated_at": F.expr(f"timestamp'2022-06-01' + make_interval(0, 0, 0, {k} * dayofmonth(trade_date))"), "close_price": F.col("close_price") + k}) for k, (s, cond) in enumerate((("tushare", "dayofmonth(trade_date) % 3 <> 0"), ("eastmoney", "true"), ("legacy", "true")))]
+    parts = [b.filter(cond).withColumns({"source": F.lit(s), "updated_at": F.expr(f"timestamp'2022-06-01' + make_interval(0, 0, 0, {k} * dayofmonth(trade_date))"), "close_price": F.col("close_price") + k}) for k, (s, cond) in enumerate((("primary", "dayofmonth(trade_date) % 3 <> 0"), ("secondary", "true"), ("legacy", "true")))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-MULTI = " union all ".join(f"select stock_code, trade_date, close_price + {k} as close_price, '{s}' as source, timestamp '2022-06-01' + to_days(cast({k} * day(trade_date) as integer)) as updated_at from bars where {c}" for k, (s, c) in enumerate((("tushare", "day(trade_date) % 3 <> 0"), ("eastmoney", "true"), ("legacy", "true"))))
+MULTI = " union all ".join(f"select stock_code, trade_date, close_price + {k} as close_price, '{s}' as source, timestamp '2022-06-01' + to_days(cast({k} * day(trade_date) as integer)) as updated_at from bars where {c}" for k, (s, c) in enumerate((("primary", "day(trade_date) % 3 <> 0"), ("secondary", "true"), ("legacy", "true"))))
 
 
 def old_new(spark, d):
@@ -154,7 +154,7 @@ TABLE = {
     "c32_missing_keys": (lambda s, d: U.missing_keys(D.bars(s, d), D.basic(s, d), KEY), "select stock_code, trade_date from bars except select stock_code, trade_date from basic"),
     "c33_completion": (lambda s, d: U.completion(audit(s, d)), "select trade_date, case when idx % 5 = 1 then 'limit_list,suspend' else 'limit_list,stk_limit,suspend' end as capabilities, case when idx % 5 = 0 then 1 else 0 end::bigint as zero_days from calendar"),
     "p01_eligible": (lambda s, d: D.stocks(s, d).filter("status = 'active' and not is_st").select("stock_code", "exchange"), "select stock_code, exchange from stocks where status = 'active' and not is_st and exchange in ('SH', 'SZ')"),
-    "p02_canonical_rows": (lambda s, d: U.canonical_rows(multi(s, d), KEY, ["tushare", "eastmoney"]).select(*KEY, "source", "close_price"), "select stock_code, trade_date, source, close_price from (select *, row_number() over (partition by stock_code, trade_date order by case source when 'tushare' then 1 when 'eastmoney' then 2 else 3 end, updated_at desc) as n from multi) where n = 1"),
+    "p02_canonical_rows": (lambda s, d: U.canonical_rows(multi(s, d), KEY, ["primary", "secondary"]).select(*KEY, "source", "close_price"), "select stock_code, trade_date, source, close_price from (select *, row_number() over (partition by stock_code, trade_date order by case source when 'primary' then 1 when 'secondary' then 2 else 3 end, updated_at desc) as n from multi) where n = 1"),
     "p03_latest_per_key": (lambda s, d: U.latest_per_key(D.bars(s, d), ["stock_code"], [F.desc("trade_date")]).select(*KEY, "close_price"), "select stock_code, max(trade_date) as trade_date, arg_max(close_price, trade_date) as close_price from bars group by 1"),
     "p04_filter_range": (lambda s, d: R.filter_range(D.bars(s, d), "2020-03-01", "2020-06-30", ["000001", "000002", "000007"]).select(*KEY, "close_price"), B + " where trade_date between date '2020-03-01' and date '2020-06-30' and stock_code in ('000001', '000002', '000007')"),
     "p05_composite_in": (lambda s, d: R.restrict(D.bars(s, d).select(*KEY, "close_price"), Q.ups(s, d)), B + " where (stock_code, trade_date) in (select (stock_code, trade_date) from upd)"),
