@@ -81,8 +81,8 @@ def snaps(spark, d):
 
 
 def grid_parts(spark, d):
-    days = D.calendar(spark, d).filter("idx between 51 and 60")
-    return days, D.stocks(spark, d), D.limit_events(spark, d).filter("event_type = 'suspend'")
+    """Every open day, the stocks, and where they are suspended."""
+    return D.calendar(spark, d), D.stocks(spark, d), D.limit_events(spark, d).filter("event_type = 'suspend'")
 
 
 def assets(spark, d):
@@ -168,7 +168,7 @@ TABLE = {
     "p15_daily_fact": (lambda s, d: R.daily_fact(D.bars(s, d), D.basic(s, d), D.flow(s, d)), "select stock_code, trade_date, close_price, turnover_rate, main_net_inflow, round(volume_hand / m, 6) as volume_ratio, turnover_rate is not null as has_basic, main_net_inflow is not null as has_flow, main_net_inflow / greatest(amount_yuan, 1) * 100 as net_ratio from (select *, avg(volume_hand) over (partition by stock_code order by trade_date rows between 5 preceding and 1 preceding) as m from bars) left join basic using (stock_code, trade_date) left join flow using (stock_code, trade_date)"),
     "j02_left_chain": (lambda s, d: D.bars(s, d).select(*KEY).join(D.flow(s, d), KEY, "left").join(D.adjust(s, d), KEY, "left"), "select stock_code, trade_date, main_net_inflow, big_order_net_inflow, super_large_net_inflow, adj_factor from bars left join flow using (stock_code, trade_date) left join adjust using (stock_code, trade_date)"),
     "j03_having_event": (lambda s, d: R.restrict(D.bars(s, d).select(*KEY, "close_price"), D.limit_events(s, d).filter("event_type = 'limit_break'").select(*KEY)), B + " b where exists (select 1 from limit_events e where e.stock_code = b.stock_code and e.trade_date = b.trade_date and event_type = 'limit_break')"),
-    "j05_date_universe": (lambda s, d: R.date_universe(D.calendar(s, d).filter("idx between 51 and 60"), D.stocks(s, d), D.bars(s, d)), "select stock_code, trade_date, b.p is not null as present from grid left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date)"),
+    "j05_date_universe": (lambda s, d: R.date_universe(D.calendar(s, d), D.stocks(s, d), D.bars(s, d)), "select stock_code, trade_date, b.p is not null as present from grid left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date)"),
     "j08_last_n": (lambda s, d: R.last_n_agg(D.bars(s, d), 20), "select stock_code, round(avg(close_price), 6) as mean_close, count(*) as rows from (select *, row_number() over (partition by stock_code order by trade_date desc) as n from bars) where n <= 20 group by 1"),
     "j11_forward_path": (lambda s, d: R.forward_path(Q.ups(s, d), D.bars(s, d), D.calendar(s, d), 3), "select u.stock_code, u.trade_date as signal_date, cast(d.idx - c.idx as bigint) as day, b.trade_date, close_price from upd u join calendar c using (trade_date) join calendar d on d.idx between c.idx + 1 and c.idx + 3 join bars b on b.stock_code = u.stock_code and b.trade_date = d.trade_date"),
     "j12_resolve_leader": (lambda s, d: R.resolve_leader(D.members(s, d).join(D.stocks(s, d).select("stock_code", "stock_name", "region_key"), "stock_code").groupBy("sector_code").agg(F.max("stock_name").alias("lead_stock")), members_named(s, d).filter("stock_code < '000090'")), "select sector_code, lead_stock, m.stock_code as leader_code from (select sector_code, max(stock_name) as lead_stock from members join stocks using (stock_code) group by 1) f left join (select sector_code, stock_name as lead_stock, stock_code from members join stocks using (stock_code) where stock_code < '000090') m using (sector_code, lead_stock)"),

@@ -136,9 +136,8 @@ def f09(spark, d):
 
 
 def f10(spark, d):
-    """Backfill of one window: days whose factors aren't there are computed in one job over their history."""
-    cal = D.calendar(spark, d)
-    target = D.bars(spark, d).join(F.broadcast(cal.filter("idx between 101 and 120").select("trade_date")), "trade_date", "left_semi")
+    """Backfill of all days: those whose factors aren't there are computed in one job over their history."""
+    target = D.bars(spark, d)
     ready = f01(spark, d).filter("stock_code <= '000050' and history_days % 2 = 0").select("stock_code", "trade_date")
     todo = target.select("stock_code", "trade_date").join(ready, ["stock_code", "trade_date"], "left_anti")
     return f01(spark, d).join(todo, ["stock_code", "trade_date"], "left_semi").select("stock_code", "trade_date", "ma20", "return_1d")
