@@ -53,10 +53,16 @@ def stale_days(stats: DataFrame, calendar: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(calendar.select(F.col("trade_date").alias("_d"))), F.col("_d") > F.col("latest"), "left").groupBy("asset", "latest").agg(F.count("_d").alias("stale_days"))
 
 
-def asset_summary(stats: DataFrame, stale: DataFrame, expected: int) -> DataFrame:
-    df = stats.join(stale.select("asset", "stale_days"), "asset")
-    share = F.col("stocks_at_latest") / expected
-    return df.withColumn("status", F.when(F.coalesce("rows", F.lit(0)) == 0, "empty").when(F.col("stale_days") > 0, "stale").when(share >= 0.98, "ok").when(share >= 0.8, "partial").otherwise("limited"))
+def _expected(stocks: DataFrame) -> DataFrame:
+    """One row: how many stocks the master has, which coverage expects of each asset and day."""
+    return F.broadcast(stocks.agg(F.countDistinct("stock_code").alias("_expected")))
+
+
+def asset_summary(stats: DataFrame, stale: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Each asset's status by its lag and by the share of the master's stocks on its latest day."""
+    df = stats.join(stale.select("asset", "stale_days"), "asset").crossJoin(_expected(stocks))
+    share = F.col("stocks_at_latest") / F.col("_expected")
+    return df.withColumn("status", F.when(F.coalesce("rows", F.lit(0)) == 0, "empty").when(F.col("stale_days") > 0, "stale").when(share >= 0.98, "ok").when(share >= 0.8, "partial").otherwise("limited")).drop("_expected")
 
 
 def daily_health(coverage_: DataFrame) -> DataFrame:
@@ -66,11 +72,11 @@ def daily_health(coverage_: DataFrame) -> DataFrame:
     return df.groupBy("trade_date").agg(*[F.max(F.when(F.col("asset") == n, F.col("status"))).alias(n) for n in names])
 
 
-def readiness(counts: DataFrame, expected: int) -> DataFrame:
-    """By day: complete, degraded or blocked by core, enhancement and optional assets, and what is missing."""
-    r = {n: F.col(n) / expected for n in ("bars", "basic", "flow")}
+def readiness(counts: DataFrame, stocks: DataFrame) -> DataFrame:
+    """By day: complete, degraded or blocked by core, enhancement and optional assets, and what is missing; shares are of the master's stocks."""
+    r = {n: F.col(n) / F.col("_expected") for n in ("bars", "basic", "flow")}
     low = F.concat_ws(",", F.when(r["bars"] < 0.95, "bars"), F.when(r["basic"] < 0.90, "basic"), F.when(r["flow"] < 0.85, "flow"))
-    return counts.select("trade_date", F.when(r["bars"] < 0.95, "blocked").when((r["basic"] < 0.90) | (r["flow"] < 0.85), "degraded").otherwise("complete").alias("status"), low.alias("missing"))
+    return counts.crossJoin(_expected(stocks)).select("trade_date", F.when(r["bars"] < 0.95, "blocked").when((r["basic"] < 0.90) | (r["flow"] < 0.85), "degraded").otherwise("complete").alias("status"), low.alias("missing"))
 
 
 def unit_audit(flow: DataFrame) -> DataFrame:

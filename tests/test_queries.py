@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.plans import registry
 
@@ -54,3 +55,25 @@ def test_all_days_are_covered(spark, name, cut):
     sql = registry.ORACLES[name]
     assert sql.count(cut) == 1
     assert by_spark(registry.QUERIES[name](spark, FOLDER)) == by_sql(sql.replace(cut, ""))
+
+
+@pytest.mark.parametrize("n", [10, 1000])
+def test_expected_stocks_follow_the_master(spark, n):
+    """850 of 1,000 stocks missing is no complete day; 10 of 10 is one."""
+    from tapeline.operators import quality as A
+
+    stocks = spark.range(n).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("stock_code"))
+    counts = spark.createDataFrame([(1, n, n, n), (2, n * 15 // 100, n, n), (3, n, n * 8 // 10, n)], "trade_date long, bars long, basic long, flow long")
+    got = {r.trade_date: (r.status, r.missing) for r in A.readiness(counts, stocks).collect()}
+    assert got == {1: ("complete", ""), 2: ("blocked", "bars"), 3: ("degraded", "basic")}
+    stats = spark.createDataFrame([("a", 5, n), ("b", 5, n * 9 // 10), ("c", 5, n // 10), ("d", 0, 0)], "asset string, rows long, stocks_at_latest long")
+    stale = stats.select("asset", F.lit(0).alias("stale_days"))
+    assert {r.asset: r.status for r in A.asset_summary(stats, stale, stocks).collect()} == {"a": "ok", "b": "partial", "c": "limited", "d": "empty"}
+
+
+@pytest.mark.parametrize("name", ["q05_asset_summary", "q07_readiness"])
+def test_shares_by_the_size_of_the_table(spark, name):
+    """The SQL twin divides by 100, right for sf0.01 only; by the number of stocks of this table it agrees."""
+    sql = registry.ORACLES[name]
+    n = duckdb.sql(f"select count(*) from '{FOLDER}/supplier.parquet'").fetchall()[0][0]
+    assert by_spark(registry.QUERIES[name](spark, FOLDER)) == by_sql(sql.replace("/ 100 ", f"/ {n} "))
