@@ -159,7 +159,7 @@ TABLE = {
     "r24_cap_guard": (lambda s, d: S.cap_guard(screened(s, d), 5), "select rule, max(n) as peak, max(n) >= 5 as hit_cap from (select rule, trade_date, count(*) as n from screened group by 1, 2) group by 1"),
     "a14_strategy_summary": (lambda s, d: S.strategy_summary(trades(s, d)), f"select rule, count(*) filter (status = 'open') as open, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'closed') as closed, max(trade_date) as latest, round(avg(value) filter (status = 'closed'), 4) as mean_closed from ({TRADES}) group by 1"),
     "a15_peak_per_day": (lambda s, d: S.peak_per_day(screened(s, d)), "select rule, max(n) as peak from (select rule, trade_date, count(*) as n from screened group by 1, 2) group by 1"),
-    "a16_series": (lambda s, d: S.series(D.bars(s, d).filter("stock_code <= '000005'"), "stock_code", ["close_price", "volume_hand"]).select("stock_code", F.size("trade_date").cast("long").alias("n"), F.element_at("close_price", -1).alias("last_close"), F.element_at("volume_hand", 1).alias("first_volume")), "select stock_code, count(*) as n, last(close_price order by trade_date) as last_close, first(volume_hand order by trade_date) as first_volume from bars where stock_code <= '000005' group by 1"),
+    "a16_series": (lambda s, d: S.series(D.bars(s, d), "stock_code", ["close_price", "volume_hand"]).select("stock_code", F.size("trade_date").cast("long").alias("n"), F.element_at("close_price", -1).alias("last_close"), F.element_at("volume_hand", 1).alias("first_volume")), "select stock_code, count(*) as n, last(close_price order by trade_date) as last_close, first(volume_hand order by trade_date) as first_volume from bars where stock_code <= '000005' group by 1"),
     "a17_trade_summary": (SUMMARY_BY, _summary("outcomes", "exit_reason")),
     "a19_realized_pnl": (pnl, "select trade_id, sell_amount, (entry_price * quantity + sell_amount) * 0.001::double as fees, sell_amount - entry_price * quantity - (entry_price * quantity + sell_amount) * 0.001::double as pnl, (sell_amount - entry_price * quantity - (entry_price * quantity + sell_amount) * 0.001::double) / nullif(entry_price * quantity, 0) * 100 as pnl_pct, sell_amount / quantity as exit_price from (select o_orderkey as trade_id, o_totalprice / 1000 as entry_price from orders) join (select l_orderkey as trade_id, cast(sum(cast(l_extendedprice / l_quantity * cast(l_quantity * 100 as bigint) as decimal(28,6))) as double) as sell_amount, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) as quantity from lineitem group by 1) using (trade_id)"),
 }
