@@ -23,7 +23,17 @@ PATTERNS = {
     "card": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}(?!-?[\p{L}\p{N}_])",
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?!-?[\p{L}\p{N}_])|(?<![\p{L}\p{N}_+])\+[0-9]{8,14}(?![\p{L}\p{N}_])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# IBANs by the length of their country; a following word isn't taken in.
+LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_EXACT = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![\p{L}\p{N}])" for n, c in LENGTHS.items()) + ")"
+# A whole run of digit groups that can hold a card; it ends before a dotted number, a date with slashes or an e-mail name.
+_RUN = _EDGE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*[0-9](?!-?[\p{L}\p{N}_]|[./][0-9]{1,3}[./][0-9]|[\p{L}\p{N}._%+-]{0,64}@)"
+ANY = "|".join(f"(?:{p})" for p in (PATTERNS | {"iban": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}[0-9]{{2}}){_EXACT}|" + PATTERNS["iban"], "card": _RUN}).values())
+# What is looked for inside a find that isn't valid as a whole, the surest first. Four groups of four are no phone.
+INSIDE = [
+    _EXACT, "[0-9]{32,128}", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?:\2[0-9]{3})?", r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{13,19}",
+    r"(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", "[0-9]{2,4}[ -][0-9]{3}[ -][0-9]{4}", "(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4})[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}",
+]
 
 
 def _rounds(key: str, kind: str, left: Column, right: Column, a: Column, b: Column, rounds: int) -> tuple[Column, Column]:
@@ -138,11 +148,27 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     )
 
 
+def _look_inside(x: Column, key: str) -> Column:
+    """A find of capitals, digits, spaces and hyphens that isn't valid as a whole: its text with the valid parts replaced, and how many.
+
+    Candidates may overlap; valid ones are marked in the order of INSIDE, a mark being no part of later ones, and marks are filled last.
+    """
+    found = [F.regexp_extract_all(x, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=({p})(?![\p{{L}}\p{{N}}]))"), F.lit(1)) for p in INSIDE]
+    pairs = F.transform(F.array_distinct(F.concat(*found)), lambda c: F.struct(c.alias("old"), pseudonym(c, key).alias("new")))
+    mark = lambda i: F.concat(F.lit("<"), F.translate(i.cast("string"), "0123456789", "abcdefghij"), F.lit(">"))
+    valid = F.transform(F.filter(pairs, lambda p: p["old"] != p["new"]), lambda p, i: F.struct(p["old"].alias("old"), p["new"].alias("new"), mark(i).alias("mark")))
+    whole = lambda p: F.concat(F.lit("(?<![A-Z0-9])"), p["old"], F.lit("(?![A-Z0-9])"))
+    start = F.struct(x.alias("text"), F.lit(0).alias("n"), valid.alias("valid"))
+    marked = lambda s, p: F.struct(F.regexp_replace(s["text"], whole(p), p["mark"]).alias("text"), (s["n"] + F.regexp_count(s["text"], whole(p))).alias("n"), s["valid"].alias("valid"))
+    filled = lambda s: F.struct(F.aggregate(s["valid"], s["text"], lambda t, p: F.replace(t, p["mark"], p["new"])).alias("text"), s["n"].alias("n"))
+    return F.aggregate(valid, start, marked, filled)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """docs with `column`'s personal data replaced, and n_replaced: how many strings were.
 
-    The text is cut at what the patterns find, each find is replaced by its pseudonym, and both are put together again, so
-    equal values stay equal across documents, and no replacement is looked at twice. No rows move. Null stays null with
+    The text is cut at what the patterns find, each find is replaced by its pseudonym, or, where it isn't valid as a whole, the
+    valid parts within it by theirs, and both are put together again, so equal values stay equal across documents, and no replacement is looked at twice. No rows move. Null stays null with
     n_replaced 0; empty texts stay; rows and other columns are kept as they are, except one called n_replaced.
     """
     text = F.col(column)
@@ -150,10 +176,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     pieces = F.split(text, ANY, -1)
     # Most texts hold no digit run and no @ at all and are passed by.
     hot = text.rlike("[0-9][0-9 ()./-]{5}|@|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
-    df = docs.withColumns({"_found": F.when(hot, found)}).withColumns({"_new": F.when(F.size("_found") > 0, F.transform("_found", lambda x: pseudonym(x, key)))})
-    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), F.col("_new"), lambda piece, new: F.concat(piece, new)), ""), F.element_at(pieces, -1))
-    changed = F.size(F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_new").alias("b")), lambda p: p["a"] != p["b"]))
-    return df.withColumns({"n_replaced": F.when(F.col("_new").isNull(), 0).otherwise(changed).cast("int"), column: F.when(F.col("_new").isNull(), text).otherwise(joined)}).drop("_found", "_new")
+    same = lambda x: F.struct(x.alias("text"), F.lit(0).alias("n"))
+    df = docs.withColumns({"_found": F.when(hot, found)}).withColumns({"_first": F.when(F.size("_found") > 0, F.transform("_found", lambda x: pseudonym(x, key)))})
+    df = df.withColumns({"_new": F.zip_with("_found", "_first", lambda x, y: F.when(x != y, F.struct(y.alias("text"), F.lit(1).alias("n"))).when(x.rlike("^[A-Z0-9 -]{13,}$"), _look_inside(x, key)).otherwise(same(x)))})
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), F.col("_new"), lambda piece, new: F.concat(piece, new["text"])), ""), F.element_at(pieces, -1))
+    changed = F.aggregate("_new", F.lit(0), lambda total, new: total + new["n"])
+    return df.withColumns({"n_replaced": F.when(F.col("_new").isNull(), 0).otherwise(changed).cast("int"), column: F.when(F.col("_new").isNull(), text).otherwise(joined)}).drop("_found", "_first", "_new")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

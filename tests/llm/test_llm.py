@@ -318,6 +318,23 @@ def test_pseudonyms(spark, docs):
     assert back == {(d, t) for d, t, *_ in AWKWARD}
 
 
+def test_pseudonyms_beside_numbers_and_words(spark):
+    card, phone, iban = "4111 1111 1111 1111", "555 123 4567", "AT61 1904 3002 3457 3201"
+    values = [card, card.replace(" ", "-"), "4845168114407329", phone, "0664 123 4567", iban, "DE89370400440532013000", "2024-02-29", "123-45-6789"]
+    plain = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()}
+    around = ["2023 {} 99", "{} 2023 17", "order 12 34 {}", "{} BIC", "AB12 {} XYZ", "{0} {0}", "1234 {0} 5678 {0} 9012", "12345 12345 12345 {}", "{} " + " ".join(["9807"] * 40)]
+    cases = [(i, j) for i, v in enumerate(values) for j, a in enumerate(around) if not (v in (phone, "0664 123 4567") and j in (0, 1, 2, 4, 6, 8) or j == 4 and v != iban)]
+    cases += [(values.index(phone), 0)]
+    df = spark.createDataFrame([(k, around[j].format(values[i])) for k, (i, j) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    wrong = [(around[j].format(values[i]), out[k].text, out[k].n_replaced) for k, (i, j) in enumerate(cases) if out[k].text != around[j].format(plain[i]) or out[k].n_replaced != around[j].count("{")]
+    assert not wrong
+    mixed = "4111 1111 1111 1111 555 123 4567", "2023 555 123 4567", "555 123 4567 555 987 6543", "1234 5678 1234 5678 97.51.17.173", "4111 1111 1111 1111 12@mail.com"
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[0] == f"{plain[0]} {plain[3]}" and out[1] == f"2023 {plain[3]}" and out[2].startswith(plain[3]) and "555 987 6543" not in out[2]
+    assert out[3].startswith("1234 5678 1234 5678 ") and "97.51.17.173" not in out[3] and out[4].startswith(f"{plain[0]} user_")
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     assert df.select(pii.digits("k", "t", F.col("x")).alias("y")).distinct().count() == 1000
