@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows and bytes (texts can be long) and sees that a checkpoint folder is set.
+    """Bounds Arrow batches by rows and bytes (texts can be long), where the session has Spark's defaults, and sees that a
+    checkpoint folder is set.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; one of our own is set only where none is, as in tests.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where it names none, a local session gets one of its
+    own, as in tests; on a cluster that would lose data with an executor, so ValueError is raised.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 
 
@@ -44,6 +50,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into a table of the shared checkpoint folder, where it lies until `dropped`."""
+    spark = prepared(df.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the tables of `written`; nothing that reads them may run afterwards."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """Whether the row is kept from learning: by crc32 of its id as text."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(modulus)) == remainder

@@ -1,32 +1,42 @@
 """Operator 6: links and components of documents by the Jaccard similarity of their word n-grams.
 
-Adaptive multi-match prefixes. A document's shingles are ordered by how often they are in the corpus, rare ones first. Two
-documents similar enough share at least l of the first n - least + l shingles of each, where least is the smallest overlap
-that the document needs: its l-prefix. A longer prefix costs more postings but, as l shared shingles are asked for, leaves
-fewer candidates; each document takes the l whose estimated cost is least, and a pair must share the smaller of its two l.
+Adaptive multi-match prefixes. All shingles stand in one order, rare ones first. Two documents similar enough share at
+least l of the first n - least + l shingles of each, where least is the smallest overlap that the document needs: its
+l-prefix. A longer prefix costs more postings but, as more shared shingles are asked for, leaves fewer candidates; each
+document takes the l whose estimated cost is least, and a pair must share what the prefixes of both leave open.
+
+The order: shingles whose hash lies in the lowest part of the hash space come first, by the number of documents that they
+are in, counted exactly over all documents; the rest follow by hash. The part is wide enough to hold nearly every prefix, so
+the others, most of all shingles, never leave the task that reads the text. A shingle of one document only takes a place
+in its prefix but needs no posting.
+
+Documents that lead with the same shingle are compared first and joined where they link. Candidates are then pairs from
+different components only, so that a large group of near copies gives no pairs, and each is verified by its whole sets.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix, prepared, stored, table, words_of
+from .common import batches, dropped, mix, prepared, stored, table, words_of, written
 from .graph import components
 
-#: Counters of the sketch that estimates how many documents a shingle is in, and counters in a row of it.
-COUNTERS, ROW = 1 << 22, 1 << 16
+#: The first part of the order, as a multiple of what an l-prefix needs without l.
+WIDTH = 1.3
 #: Prefix lengths to choose from, by the matches that they ask for.
 MATCHES = (1, 2, 3, 4, 6, 8)
-#: Documents of a shingle up to which each pair is emitted; more are one bundle by their first.
+#: Pairs of a shingle up to which they are emitted, as a root; the documents of other shingles are compared in blocks.
 PAIRS_UP_TO = 64
-#: Documents that are compared in one task; larger bundles are dealt into a grid of such blocks.
-BLOCK = 768
+#: Documents that are compared in one block, and about how many shingles they have together.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Bits of the filter of document ids, at most: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def shingles(raws: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,183 +74,170 @@ def _longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """One row a document: doc_id, n, c1, c2 (128 bits that stand for its set), and rows of the sketch: row, counts."""
+def lengths(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set (hashes in order): its size, how many shingles are of the first part of the order, and how many are sent:
+    those, and as many more as the longest prefix needs."""
+    n = np.diff(at)
+    low = np.concatenate([[0], np.cumsum(h < first_part(percent))])
+    r = low[at[1:]] - low[at[:-1]]
+    return n, r, np.maximum(r, np.minimum(n, n - least_overlap(n, percent) + MATCHES[-1]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(COUNTERS, np.int32)
-        for frame in frames:
-            parts = []
-            for _, raws in batches(frame["text"].tolist()):
-                h, at = shingles(raws, k)
-                sketch += np.bincount((h >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.int32)
-                n = np.diff(at)
-                c = np.zeros((2, len(n)), np.uint64)
-                some = np.flatnonzero(n)
-                if len(some):
-                    c[0, some] = np.add.reduceat(h, at[:-1][some])
-                    c[1, some] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][some])
-                parts.append((n, c))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), "c1": _longs(np.concatenate([p[1][0] for p in parts] or [np.zeros(0, np.uint64)])), "c2": _longs(np.concatenate([p[1][1] for p in parts] or [np.zeros(0, np.uint64)])), "row": None, "counts": None})
-        rows = [r for r in range(COUNTERS // ROW) if sketch[r * ROW : (r + 1) * ROW].any()]
-        for r in rows:
-            yield pd.DataFrame({"doc_id": [None], "n": [None], "c1": [None], "c2": [None], "row": [r], "counts": [zlib.compress(sketch[r * ROW : (r + 1) * ROW].tobytes(), 1)]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, row int, counts binary")
-
-
-def sketch_of(rows: DataFrame) -> np.ndarray:
-    """The summed sketch: a fixed number of counters, whatever the corpus. Its rows are summed on the cluster."""
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for row, counts in zip(frame["row"], frame["counts"], strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.float32)
-        for row, total in sums.items():
-            yield pd.DataFrame({"row": [row], "counts": [total.tobytes()]})
 
-    parts = COUNTERS // ROW
-    out = np.zeros((parts, ROW), np.float32)
-    for row in rows.filter("row is not null").select("row", "counts").repartition(parts, "row").mapInPandas(add, "row int, counts binary").collect():
-        out[row["row"]] = np.frombuffer(row["counts"], np.float32)
-    return out.reshape(-1)
+def first_part(percent: int) -> np.uint64:
+    """Hashes below this are the first part of the order."""
+    return np.uint64(min(1.0, WIDTH * (100 - percent) / 100) * (2**64 - 2**12))
 
 
-def prefixes(h: np.ndarray, level: np.ndarray, more: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(the shingles of one document's prefix, rare ones first; the matches it asks for).
+def names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set."""
+    c = np.zeros((2, len(at) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        c[0, some] = np.add.reduceat(h, at[:-1][some])
+        c[1, some] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][some])
+    return _longs(c[0]), _longs(c[1])
 
-    level: each shingle's order of frequency; more: how many other documents it is estimated to be in. With l matches the
-    candidates are at most the sum of `more` over the prefix divided by l; each costs about as much as 40 postings.
-    """
-    n = len(h)
-    order = np.lexsort((h, level))
-    base = n - int(least_overlap(n, percent))
-    most = [l for l in MATCHES if base + l <= n and l <= least_overlap(n, percent)] or [1]
-    sums = np.cumsum(more[order[: base + most[-1]]])
-    cost = [base + l + 40.0 * sums[min(base + l, n) - 1] / l for l in most]
-    l = most[int(np.argmin(cost))]  # noqa: E741
-    return h[order[: base + l]], l
 
+def summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, r, c1, c2 of each row: its set's size, its shingles of the first part of the order, and its set's name."""
 
-def postings(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """token, c1, c2, n, at, l for the prefix of each document; copies of a set within one task's part count once."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            n, r, c1, c2 = [], [], [], []
+            for _, raws in batches(part.column("text").to_pylist()):
+                h, at = shingles(raws, k)
+                for out, x in zip((n, r), lengths(h, at, percent)[:2], strict=True):
+                    out.append(x)
+                for out, x in zip((c1, c2), names(h, at), strict=True):
+                    out.append(x)
+            columns = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in (n, r, c1, c2)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n", "r", "c1", "c2"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
-        usual = float(np.median(counts))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, r long, c1 long, c2 long")
+
+
+def sent(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """token, c1: the shingles of each set that can be in its prefix; copies of a set within one task's part count once."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for frame in frames:
-            for _, raws in batches(frame["text"].tolist()):
+        for part in parts:
+            for _, raws in batches(part.column("text").to_pylist()):
                 h, at = shingles(raws, k)
-                c = counts[(h >> np.uint64(40)).astype(np.int64) % COUNTERS]
-                more = np.maximum(c - usual - 3 * np.sqrt(usual + 1), 0)
-                level = np.floor(np.log2(more + 1)).astype(np.int8)
-                second = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-                out = []
-                for i in range(len(raws)):
-                    s = slice(at[i], at[i + 1])
-                    n = at[i + 1] - at[i]
-                    if not n:
-                        continue
-                    name = (int(np.add.reduce(h[s])), int(np.add.reduce(second[s])))
+                e = lengths(h, at, percent)[2]
+                c1, c2 = names(h, at)
+                for i, name in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
                     if name in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
+                        e[i] = 0
                     seen.add(name)
-                    tokens, l = prefixes(h[s], level[s], more[s], percent)  # noqa: E741
-                    out.append((tokens, name, n, l))
-                if out:
-                    sizes = [len(t) for t, *_ in out]
-                    spread = lambda values, kind, sizes=sizes: np.repeat(np.array(values, kind), sizes)
-                    yield pd.DataFrame({"token": _longs(np.concatenate([t for t, *_ in out])), "c1": _longs(spread([x[1][0] for x in out], np.uint64)), "c2": _longs(spread([x[1][1] for x in out], np.uint64)), "n": spread([x[2] for x in out], np.int32), "at": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes]), "l": spread([x[3] for x in out], np.int8)})
+                if len(seen) > 200_000:
+                    seen.clear()
+                token = np.repeat(at[:-1] - np.cumsum(e) + e, e) + np.arange(e.sum())
+                for lo in range(0, len(token), 1 << 17):
+                    s = slice(lo, lo + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(_longs(h[token[s]])), pa.array(np.repeat(c1, e)[s])], ["token", "c1"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "token long, c1 long, c2 long, n int, at int, l byte")
+    return docs.select("text").mapInArrow(run, "token long, c1 long")
 
 
-def candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """a1, a2, b1, b2, hot: pairs of sets that share as many prefix shingles as they must.
+def prefix(token: np.ndarray, count: np.ndarray, n: int, r: int, percent: int) -> tuple[np.ndarray, int]:
+    """(the shingles of one set's prefix that other sets have too, the prefix's length with the others).
 
-    lists is dealt by token and sorted by it, and its runs are read as they come. A shingle of up to PAIRS_UP_TO sets gives
-    those of their pairs whose sizes and places leave room for enough overlap; a shingle of more sets ties each to the first (hot), for a bundle that is compared whole.
+    token: the shingles sent that others have, count: how many sets have each; n, r: the set's size and its shingles of the
+    first part. With l matches the candidates are at most the sum of the other sets' places in the prefix divided by l;
+    each costs about as much as 40 postings.
+    """
+    base = n - int(least_overlap(n, percent))
+    h = token.view(np.uint64)
+    early = h < first_part(percent)
+    order = np.concatenate([np.flatnonzero(early)[np.lexsort((h[early], count[early]))], np.flatnonzero(~early)[np.argsort(h[~early])]])
+    alone = r - int(early.sum())
+    # (length, matches, places that others share): within the first part, or all that was sent.
+    options = [(base + l, l, max(0, base + l - alone)) for l in MATCHES if base + l <= r]
+    if r < min(n, base + MATCHES[-1]):
+        length = min(n, base + MATCHES[-1])
+        options.append((length, length - base, len(order)))
+    sums = np.concatenate([[0], np.cumsum(count[order] - 1)])
+    length, _, places = min(options, key=lambda o: (o[2] + 40.0 * sums[o[2]] / max(o[1], 1), o[0]))
+    return token[order[:places]], length
+
+
+def postings(hits: DataFrame, percent: int) -> DataFrame:
+    """token, rep, n, behind, lead: the prefixes of all sets. behind: shingles after the prefix; lead: the set's least token.
+
+    hits: rep, n, r, and found (count, token): the shingles sent that other sets have too.
     """
-
-    def room(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether overlap / (n_i + n_j - overlap) >= percent / 100 can still be: what lies before the places, this one, what lies behind."""
-        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-        return (100 + percent) * most >= percent * (n[i] + n[j])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["token", "c1", "c2", "n", "at", "l"]
-        rest, first = None, None  # rows of the last token so far; or, if they are many, the token and the row that they are tied to
-
-        def emit(rows: dict[str, np.ndarray], final: bool) -> Iterator[pd.DataFrame]:
-            """Pairs of runs that are known whole; the last run stays unless final. Runs of one size are worked on together."""
-            nonlocal rest, first
-            same = (rows["token"][1:] == rows["token"][:-1]) & (rows["c1"][1:] == rows["c1"][:-1]) & (rows["c2"][1:] == rows["c2"][:-1])
-            rows = {k: v[np.append(True, ~same)] for k, v in rows.items()}
-            token, n, at = rows["token"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
-            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            sizes = np.diff(np.append(starts, len(token)))
-            left, right, needs, hot = [], [], [], []
-            tied = np.zeros(len(starts), bool)
-            if first is not None:
-                if first[0] == token[0]:
-                    tied[0] = True
-                    k = np.arange(sizes[0])
-                    hot.append((np.broadcast_to(first[1], (len(k), 2)), np.stack([rows["c1"][k], rows["c2"][k]], 1)))
-                if len(starts) > 1 or not tied[0]:
-                    first = None
-            rest = None
-            if not final and not tied[-1] and sizes[-1] <= PAIRS_UP_TO:
-                rest = {k: v[starts[-1] :] for k, v in rows.items()}
-                tied[-1] = True
-            for r in np.flatnonzero(~tied & (sizes > PAIRS_UP_TO)):
-                k = np.arange(starts[r] + 1, starts[r] + sizes[r])
-                head = np.array([rows["c1"][starts[r]], rows["c2"][starts[r]]])
-                hot.append((np.broadcast_to(head, (len(k), 2)), np.stack([rows["c1"][k], rows["c2"][k]], 1)))
-                if r == len(starts) - 1 and not final:
-                    first = (token[starts[r]], head)
-            for m in np.unique(sizes[~tied & (sizes > 1) & (sizes <= PAIRS_UP_TO)]):
-                group = starts[~tied & (sizes == m)]
-                x, y = np.triu_indices(m, 1)
-                i, j = (group[:, None] + x).ravel(), (group[:, None] + y).ravel()
-                ok = room(n, at, i, j)
-                left.append(i[ok])
-                right.append(j[ok])
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                needs.append(np.minimum(rows["l"][i], rows["l"][j]))
-                yield frame_of(np.stack([rows["c1"][i], rows["c2"][i]], 1), np.stack([rows["c1"][j], rows["c2"][j]], 1), needs[0], False)
-            if hot:
-                a, b = np.concatenate([h[0] for h in hot]), np.concatenate([h[1] for h in hot])
-                yield frame_of(a, b, np.ones(len(a), np.int8), True)
-
-        def frame_of(a: np.ndarray, b: np.ndarray, need: np.ndarray, is_hot: bool) -> pd.DataFrame:
-            flip = ((a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])))[:, None]
-            a, b = np.where(flip, b, a), np.where(flip, a, b)
-            return pd.DataFrame({"a1": a[:, 0], "a2": a[:, 1], "b1": b[:, 0], "b2": b[:, 1], "need": need, "hot": is_hot})
-
-        held: list[pd.DataFrame] = []
         for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) < 100_000:
+            chosen = [prefix(np.array([x["token"] for x in f], np.int64), np.array([x["count"] for x in f], np.int64), n, r, percent) for f, n, r in zip(frame["found"], frame["n"].tolist(), frame["r"].tolist(), strict=True)]
+            size = np.array([len(t) for t, _ in chosen], np.int64)
+            if not size.sum():
                 continue
-            frame, held = pd.concat(held), []
-            rows = {k: frame[k].to_numpy() for k in names}
-            if rest is not None:
-                rows, rest = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}, None
-            yield from emit(rows, False)
-        if held or rest is not None:
-            parts = [{k: f[k].to_numpy() for k in names} for f in held]
-            parts = ([rest] if rest is not None else []) + parts
-            yield from emit({k: np.concatenate([p[k] for p in parts]) for k in names}, True)
-
-    sorted_lists = lists.repartition("token").sortWithinPartitions("token", "c1", "c2")
-    found = sorted_lists.mapInPandas(run, "a1 long, a2 long, b1 long, b2 long, need byte, hot boolean")
-    matched = found.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.max("hot").alias("hot"))
-    return matched.filter((F.col("shared") >= F.col("need")) | F.col("hot")).select("a1", "a2", "b1", "b2", "hot")
+            token = np.concatenate([t for t, _ in chosen])
+            lead = np.concatenate([t == t[np.argmin(t.view(np.uint64))] for t, _ in chosen if len(t)])
+            behind = frame["n"].to_numpy() - np.array([p for _, p in chosen])
+            yield pd.DataFrame({"token": token, "rep": np.repeat(frame["rep"].to_numpy(), size), "n": np.repeat(frame["n"].to_numpy(), size), "behind": np.repeat(behind, size), "lead": lead})
+
+    return hits.mapInPandas(run, "token long, rep long, n long, behind long, lead boolean")
+
+
+def counted(classes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """rep, n, r, found of the sets whose prefix reaches shingles of other sets: only these can link.
+
+    Shingles are counted by partial sums first, and the join that gives the counts back can be split at a frequent one.
+    """
+    counts = tokens.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
+    hits = tokens.join(counts, "token").join(classes.filter("n > 0 and rep is not null").select("c1", "rep", "n", "r"), "c1")
+    grouped = hits.groupBy("c1", "rep", "n", "r").agg(F.collect_set(F.struct("count", "token")).alias("found"))
+    base = F.expr(f"n - ({percent} * n + 99) div 100")
+    alone = F.col("r") - F.size(F.filter("found", lambda x: _early(x["token"], percent)))
+    return grouped.filter(alone < base + 1).select("rep", "n", "r", "found")
+
+
+def _early(token: Column, percent: int) -> Column:
+    """Whether a shingle is of the first part of the order; hashes are read as signed numbers here."""
+    end = int(first_part(percent))
+    return (token >= 0) & (token < end) if end < 2**63 else (token >= 0) | (token < end - 2**64)
+
+
+def dealt(groups: DataFrame, group: str) -> DataFrame:
+    """doc_id, key: each group's documents in blocks of about BLOCK, of which each holds the group's first document too.
+
+    groups: rep, n and the column group. Groups of one document are left out.
+    """
+    sizes = groups.groupBy(group).agg(F.count("*").alias("_count"), F.min("rep").alias("_pivot"), _blocks(1)).filter("_count > 1")
+    name = lambda part: F.concat_ws("-", F.lit("b"), group, part)
+    own = groups.join(sizes, group).select(F.col("rep").alias("doc_id"), name(F.pmod(F.xxhash64("rep"), F.col("_blocks"))).alias("key"))
+    pivots = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select(F.col("_pivot").alias("doc_id"), name(F.col("_part")).alias("key"))
+    return own.union(pivots).distinct()
+
+
+def _blocks(times: int) -> Column:
+    """Into how many blocks documents are dealt of which each holds 1 / times of what is compared together."""
+    return F.ceil(F.greatest(F.count("*") * times / BLOCK, F.sum("n") * times / BLOCK_SHINGLES)).cast("long").alias("_blocks")
+
+
+def candidates(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b: pairs of documents of different components that share as many prefix shingles as they must; the lists of those
+    shingles that have too many such pairs to emit them).
+
+    lists: token, rep, comp, n, behind. Shingles within one component give none. Of a shingle's pairs at least one document
+    is outside its largest component, so those are joined with all.
+    """
+    per = lists.groupBy("token", "comp").agg(F.count("*").alias("_c"))
+    stats = per.groupBy("token").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"), F.max_by("comp", F.struct("_c", "comp")).alias("_major")).filter("_all > _top")
+    many = F.col("_all") * (F.col("_all") - F.col("_top")) > PAIRS_UP_TO * PAIRS_UP_TO
+    mixed = written(lists.join(stats.withColumn("_many", many).drop("_all", "_top"), "token"))
+    few = mixed.filter("not _many")
+    x = few.filter("comp <> _major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "behind")])
+    y = few.select("token", "_major", *[F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "behind")])
+    both = x.join(y, "token").filter(f"x_comp <> y_comp and (y_comp = _major or x_rep < y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    # An overlap of need at least; what lies behind the prefix that ends first can't be more than either has behind its own.
+    need = F.expr(f"({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent} - greatest(x_behind, y_behind)")
+    pairs = both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), need.alias("need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
+    return pairs.select("a", "b"), mixed
 
 
 def compare(ids: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -292,68 +289,74 @@ def linked_any(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
 
 
 def links(bundles: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links that connect what the documents' links connect. bundles: key, doc_id, text; a key's rows are bounded."""
+    """a, b: links that connect what the documents' links connect. bundles: key, role, doc_id, text.
+
+    All documents of role 2 of a key, of which there are about BLOCK, are compared with one another; those of role 1 with the
+    one of role 0 only, as they come.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, hashes = None, [], []
+        key, ids, hashes, middle = None, [], [], []
         for frame in frames:
-            out, keys, docs = [], frame["key"].tolist(), frame["doc_id"].tolist()
+            out, keys, roles, docs = [], frame["key"].tolist(), frame["role"].tolist(), frame["doc_id"].tolist()
             for lo, raws in batches(frame["text"].tolist()):
                 h, at = shingles(raws, k)
                 for i in range(len(raws)):
                     if keys[lo + i] != key:
                         out += compare(np.array(ids), hashes, percent)
-                        key, ids, hashes = keys[lo + i], [], []
-                    ids.append(docs[lo + i])
-                    hashes.append(h[at[i] : at[i + 1]].copy())
-            yield pd.DataFrame(out, columns=["a", "b"])
-        yield pd.DataFrame(compare(np.array(ids), hashes, percent), columns=["a", "b"])
-
-    return bundles.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+                        key, ids, hashes, middle = keys[lo + i], [], [], []
+                    own, role = h[at[i] : at[i + 1]].copy(), roles[lo + i]
+                    if role == 0:
+                        middle.append((docs[lo + i], own))
+                    elif role == 1:
+                        for other, theirs in middle:
+                            o = len(np.intersect1d(own, theirs, assume_unique=True))
+                            if 100 * o >= percent * (len(own) + len(theirs) - o):
+                                out.append((other, docs[lo + i]))
+                    else:
+                        ids.append(docs[lo + i])
+                        hashes.append(own)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(compare(np.array(ids), hashes, percent), columns=["a", "b"], dtype="int64")
+
+    return bundles.repartition("key").sortWithinPartitions("key", "role").mapInPandas(run, "a long, b long")
 
 
 def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs joined to those of ids (doc_id and more). A filter of a bounded number of bits first drops nearly all others where
-    they are read, so that their texts aren't shuffled for the join."""
-    count = ids.count()
-    bits = 1 << min(24, max(10, (16 * max(count, 1) - 1).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(bits))
-    words = ids.select("doc_id").distinct().select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("mask")).collect()
-    table_ = np.zeros(bits // 32, np.int64)
-    for w in words:
-        table_[w["word"]] = w["mask"]
-    flags = docs.sparkSession.sparkContext.broadcast(table_)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            p = frame["_place"].to_numpy()
-            yield frame[(flags.value[p // 32] >> (p % 32)) & 1 == 1][["doc_id", "text"]]
-
-    near = docs.select("doc_id", "text", place.alias("_place")).mapInPandas(run, "doc_id long, text string")
+    """The rows of docs joined to those of ids (doc_id and more), which is a table. A filter of a bounded number of bits first drops
+    nearly all others where they are read, so that their texts aren't shuffled for the join."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (16 * max(ids.count(), 1) - 1).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(bits)) + 1
+    maps = ids.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"_bucket": F.bitmap_bucket_number(place), "_place": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = texts.join(F.broadcast(maps), "_bucket").filter((F.floor(byte / F.expr("shiftleft(1, cast(_place % 8 as int))")) % 2 == 1)).select("doc_id", "text")
     # Dealt once by doc_id, for dropping repeated rows and for the join.
     return near.repartition("doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h").join(ids, "doc_id")
 
 
-def bundled(near: DataFrame) -> DataFrame:
-    """doc_id, key: for each candidate pair a key that both have, and no key of more than about BLOCK documents.
+def bundled(pairs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """doc_id, key, role: for each candidate pair a key that both have.
 
-    Pairs that hang together are compared together where they are few. Of larger components, pairs from rare shingles go by
-    their first document, and documents of one frequent shingle are dealt by hash into blocks, each two of which share a key.
+    A pair goes by its first document, whose partners are dealt into parts of about BLOCK. Documents of shingles with too
+    many pairs are dealt into blocks, each two of which share a key.
     """
-    group = stored(components(near))
-    large = group.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-    small = group.join(large, "component", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").cast("string").alias("key"))
-    nodes = group.join(large, "component", "left_semi").select(F.col("node").alias("a"))
-    rest = stored(near.join(nodes, "a", "left_semi"))
-    stars = rest.filter("not hot").select("a", F.concat(F.lit("p"), F.col("a").cast("string")).alias("key"), "b")
-    stars = stars.select(F.col("b").alias("doc_id"), "key").union(stars.select(F.col("a").alias("doc_id"), "key")).distinct()
-    hot = stored(components(rest.filter("hot")))
-    sizes = hot.groupBy("component").agg(F.ceil(F.count("*") * 2 / BLOCK).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    dealt = hot.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    stars = pairs.join(parts, "a").withColumn("key", F.concat_ws("-", F.lit("s"), "a", F.pmod(F.xxhash64("b"), F.col("_parts"))))
+    stars = stars.select(F.col("b").alias("doc_id"), "key", F.lit(1).alias("role")).union(stars.select(F.col("a").alias("doc_id"), "key", F.lit(0)).distinct())
+    many = mixed.filter("_many")
+    firsts = many.groupBy("token").agg(F.min("rep").alias("a"))
+    group = components(many.join(firsts, "token").select("a", F.col("rep").alias("b")))
+    size = many.groupBy("rep").agg(F.max("n").alias("n"))
+    hot = group.join(size, F.col("node") == F.col("rep")).select("component", "rep", "n")
+    blocks = hot.groupBy("component").agg(_blocks(2))
+    own = hot.join(blocks, "component").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     # With more than one block, a block also meets itself within each of its pairs.
-    dealt = dealt.filter((F.col("parts") == 1) | (F.col("own") != F.col("other")))
-    grid = dealt.select(F.col("node").alias("doc_id"), F.concat_ws("-", F.lit("h"), "component", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    return small.union(stars).union(grid)
+    own = own.filter("_blocks = 1 or _own <> _other")
+    grid = own.select(F.col("rep").alias("doc_id"), F.concat_ws("-", F.lit("g"), "component", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), F.lit(2))
+    out = written(stars.union(grid))
+    dropped(group)
+    return out
 
 
 def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -362,21 +365,34 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     Two documents link when their sets of distinct k-word shingles have a Jaccard similarity of percent / 100 or more;
     all links count, exactly, but for hashes of 64 bits. Sets alike are one from the start. Null and empty texts, and
     those without words, have no shingles and link with nothing. Rows of the same doc_id are rows of their own in the
-    result and one document for links. An empty table gives no rows; other columns aren't kept.
+    result and one document for links; a row without a doc_id gets the component of its copies, or null. An empty table
+    gives no rows; other columns aren't kept.
     """
-    spark = prepared(docs.sparkSession)
-    first = stored(summaries(docs, k))
-    of_docs = first.filter("row is null").select("doc_id", "n", "c1", "c2")
-    sketch = spark.sparkContext.broadcast(sketch_of(first))
-    pairs = stored(candidates(postings(docs, k, percent, sketch), percent))
+    prepared(docs.sparkSession)
+    of_docs = stored(summaries(docs, k, percent))
     # Sets by the smallest document that has them.
-    classes = stored(of_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
-    name = lambda x: classes.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("rep").alias(x))
-    near = stored(pairs.join(name("a"), ["a1", "a2"]).join(name("b"), ["b1", "b2"]).select("a", "b", "hot"))
-    keyed = stored(bundled(near))
-    true_links = stored(links(needed(docs, keyed).select("key", "doc_id", "text"), k, percent))
-    joined = components(true_links).select(F.col("node").alias("rep"), "component")
-    final = classes.join(joined, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    classes = stored(of_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("r").alias("r")))
+    tokens = written(sent(docs, k, percent))
+    lists = written(postings(counted(classes, tokens, percent), percent))
+    dropped(tokens)
+
+    keyed = written(dealt(lists.filter("lead").select("token", "rep", "n"), "token").withColumn("role", F.lit(2)))
+    close = written(links(needed(docs, keyed).select("key", "role", "doc_id", "text"), k, percent))
+    group = components(close)
+    dropped(keyed, close)
+
+    tagged = lists.join(group, lists["rep"] == group["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"), "n", "behind")
+    pairs, mixed = candidates(tagged, percent)
+    pairs = written(pairs)
+    bundles = bundled(pairs, mixed)
+    dropped(lists, mixed, pairs)
+    more = written(links(needed(docs, bundles).select("key", "role", "doc_id", "text"), k, percent))
+    dropped(bundles)
+    last = components(group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    dropped(group, more)
+
+    final = stored(classes.join(last, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")))
+    dropped(last)
     out = of_docs.join(final, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
