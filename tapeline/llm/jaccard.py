@@ -12,6 +12,8 @@ in its prefix but needs no posting.
 
 Documents that lead with the same shingle are compared first and joined where they link. Candidates are then pairs from
 different components only, so that a large group of near copies gives no pairs, and each is verified by its whole sets.
+Pairs are emitted for shingles of up to HOT documents. Rarer shingles stand first, so two documents that link and share
+none of those in their prefixes have so few of them that hardly any documents are left; these are compared in blocks.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ from .common import batches, dropped, mix, prepared, stored, table, words_of, wr
 from .graph import components
 
 #: The first part of the order, as a multiple of what an l-prefix needs without l.
-WIDTH = 1.3
-#: Prefix lengths to choose from, by the matches that they ask for.
+WIDTH = 2.0
+#: Prefix lengths to choose from, by the matches that they ask for; all of the first part is one more choice.
 MATCHES = (1, 2, 3, 4, 6, 8)
-#: Pairs of a shingle up to which they are emitted, as a root; the documents of other shingles are compared in blocks.
-PAIRS_UP_TO = 64
+#: Documents of a shingle up to which their pairs are emitted.
+HOT = 64
 #: Documents that are compared in one block, and about how many shingles they have together.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Bits of the filter of document ids, at most: 2 MB.
 FILTER_BITS = 1 << 24
 
@@ -140,12 +142,14 @@ def sent(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, c1 long")
 
 
-def prefix(token: np.ndarray, count: np.ndarray, n: int, r: int, percent: int) -> tuple[np.ndarray, int]:
-    """(the shingles of one set's prefix that other sets have too, the prefix's length with the others).
+def prefix(token: np.ndarray, count: np.ndarray, n: int, r: int, percent: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """(the shingles of one set's prefix that other sets have too, which of them are hot, the prefix's length with the
+    others, whether the set can link with one that shares none but hot ones).
 
     token: the shingles sent that others have, count: how many sets have each; n, r: the set's size and its shingles of the
     first part. With l matches the candidates are at most the sum of the other sets' places in the prefix divided by l;
-    each costs about as much as 40 postings.
+    each costs about as much as 40 postings. A set with more than n - least shingles before the hot ones shares too few with
+    a set that has none of those.
     """
     base = n - int(least_overlap(n, percent))
     h = token.view(np.uint64)
@@ -153,17 +157,20 @@ def prefix(token: np.ndarray, count: np.ndarray, n: int, r: int, percent: int) -
     order = np.concatenate([np.flatnonzero(early)[np.lexsort((h[early], count[early]))], np.flatnonzero(~early)[np.argsort(h[~early])]])
     alone = r - int(early.sum())
     # (length, matches, places that others share): within the first part, or all that was sent.
-    options = [(base + l, l, max(0, base + l - alone)) for l in MATCHES if base + l <= r]
+    options = [(base + l, l, max(0, base + l - alone)) for l in {*MATCHES, r - base} if 1 <= l <= r - base]
     if r < min(n, base + MATCHES[-1]):
         length = min(n, base + MATCHES[-1])
         options.append((length, length - base, len(order)))
     sums = np.concatenate([[0], np.cumsum(count[order] - 1)])
-    length, _, places = min(options, key=lambda o: (o[2] + 40.0 * sums[o[2]] / max(o[1], 1), o[0]))
-    return token[order[:places]], length
+    length, _, places = min(options, key=lambda o: (o[2] + 40.0 * sums[o[2]] / o[1], o[0]))
+    order = order[:places]
+    hot = count[order] > HOT
+    return token[order], hot, length, length > r or length - int(hot.sum()) <= base
 
 
 def postings(hits: DataFrame, percent: int) -> DataFrame:
-    """token, rep, n, behind, lead: the prefixes of all sets. behind: shingles after the prefix; lead: the set's least token.
+    """token, rep, n, behind, lead, hot, hots, active: the prefixes of all sets. behind: shingles after the prefix; lead: the
+    set's least token; hot, hots: whether the token is hot, and how many of the set are; active: as in `prefix`.
 
     hits: rep, n, r, and found (count, token): the shingles sent that other sets have too.
     """
@@ -171,15 +178,14 @@ def postings(hits: DataFrame, percent: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             chosen = [prefix(np.array([x["token"] for x in f], np.int64), np.array([x["count"] for x in f], np.int64), n, r, percent) for f, n, r in zip(frame["found"], frame["n"].tolist(), frame["r"].tolist(), strict=True)]
-            size = np.array([len(t) for t, _ in chosen], np.int64)
+            size = np.array([len(c[0]) for c in chosen], np.int64)
             if not size.sum():
                 continue
-            token = np.concatenate([t for t, _ in chosen])
-            lead = np.concatenate([t == t[np.argmin(t.view(np.uint64))] for t, _ in chosen if len(t)])
-            behind = frame["n"].to_numpy() - np.array([p for _, p in chosen])
-            yield pd.DataFrame({"token": token, "rep": np.repeat(frame["rep"].to_numpy(), size), "n": np.repeat(frame["n"].to_numpy(), size), "behind": np.repeat(behind, size), "lead": lead})
+            lead = np.concatenate([t == t[np.argmin(t.view(np.uint64))] for t, *_ in chosen if len(t)])
+            each = {"rep": frame["rep"].to_numpy(), "n": frame["n"].to_numpy(), "behind": frame["n"].to_numpy() - np.array([c[2] for c in chosen]), "hots": np.array([c[1].sum() for c in chosen]), "active": np.array([c[3] for c in chosen])}
+            yield pd.DataFrame({"token": np.concatenate([c[0] for c in chosen]), "lead": lead, "hot": np.concatenate([c[1] for c in chosen])} | {k: np.repeat(v, size) for k, v in each.items()})
 
-    return hits.mapInPandas(run, "token long, rep long, n long, behind long, lead boolean")
+    return hits.mapInPandas(run, "token long, rep long, n long, behind long, lead boolean, hot boolean, hots long, active boolean")
 
 
 def counted(classes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -218,26 +224,25 @@ def _blocks(times: int) -> Column:
     return F.ceil(F.greatest(F.count("*") * times / BLOCK, F.sum("n") * times / BLOCK_SHINGLES)).cast("long").alias("_blocks")
 
 
-def candidates(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b: pairs of documents of different components that share as many prefix shingles as they must; the lists of those
-    shingles that have too many such pairs to emit them).
+def mixed(lists: DataFrame) -> DataFrame:
+    """The rows of lists (token, comp and more) whose token is in more than one component: others can join no more."""
+    several = lists.groupBy("token").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter("_least < _most").select("token")
+    return lists.join(several, "token", "left_semi")
 
-    lists: token, rep, comp, n, behind. Shingles within one component give none. Of a shingle's pairs at least one document
-    is outside its largest component, so those are joined with all.
+
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of documents of different components that share a shingle of at most HOT documents, and with all hot ones
+    as many as they must.
+
+    lists: token, rep, comp, n, behind, hots.
     """
-    per = lists.groupBy("token", "comp").agg(F.count("*").alias("_c"))
-    stats = per.groupBy("token").agg(F.sum("_c").alias("_all"), F.max("_c").alias("_top"), F.max_by("comp", F.struct("_c", "comp")).alias("_major")).filter("_all > _top")
-    many = F.col("_all") * (F.col("_all") - F.col("_top")) > PAIRS_UP_TO * PAIRS_UP_TO
-    mixed = written(lists.join(stats.withColumn("_many", many).drop("_all", "_top"), "token"))
-    few = mixed.filter("not _many")
-    x = few.filter("comp <> _major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "behind")])
-    y = few.select("token", "_major", *[F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "behind")])
-    both = x.join(y, "token").filter(f"x_comp <> y_comp and (y_comp = _major or x_rep < y_rep) and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    few = mixed(lists)
+    x, y = (few.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "comp", "n", "behind", "hots")]) for side in "xy")
+    both = x.join(y, "token").filter(f"x_rep < y_rep and x_comp <> y_comp and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
     # An overlap of need at least; what lies behind the prefix that ends first can't be more than either has behind its own.
-    need = F.expr(f"({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent} - greatest(x_behind, y_behind)")
-    pairs = both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), need.alias("need"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
-    return pairs.select("a", "b"), mixed
+    need = F.expr(f"({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent} - greatest(x_behind, y_behind) - least(x_hots, y_hots)")
+    pairs = both.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"), need.alias("need"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
 def compare(ids: np.ndarray, hashes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -335,16 +340,15 @@ def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.repartition("doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h").join(ids, "doc_id")
 
 
-def bundled(pairs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """doc_id, key, role: for each candidate pair a key that both have.
+def bundled(pairs: DataFrame, many: DataFrame) -> DataFrame:
+    """doc_id, key, role: for each candidate pair a key that both have; a table that the caller drops.
 
-    A pair goes by its first document, whose partners are dealt into parts of about BLOCK. Documents of shingles with too
-    many pairs are dealt into blocks, each two of which share a key.
+    A pair goes by its first document, whose partners are dealt into parts of about BLOCK. Documents that hot shingles tie
+    together (many: token, rep, n) are dealt into blocks, each two of which share a key.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
     stars = pairs.join(parts, "a").withColumn("key", F.concat_ws("-", F.lit("s"), "a", F.pmod(F.xxhash64("b"), F.col("_parts"))))
     stars = stars.select(F.col("b").alias("doc_id"), "key", F.lit(1).alias("role")).union(stars.select(F.col("a").alias("doc_id"), "key", F.lit(0)).distinct())
-    many = mixed.filter("_many")
     firsts = many.groupBy("token").agg(F.min("rep").alias("a"))
     group = components(many.join(firsts, "token").select("a", F.col("rep").alias("b")))
     size = many.groupBy("rep").agg(F.max("n").alias("n"))
@@ -381,11 +385,11 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     group = components(close)
     dropped(keyed, close)
 
-    tagged = lists.join(group, lists["rep"] == group["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"), "n", "behind")
-    pairs, mixed = candidates(tagged, percent)
-    pairs = written(pairs)
-    bundles = bundled(pairs, mixed)
-    dropped(lists, mixed, pairs)
+    tagged = lists.join(group, lists["rep"] == group["node"], "left").withColumn("comp", F.coalesce("component", "rep"))
+    pairs = written(candidates(tagged.filter("not hot"), percent))
+    many = written(mixed(tagged.filter("hot and active")).select("token", "rep", "n"))
+    bundles = bundled(pairs, many)
+    dropped(lists, pairs, many)
     more = written(links(needed(docs, bundles).select("key", "role", "doc_id", "text"), k, percent))
     dropped(bundles)
     last = components(group.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))

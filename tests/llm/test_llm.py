@@ -232,7 +232,7 @@ def test_near_copies_equal_brute_force(spark, docs, monkeypatch):
         for j in rng.integers(0, 60, rng.integers(0, 4)):
             words[j] = f"x{rng.integers(0, 10_000)}"
         rows.append((100 + i, " ".join(words).upper() if i % 5 == 0 else " ".join(words)))
-    monkeypatch.setattr(jaccard, "PAIRS_UP_TO", 8)
+    monkeypatch.setattr(jaccard, "HOT", 8)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "key": F.lit(2)})
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df).collect()} == brute(rows, 4, 85)
