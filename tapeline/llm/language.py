@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, held_out, prepared, table
+from .quality import LONGEST, fitted
 
 #: Labelled rows to learn from at most: those of the least hash of their id.
 SAMPLE = 2400
@@ -79,7 +80,7 @@ def back(x: np.ndarray, kept: list, dout: np.ndarray, u: np.ndarray) -> tuple[np
 
 def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes in lower case as (windows, WINDOW), bytes there are in each, the text of each). Texts are covered whole."""
-    sizes = np.array([len(r) for r in raws])
+    sizes = np.array([len(r) for r in raws], np.int64)
     counts = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(raws)), counts)
     data = np.zeros((counts.sum(), WINDOW), np.uint8)
@@ -176,15 +177,17 @@ def identify(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text, lang).
 
     The network reads windows of whole texts in both directions, labels every position, and a document's probabilities
-    are the mean over its letters. It learns from at most `rows` rows of docs that have a language and aren't held out.
+    are the mean over its letters. It learns from at most `rows` documents that have a language and aren't held
+    out, one row of each, whose texts have at most LONGEST bytes.
     Null texts and those without a letter are `und` with score 0; so are all when there's nothing to learn from. Repeated
     rows get the same; an empty table gives no rows; other columns aren't kept.
     """
-    spark = prepared(docs.sparkSession)
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = known.join(F.broadcast(ids.distinct()), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    net = spark.sparkContext.broadcast(learn(some["text"].tolist(), some["lang"].tolist()))
+    prepared(docs.sparkSession)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST) & ~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")
+    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    own = F.struct("text", "lang")
+    some = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(own, F.xxhash64("text", "lang")).alias("own"))
+    net = fitted(some.select("doc_id", "own.text", "own.lang"), "lang", learn)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .common import _SPACE, batches, hash_spans, held_out, joined, mix, prepared
 SPACE = 1 << 18
 #: Labelled rows to learn from at most: those of the least hash of their id.
 SAMPLE = 4000
+#: Bytes of a text to learn from at most, so that a sample is bounded in bytes too; longer texts are scored, not learned from.
+LONGEST = 1 << 16
 _ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -69,16 +73,29 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return weights(z, n).astype(np.float32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> pd.DataFrame:
-    """text and label of at most `rows` labelled documents, by the hash of their ids; a document labelled twice counts once, by its greater label."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
+    """doc_id, text and label of at most `rows` labelled documents, by the hash of their ids, whose texts have at most LONGEST
+    bytes. A document labelled twice counts once, by its greater label; of several rows of one id, the text of least hash counts."""
     ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers.
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas()
-    return found.sort_values(["doc_id", "text"], ignore_index=True)
+    found = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
-def train(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
+def fitted(known: DataFrame, target: str, fit: Callable[[list, list], object]) -> Broadcast:
+    """fit(texts, targets) over a bounded sample, in one task of the cluster, so that the driver holds the model only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [f for f in frames if len(f)]
+        all_ = pd.concat(parts).sort_values("doc_id", ignore_index=True) if parts else pd.DataFrame({"text": [], target: []})
+        yield pd.DataFrame({"model": [pickle.dumps(fit(all_["text"].tolist(), all_[target].tolist()))]})
+
+    row = known.repartition(1).mapInPandas(run, "model binary").first()
+    return known.sparkSession.sparkContext.broadcast(pickle.loads(row["model"]) if row else fit([], []))
+
+
+def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
     rows = []
     for _, raws in batches(texts):
         grams, at = features(raws)
@@ -93,9 +110,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     probability. Null and empty texts have no n-grams and so get the constant's. With no labelled rows all score 0.5.
     Whole texts are read; repeated rows score alike; an empty table gives no rows; other columns aren't kept.
     """
-    spark = prepared(docs.sparkSession)
-    known = sample(docs, labels, label, rows)
-    weights = spark.sparkContext.broadcast(train(known["text"].tolist(), known["label"].to_numpy()))
+    prepared(docs.sparkSession)
+    weights = fitted(sample(docs, labels, label, rows), "label", train)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = weights.value
