@@ -98,11 +98,12 @@ def resolve_leader(flow: DataFrame, members: DataFrame) -> DataFrame:
     return flow.join(m.dropDuplicates(["sector_code", "lead_stock"]), ["sector_code", "lead_stock"], "left")
 
 
-def latest_state(candidates: DataFrame, quotes: DataFrame, now: str, max_age: int) -> DataFrame:
-    """Each candidate with its latest quote not after now, and whether it is fresh enough."""
+def latest_state(candidates: DataFrame, states: DataFrame, now: str, max_age: int, time: str = "quote_time", columns: tuple[str, ...] = ("last_price",), fresh: str = "fresh") -> DataFrame:
+    """Each candidate with `columns` of its latest state not after now, and whether that is fresh enough. Of states of one time
+    the greatest counts."""
     t = F.lit(now).cast("timestamp")
-    last = quotes.filter(F.col("quote_time") <= t).groupBy("stock_code").agg(F.max_by("last_price", F.struct("quote_time", "last_price")).alias("last_price"), F.max("quote_time").alias("quote_time"))
-    return candidates.join(last, "stock_code", "left").withColumn("fresh", F.coalesce(F.unix_timestamp(t) - F.unix_timestamp("quote_time") <= max_age, F.lit(False)))
+    last = states.filter(F.col(time) <= t).groupBy("stock_code").agg(F.max(F.struct(time, *columns)).alias("_s")).select("stock_code", "_s.*")
+    return candidates.join(last, "stock_code", "left").withColumn(fresh, F.coalesce(F.unix_timestamp(t) - F.unix_timestamp(time) <= max_age, F.lit(False)))
 
 
 def last_n_dates(calendar: DataFrame, n: int) -> DataFrame:

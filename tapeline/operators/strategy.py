@@ -187,14 +187,18 @@ def train_end_date(trades: DataFrame, share: float = 0.7, least: int = 110) -> D
 def grid(spark: SparkSession, base: dict[str, float], stricter: dict[str, list[float]], most: int = 1000) -> DataFrame:
     """trial, changes and a value for each parameter: every combination of the base's and stricter values, fewest changes first.
 
-    Parameters ending in _max are stricter when lower. The grid is configuration of at most `most` rows, not data."""
+    Parameters ending in _max are stricter when lower; combinations whose bounds cross are none. The grid is configuration, not
+    data: ValueError if it has more than `most` rows."""
     names = sorted(base)
     choices = [[base[n], *[v for v in stricter.get(n, []) if (v < base[n] if n.endswith("_max") else v > base[n])]] for n in names]
     rows = [dict(zip(names, values, strict=True)) for values in itertools.product(*choices)]
     rows = [r for r in rows if "change_min" not in r or "change_max" not in r or r["change_min"] < r["change_max"]]
+    rows = [r for r in rows if "board_count_min" not in r or "board_count_max" not in r or r["board_count_min"] <= r["board_count_max"]]
+    if len(rows) > most:
+        raise ValueError(f"{len(rows)} combinations; at most {most} can be tried")
     changes = lambda r: sum(not math.isclose(r[n], base[n]) for n in names)
     rows.sort(key=lambda r: (changes(r), [r[n] for n in names]))
-    return spark.createDataFrame([(i, changes(r), *[float(r[n]) for n in names]) for i, r in enumerate(rows[:most])], "trial long, changes long, " + ", ".join(f"{n} double" for n in names))
+    return spark.createDataFrame([(i, changes(r), *[float(r[n]) for n in names]) for i, r in enumerate(rows)], "trial long, changes long, " + ", ".join(f"{n} double" for n in names))
 
 
 def evaluate_grid(trades: DataFrame, trials: DataFrame, facts: dict[str, str], end: DataFrame) -> DataFrame:
@@ -207,16 +211,24 @@ def evaluate_grid(trades: DataFrame, trials: DataFrame, facts: dict[str, str], e
     return trade_summary(df.withColumn("split", F.when(F.col("trade_date") <= F.col("train_end"), "train").otherwise("test")), ["trial", "changes", "split"])
 
 
-def rank_trials(results: DataFrame, least: int = 30) -> DataFrame:
-    """One row a trial: both splits, drift of the win rate, a verdict, and its place by verdict, lower bound, mean, drift and changes."""
-    side = lambda s: results.filter(F.col("split") == s).select("trial", "changes", *[F.col(c).alias(f"{s}_{c}") for c in ("trades", "win_rate", "mean_return", "wilson")])
+def rank_trials(results: DataFrame, train: tuple[int, int, float] = (300, 80, 48.0), test: tuple[int, int, float] = (120, 30, 50.0), most_drift: float = 8.0) -> DataFrame:
+    """One row a trial: both splits, drift of the win rate, a verdict, and its place.
+
+    train, test: the trades, days with signals and win rate that a split needs; both means must be above 0 as well. Eligible
+    trials come first, then by lower bound, mean, median and trades of the test split; trials alike by their number.
+    """
+    columns = ("trades", "days", "win_rate", "mean_return", "median_return", "wilson")
+    side = lambda s: results.filter(F.col("split") == s).select("trial", "changes", *[F.col(c).alias(f"{s}_{c}") for c in columns])
     df = side("train").join(side("test"), ["trial", "changes"], "full")
-    df = df.withColumn("drift", F.abs(F.col("train_win_rate") - F.col("test_win_rate")))
-    enough = (F.coalesce("train_trades", F.lit(0)) >= least) & (F.coalesce("test_trades", F.lit(0)) >= least)
-    verdict = F.when(~enough, "data_insufficient").when((F.col("test_mean_return") > 0) & (F.col("drift") <= 15), "eligible").otherwise("rejected")
-    df = df.withColumn("verdict", verdict)
-    first = F.when(F.col("verdict") == "eligible", 0).when(F.col("verdict") == "rejected", 1).otherwise(2)
-    order = Window.orderBy(first, F.desc_nulls_last("test_wilson"), F.desc_nulls_last("test_mean_return"), F.asc_nulls_last("drift"), "changes", "trial")  # at most 1000 rows
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    df = df.withColumn("drift", F.round(F.abs(zero("train_win_rate") - zero("test_win_rate")), 4))
+    enough, good = F.lit(True), F.col("drift") <= most_drift
+    for s, (trades, days, rate) in (("train", train), ("test", test)):
+        enough = enough & (zero(f"{s}_trades") >= trades) & (zero(f"{s}_days") >= days)
+        good = good & (zero(f"{s}_win_rate") >= rate) & (zero(f"{s}_mean_return") > 0)
+    df = df.withColumn("verdict", F.when(~enough, "data_insufficient").when(good, "eligible").otherwise("rejected"))
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(-999.0))
+    order = Window.orderBy(F.desc(F.col("verdict") == "eligible"), F.desc(zero("test_wilson")), F.desc(known("test_mean_return")), F.desc(known("test_median_return")), F.desc(zero("test_trades")), "trial")  # at most 1000 rows
     return df.withColumn("place", F.row_number().over(order).cast("long"))
 
 

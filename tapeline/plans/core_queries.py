@@ -111,7 +111,7 @@ B = "select stock_code, trade_date, close_price from bars"
 N_ = "cast(substr(stock_code, 5, 2) as integer)"
 CUR = f"select sector_code, stock_code, {N_} as weight from members where {N_} % 4 <> 0"
 NEW = f"select sector_code, stock_code, {N_} + case when {N_} % 3 = 0 then 1 else 0 end as weight from members where {N_} % 5 <> 0"
-GRID = "select s.stock_code, c.trade_date from stocks s cross join calendar c where idx between 51 and 60"
+GRID = "select s.stock_code, c.trade_date from stocks s cross join calendar c"
 OFF = "select distinct stock_code, trade_date from limit_events where event_type = 'suspend'"
 COV = " union all ".join(f"select trade_date, '{n}' as asset, count(*) as expected, count(a) as actual, count(*) filter (a is null and o) as suspended, count(*) - count(a) - count(*) filter (a is null and o) as missing, count(a) / count(*) * 100 as completeness, (count(a) + count(*) filter (a is null and o)) / count(*) * 100 as effective from grid g left join (select distinct stock_code, trade_date, 1 as a from {n}) using (stock_code, trade_date) left join (select *, true as o from off) using (stock_code, trade_date) group by 1" for n in ("bars", "basic", "flow"))
 STATS = " union all ".join(f"select '{n}' as asset, count(*) as rows, max(trade_date) as latest, (select count(distinct stock_code) from {n} where trade_date = (select max(trade_date) from {n})) as stocks_at_latest from {n}" for n in ("bars", "basic", "flow"))
@@ -187,9 +187,9 @@ TABLE = {
     "q02_gaps": (lambda s, d: (lambda g: A.gaps(D.flow(s, d), D.bars(s, d), *g))(grid_parts(s, d)), "select stock_code, trade_date, case when o.x is not null then 'suspended' when b.p is null then 'no_market_record' else 'missing_data' end as reason from grid left join (select *, 1 as x from off) o using (stock_code, trade_date) left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date) where (stock_code, trade_date) not in (select (stock_code, trade_date) from flow)"),
     "q03_table_stats": (lambda s, d: A.table_stats(assets(s, d)), STATS),
     "q04_stale_days": (lambda s, d: A.stale_days(A.table_stats({k: v.filter("trade_date < '2022-03-20'") if k == "flow" else v for k, v in assets(s, d).items()}), D.calendar(s, d)), "select asset, latest, (select count(*) from calendar where trade_date > latest) as stale_days from (select asset, case when asset = 'flow' then (select max(trade_date) from flow where trade_date < date '2022-03-20') else latest end as latest from stats)"),
-    "q05_asset_summary": (lambda s, d: (lambda st: A.asset_summary(st, A.stale_days(st, D.calendar(s, d)), D.stocks(s, d)))(A.table_stats(assets(s, d))), "select *, case when rows = 0 then 'empty' when stale_days > 0 then 'stale' when stocks_at_latest / 100 >= 0.98 then 'ok' when stocks_at_latest / 100 >= 0.8 then 'partial' else 'limited' end as status from (select *, (select count(*) from calendar where trade_date > latest) as stale_days from stats)"),
+    "q05_asset_summary": (lambda s, d: (lambda st: A.asset_summary(st, A.stale_days(st, D.calendar(s, d)), D.stocks(s, d)))(A.table_stats(assets(s, d))), "select *, case when rows = 0 then 'empty' when stale_days > 0 then 'stale' when stocks_at_latest / (select count(*) from stocks) >= 0.98 then 'ok' when stocks_at_latest / (select count(*) from stocks) >= 0.8 then 'partial' else 'limited' end as status from (select *, (select count(*) from calendar where trade_date > latest) as stale_days from stats)"),
     "q06_daily_health": (lambda s, d: A.daily_health(cov(s, d)), "select trade_date, max(status) filter (asset = 'bars') as bars, max(status) filter (asset = 'basic') as basic, max(status) filter (asset = 'flow') as flow from (select *, case when missing = 0 and effective >= 99.5 then 'ok' when effective >= 98 then 'partial' else 'stale' end as status from coverage) group by 1"),
-    "q07_readiness": (lambda s, d: A.readiness(A.asset_counts(assets(s, d)), D.stocks(s, d)), "select trade_date, case when bars / 100 < 0.95 then 'blocked' when basic / 100 < 0.9 or flow / 100 < 0.85 then 'degraded' else 'complete' end as status, concat_ws(',', case when bars / 100 < 0.95 then 'bars' end, case when basic / 100 < 0.9 then 'basic' end, case when flow / 100 < 0.85 then 'flow' end) as missing from counts"),
+    "q07_readiness": (lambda s, d: A.readiness(A.asset_counts(assets(s, d)), D.stocks(s, d)), "select trade_date, case when bars / (select count(*) from stocks) < 0.95 then 'blocked' when basic / (select count(*) from stocks) < 0.9 or flow / (select count(*) from stocks) < 0.85 then 'degraded' else 'complete' end as status, concat_ws(',', case when bars / (select count(*) from stocks) < 0.95 then 'bars' end, case when basic / (select count(*) from stocks) < 0.9 then 'basic' end, case when flow / (select count(*) from stocks) < 0.85 then 'flow' end) as missing from counts"),
     "q09_duplicate_keys": (lambda s, d: A.duplicate_keys(D.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1"),
     "q10_mapping_report": (lambda s, d: G.mapping_report(raw_daily(s, d), G.normalize_daily(raw_daily(s, d))), "select count(*) as raw, count(*) filter (day(trade_date) <> 13) as mapped, count(*) filter (day(trade_date) = 13) as skipped from bars"),
     "l01_pool_members": (lambda s, d: A.pool_members(D.stocks(s, d), D.stocks(s, d).filter("is_st"), S.screened(s, d).select("stock_code").distinct()), "select stock_code, pool from (select stock_code, 'active' as pool from stocks union select stock_code, 'static' from stocks where is_st union select stock_code, 'candidates' from screened) where stock_code in (select stock_code from stocks where status = 'active')"),

@@ -230,7 +230,7 @@ from (select *, low_price + (high_price - low_price) * 0.05::double as q5, low_p
     "f09_technical_snapshot": (f09, """select b.stock_code, b.trade_date, coalesce((m.last - bottom) / nullif(top - bottom, 0) * 100, change_pct) as strength, case when volume_ratio is not null then least(volume_ratio * 20, 100) else 100 end as volume_score,
   cast(least(50 + case when close_price > ma5 then 20 else 0 end + case when ma5 > ma10 then 20 else 0 end + case when ma10 > ma20 then 10 else 0 end, 100) as bigint) as trend_score
 from bars b left join f1 f on f.stock_code = b.stock_code and f.trade_date = b.trade_date left join (select stock_code, trade_date, last(price order by bar_time, event_id) as last, max(price) as top, min(price) as bottom from minutes group by 1, 2) m on m.stock_code = b.stock_code and m.trade_date = b.trade_date""", {"f1": F1}),
-    "f10_backfill_window": (f10, "select stock_code, trade_date, ma20, return_1d from f1 where trade_date in (select trade_date from calendar where idx between 101 and 120) and not (stock_code <= '000050' and history_days % 2 = 0)", {"f1": F1}),
+    "f10_backfill_window": (f10, "select stock_code, trade_date, ma20, return_1d from f1 where trade_date in (select trade_date from calendar) and not (stock_code <= '000050' and history_days % 2 = 0)", {"f1": F1}),
     "f11_activation_gate": (f11, "select count(*) as days, count(*) filter (coverage >= 0.98 and fallback_count = 0) as good_days, count(*) = 5 and count(*) filter (coverage >= 0.98 and fallback_count = 0) = 5 as active from (select * from a20 order by trade_date desc limit 5)", {"f1": F1, "f5": F5, "a20": (A20 := """select b.trade_date, count(*) as bar_count, count(fallback) as v2_count, count(*) filter (fallback) as fallback_count, round(avg(abs(a.ma5 - c.ma5)), 6) as ma5_diff, round(avg(abs(a.ma20 - c.ma20)), 6) as ma20_diff, count(fallback) / count(*) as coverage
 from bars b left join f1 a on a.stock_code = b.stock_code and a.trade_date = b.trade_date left join f5 c on c.stock_code = b.stock_code and c.trade_date = b.trade_date group by 1""")}),
     "a20_compare_factor_sets": (a20, A20, {"f1": F1, "f5": F5}),

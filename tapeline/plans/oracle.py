@@ -42,7 +42,7 @@ select idx, d(idx) as trade_date, case when idx > 1 then d(idx - 1) end as previ
 select lpad(cast(user_id % 10 as varchar), 6, '0') as stock_code, cast(ts as date) as trade_date, ts as bar_time, event_id, 10 + value / 100 as price, v as volume_hand, (10 + value / 100) * v * 100 as amount_yuan
 from (select *, case when k % 10 <> 0 then k else 0 end as v from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events))""",
     "quotes": """
-select stock_code, round_time, quote_time, last_price, pre_close_price, (last_price / pre_close_price - 1) * 100 as change_pct, open_price, high_price, low_price, n * 100 as volume_share, last_price * n * 100 as amount_yuan, pre_close_price * 1.1::double as limit_up
+select stock_code, round_time, quote_time, last_price, pre_close_price, (last_price / pre_close_price - 1) * 100 as change_pct, open_price, high_price, low_price, n * 100 as volume_share, last_price * n * 100 as amount_yuan, pre_close_price * 1.1::double as limit_up, pre_close_price * 0.9::double as limit_down
 from (select *, lag(last_price) over (partition by stock_code order by round_time) as pre_close_price from (
   select stock_code, round_time, max(ts) as quote_time, 10 + last(value order by ts, event_id) / 100 as last_price, 10 + first(value order by ts, event_id) / 100 as open_price, 10 + max(value) / 100 as high_price, 10 + min(value) / 100 as low_price, count(*) as n
   from (select *, lpad(cast(user_id % 100 as varchar), 6, '0') as stock_code, date_trunc('hour', ts) as round_time from events) group by 1, 2)) where pre_close_price is not null""",

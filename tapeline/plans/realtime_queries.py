@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators.merge import latest_per_key
+from ..operators.relational import latest_state
 from ..sources import domain as D
 from ..streaming import realtime as X
 from . import factor_queries as Q
@@ -19,6 +21,20 @@ def groups(spark, d):
     return D.quotes(spark, d).select("stock_code").distinct().withColumn("sector_code", F.concat(F.lit("G"), F.col("stock_code").cast("int") % 7))
 
 
+def latest_factors(spark, d):
+    return latest_per_key(Q.f01(spark, d), ["stock_code"], [F.desc("trade_date")])
+
+
+def pools(spark, d):
+    stocks = D.quotes(spark, d).select("stock_code").distinct()
+    return stocks.withColumn("pool", F.explode(F.array(F.lit("all"), F.when(F.col("stock_code").cast("int") % 3 == 0, "watch").otherwise("core"))))
+
+
+def entry_candidates(spark, d):
+    n = F.col("stock_code").cast("int") % 3
+    return active(spark, d).withColumn("entry_mode", F.when(n == 0, "auction").when(n == 1, "open").otherwise("intraday"))
+
+
 def sector_strength(spark, d):
     return X.strength(D.quotes(spark, d), groups(spark, d), "sector_code")
 
@@ -33,20 +49,31 @@ def depth(spark, d):
 
 
 GROUPS = "select distinct stock_code, 'G' || (cast(stock_code as integer) % 7) as sector_code from quotes"
-STRENGTH = """select round_time, sector_code, members, quotes, quotes / members * 100 as coverage, case when quotes / members * 100 >= 95 then 'high' when quotes / members * 100 >= 80 then 'medium' else 'low' end as confidence, round(m, 6) as mean_change, up, limit_ups,
-  round(least(100, greatest(0, least(35, greatest(0, (m + 3) / 6 * 35)) + up / quotes * 30 + least(25, limit_ups / members * 250) + least(10, greatest(0, log10(greatest(1, amount)) - 6)))), 4) as heat, leader, laggard
-from (select round_time, q.sector_code, count(*) as quotes, cast(sum(cast(change_pct as decimal(20,8))) as double) / count(*) as m, count(*) filter (change_pct > 0) as up, count(*) filter (abs(limit_up - last_price) <= greatest(0.001, abs(limit_up) * 0.0002::double)) as limit_ups, cast(sum(cast(amount_yuan as decimal(20,4))) as double) as amount,
+STRENGTH = """select round_time, sector_code, members, quotes, quotes / members * 100 as coverage, case when quotes / members * 100 >= 95 then 'high' when quotes / members * 100 >= 80 then 'medium' else 'low' end as confidence, round(m, 6) as mean_change, median_change, up, down, flat, limit_ups, limit_downs,
+  round(least(100, greatest(0, least(35, greatest(0, (m + 3) / 6 * 35)) + up / quotes * 30 + least(25, limit_ups / members * 250) - least(10, limit_downs / members * 100) + least(10, greatest(0, log10(greatest(1, amount)) - 6)))), 4) as heat, leader, laggard
+from (select round_time, q.sector_code, count(*) as quotes, cast(sum(cast(change_pct as decimal(20,8))) as double) / count(*) as m, count(*) filter (change_pct > 0) as up, count(*) filter (change_pct < 0) as down, count(*) filter (change_pct = 0) as flat, round(quantile_cont(change_pct, 0.5), 4) as median_change, count(*) filter (abs(limit_up - last_price) <= greatest(0.001, abs(limit_up) * 0.0002::double)) as limit_ups, count(*) filter (abs(limit_down - last_price) <= greatest(0.001, abs(limit_down) * 0.0002::double)) as limit_downs, cast(sum(cast(amount_yuan as decimal(20,4))) as double) as amount,
   first(stock_code order by change_pct desc, stock_code desc) as leader, first(stock_code order by change_pct, stock_code) as laggard from (select * from quotes join grp using (stock_code)) q group by 1, 2) join (select sector_code, count(*) as members from grp group by 1) using (sector_code)"""
 RANKED = "select *, lag(rank) over (partition by sector_code order by round_time) - rank as rank_change from (select *, row_number() over (partition by round_time order by heat desc, sector_code) as rank from strength)"
-NOW = "2024-01-10 12:00:00"
-ALL = {"grp": GROUPS, "strength": STRENGTH, "ranked": RANKED, "f1": Q.F1}
+NOW, FRESH = "2024-01-10 12:00:00", 6 * 3600
+LATEST = f"(select * from (select *, row_number() over (partition by stock_code order by quote_time desc) as n from quotes where quote_time <= timestamp '{NOW}') where n = 1)"
+_AGE = f"coalesce(epoch(timestamp '{NOW}') - floor(epoch({{}})) > {FRESH}, true)"
+_ASK = "d.last_price * (1 + 1 * 0.001::double)"
+ENTRY = f"""select *, case reason when 'entry_confirmation_matched' then 'trigger' when 'gap_above_range' then 'reject' when 'near_limit_up_queue' then 'reject' else 'wait' end as decision from (
+  select a.stock_code, entry_mode, case when {_AGE.format('q.quote_time')} then 'quote_stale_or_missing' when {_AGE.format('d.round_time')} then 'depth_stale_or_missing' when entry_mode = 'auction' and coalesce(s.n, 0) < 3 then 'auction_depth_history_insufficient' when entry_mode = 'intraday' and coalesce(b.n, 0) < 5 then 'minute_history_insufficient'
+    when ({_ASK} / q.pre_close_price - 1) * 100 < -2 then 'gap_below_range' when ({_ASK} / q.pre_close_price - 1) * 100 > 4 then 'gap_above_range' when {_ASK} >= q.limit_up * 0.9998::double then 'near_limit_up_queue' else 'entry_confirmation_matched' end as reason
+  from (select distinct stock_code, case cast(stock_code as integer) % 3 when 0 then 'auction' when 1 then 'open' else 'intraday' end as entry_mode from quotes) a left join {LATEST} q on q.stock_code = a.stock_code
+  left join (select * from (select *, row_number() over (partition by stock_code order by round_time desc) as n from quotes where round_time <= timestamp '{NOW}') where n = 1) d on d.stock_code = a.stock_code
+  left join (select stock_code, count(*) as n from quotes where round_time <= timestamp '{NOW}' and cast(round_time as date) = date '{NOW[:10]}' group by 1) s on s.stock_code = a.stock_code
+  left join (select stock_code, count(*) as n from minutes where bar_time <= timestamp '{NOW}' and cast(bar_time as date) = date '{NOW[:10]}' group by 1) b on b.stock_code = a.stock_code)"""
+POOLS = "select distinct stock_code, case when cast(stock_code as integer) % 3 = 0 then 'watch' else 'core' end as pool from quotes union all select distinct stock_code, 'all' from quotes"
+ALL = {"grp": GROUPS, "pools": POOLS, "strength": STRENGTH, "ranked": RANKED, "f1": Q.F1}
 _AT = "max(case when n = {} then price end)"
 TABLE = {
     "x01_accepted_rounds": (lambda s, d: X.accepted(D.quotes(s, d), active(s, d), 0.12), "select round_time, received, active, received >= ceil(active * 0.12) as accepted from (select round_time, count(distinct stock_code) as received, (select count(distinct stock_code) from quotes) as active from quotes group by 1)"),
     "x02_overview": (lambda s, d: X.overview(D.quotes(s, d)), "select *, case when up / quotes * 100 >= 65 then 'broad_up' when down / quotes * 100 >= 65 then 'broad_down' else 'mixed' end as state from (select round_time, count(*) as quotes, count(*) filter (change_pct > 0) as up, count(*) filter (change_pct < 0) as down, round(avg(change_pct), 6) as mean_change, quantile_cont(change_pct, 0.5) as median_change, cast(sum(cast(amount_yuan as decimal(20,4))) as double) as amount from quotes q group by 1)"),
-    "x03_above_ma": (lambda s, d: X.above_ma(D.quotes(s, d), Q.f01(s, d).filter("history_days = 200")), "select round_time, count(*) filter (last_price >= ma5) as above_ma5, count(*) filter (last_price >= ma20) as above_ma20, count(*) filter (last_price >= ma60) as above_ma60, count(*) filter (last_price >= ma5 and last_price >= ma20 and last_price >= ma60) as above_all, count(*) as compared from quotes q join (select * from f1 where history_days = 200) f on f.stock_code = q.stock_code group by 1"),
+    "x03_above_ma": (lambda s, d: X.above_ma(D.quotes(s, d), latest_factors(s, d)), "select round_time, count(*) filter (last_price >= ma5) as above_ma5, count(*) filter (last_price >= ma20) as above_ma20, count(*) filter (last_price >= ma60) as above_ma60, count(*) filter (last_price >= ma5 and last_price >= ma20 and last_price >= ma60) as above_all, count(*) as compared from quotes q join (select * from (select *, row_number() over (partition by stock_code order by trade_date desc) as latest from f1) where latest = 1) f on f.stock_code = q.stock_code group by 1"),
     "x04_intraday_structure": (lambda s, d: X.intraday_structure(D.quotes(s, d)), "select round_time, count(*) filter (last_price > open_price) as above_open, count(*) filter (last_price < open_price) as below_open, count(*) filter (abs(last_price - high_price) <= greatest(0.001, high_price * 0.0002::double)) as at_high, count(*) filter (abs(last_price - low_price) <= greatest(0.001, low_price * 0.0002::double)) as at_low from quotes group by 1"),
-    "x05_limit_hits": (lambda s, d: X.limit_hits(D.quotes(s, d)), "select round_time, count(*) filter (abs(limit_up - last_price) <= greatest(0.001, limit_up * 0.0002::double)) as limit_ups, count(*) as verified from quotes group by 1"),
+    "x05_limit_hits": (lambda s, d: X.limit_hits(D.quotes(s, d)), "select round_time, count(*) filter (abs(limit_up - last_price) <= greatest(0.001, limit_up * 0.0002::double)) as limit_ups, count(*) filter (abs(limit_down - last_price) <= greatest(0.001, limit_down * 0.0002::double)) as limit_downs, count(*) as verified from quotes group by 1"),
     "x06_sector_strength": (sector_strength, "select * from strength"),
     "x08_rank_delta": (ranked, "select * from ranked"),
     "x10_change_events": (lambda s, d: X.change_events(ranked(s, d), "sector_code"), "select round_time, sector_code, kind, rank, r as rank_before, row_number() over (partition by round_time order by rank, sector_code) as place from (select *, case when abs(r - rank) >= 5 then 'rank_jump' when rank <= 5 and l <> leader then 'leader_change' end as kind from (select *, lag(rank) over w as r, lag(leader) over w as l from ranked window w as (partition by sector_code order by round_time))) where kind is not null"),
@@ -56,7 +83,11 @@ TABLE = {
     "x14_minute_features": (lambda s, d: X.minute_features(D.minutes(s, d)), f"select stock_code, trade_date, ({_AT.format(1)} / {_AT.format(2)} - 1) * 100 as return_1m, ({_AT.format(1)} / {_AT.format(6)} - 1) * 100 as return_5m, ({_AT.format(1)} / {_AT.format(16)} - 1) * 100 as return_15m, round((sum(volume_hand) filter (n <= 5) / count(*) filter (n <= 5)) / nullif(sum(volume_hand) filter (n between 6 and 25) / nullif(count(*) filter (n between 6 and 25), 0), 0), 6) as volume_spike, ({_AT.format(1)} / arg_max(price, n) - 1) * 100 as trend, ({_AT.format(1)} - min(price)) / nullif(max(price) - min(price), 0) as strength, {_AT.format(1)} >= max(price) as breakout from (select *, row_number() over (partition by stock_code, trade_date order by bar_time desc, event_id desc) as n from minutes) group by 1, 2"),
     "x15_merge_targets": (lambda s, d: X.merge_targets(active(s, d).withColumns({"lane": F.when(F.col("stock_code").cast("int") % 3 == 0, 0).otherwise(1), "priority": F.col("stock_code").cast("int") % 9}), D.quotes(s, d).groupBy("stock_code").agg(F.max("change_pct").alias("change_pct")).filter("change_pct > 20"), 15), "select stock_code, cast(case when o then 1 else lane end as bigint) as lane, priority, score, o as overflow from (select *, lane = 0 and row_number() over (partition by lane order by score desc, stock_code) > 15 as o from (select stock_code, min(lane) as lane, min(priority) as priority, sum(score) as score from (select distinct stock_code, case when cast(stock_code as integer) % 3 = 0 then 0 else 1 end as lane, cast(stock_code as integer) % 9 as priority, 10.0::double as score from quotes union all select stock_code, 0, 50, least(abs(c) * 5, 40) from (select stock_code, max(change_pct) as c from quotes group by 1) where c > 20) group by 1))"),
     "x16_in_session": (lambda s, d: D.table(s, d, "events").filter(X.in_session(F.col("ts"))).select("event_id"), "select event_id from (select *, ts + interval 8 hour as l from events) where dayofweek(l) between 1 and 5 and (cast(l as time) between time '09:30:00' and time '11:30:00.999999' or cast(l as time) between time '13:00:00' and time '15:00:00.999999')"),
-    "x17_entry_triggers": (lambda s, d: X.entry_triggers(active(s, d), D.quotes(s, d), NOW, 86400 * 400), f"select stock_code, reason, case reason when 'entry_confirmation_matched' then 'trigger' when 'gap_above_range' then 'reject' when 'near_limit_up_queue' then 'reject' else 'wait' end as decision from (select a.stock_code, case when quote_time is null or epoch(timestamp '{NOW}') - epoch(date_trunc('second', quote_time)) > {86400 * 400} then 'stale' when change_pct < -2 then 'gap_below_range' when change_pct > 4 then 'gap_above_range' when last_price >= limit_up * 0.998::double then 'near_limit_up_queue' else 'entry_confirmation_matched' end as reason from (select distinct stock_code from quotes) a left join (select * from (select *, row_number() over (partition by stock_code order by quote_time desc) as n from quotes where quote_time <= timestamp '{NOW}') where n = 1) q on q.stock_code = a.stock_code)"),
+    "x07_pool_summary": (lambda s, d: X.strength(D.quotes(s, d), pools(s, d), "pool"), STRENGTH.replace("sector_code", "pool").replace(" grp", " pools")),
+    "x09_timeline": (lambda s, d: X.timeline(D.quotes(s, d), active(s, d), 0.12), "select cast(round_time as date) as trade_date, row_number() over (partition by cast(round_time as date) order by round_time) as point, *, case when up / quotes * 100 >= 65 then 'broad_up' when down / quotes * 100 >= 65 then 'broad_down' else 'mixed' end as state from (select round_time, count(*) as quotes, count(*) filter (change_pct > 0) as up, count(*) filter (change_pct < 0) as down, round(avg(change_pct), 6) as mean_change, cast(sum(cast(amount_yuan as decimal(20,4))) as double) as amount from quotes q group by 1 having count(distinct stock_code) >= ceil((select count(distinct stock_code) from quotes) * 0.12))"),
+    "x17_entry_triggers": (lambda s, d: X.entry_triggers(entry_candidates(s, d), D.quotes(s, d), depth(s, d), D.minutes(s, d), NOW, FRESH, FRESH), ENTRY),
+    "x20_fresh_quotes": (lambda s, d: X.drop_stale(D.quotes(s, d), NOW, FRESH).select("stock_code", "quote_time"), f"select stock_code, quote_time from quotes where epoch(timestamp '{NOW}') - floor(epoch(quote_time)) <= {FRESH}"),
+    "j14_latest_state": (lambda s, d: latest_state(active(s, d), D.quotes(s, d), NOW, FRESH), f"select a.stock_code, quote_time, last_price, coalesce(epoch(timestamp '{NOW}') - floor(epoch(quote_time)) <= {FRESH}, false) as fresh from (select distinct stock_code from quotes) a left join {LATEST} q on q.stock_code = a.stock_code"),
     "x19_dedupe_events": (lambda s, d: X.dedupe_events(D.table(s, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type"), "select distinct user_id, event_type from events"),
 }
 QUERIES = {name: entry[0] for name, entry in TABLE.items()}

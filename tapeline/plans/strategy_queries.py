@@ -121,10 +121,10 @@ TRIALS = sorted(((v != 0.5) + (p != 0.3), p, v) for v in (0.5, 1.0, 1.5) for p i
 GRID = "select * from (values " + ", ".join(f"({i}::bigint, {c}::bigint, {p}::double, {v}::double)" for i, (c, p, v) in enumerate(TRIALS)) + ") t(trial, changes, close_position_min, volume_ratio_min)"
 END = "select count(*) as days, case when count(*) >= 110 then list_sort(list(trade_date))[cast(floor(count(*) * 0.7) as integer)] end as train_end from (select distinct trade_date from tf)"
 EVAL = _summary("(select *, case when trade_date <= train_end then 'train' else 'test' end as split from tf join grid on volume_ratio >= volume_ratio_min and close_position >= close_position_min cross join fin)", "trial, changes, split")
-RANKED = """select *, row_number() over (order by case verdict when 'eligible' then 0 when 'rejected' then 1 else 2 end, test_wilson desc nulls last, test_mean_return desc nulls last, drift nulls last, changes, trial) as place
-from (select *, case when coalesce(train_trades, 0) < 30 or coalesce(test_trades, 0) < 30 then 'data_insufficient' when test_mean_return > 0 and drift <= 15 then 'eligible' else 'rejected' end as verdict from (
-  select trial, changes, any_value(trades) filter (split = 'train') as train_trades, any_value(win_rate) filter (split = 'train') as train_win_rate, any_value(mean_return) filter (split = 'train') as train_mean_return, any_value(wilson) filter (split = 'train') as train_wilson, any_value(trades) filter (split = 'test') as test_trades, any_value(win_rate) filter (split = 'test') as test_win_rate, any_value(mean_return) filter (split = 'test') as test_mean_return, any_value(wilson) filter (split = 'test') as test_wilson,
-    abs(any_value(win_rate) filter (split = 'train') - any_value(win_rate) filter (split = 'test')) as drift from results group by 1, 2))"""
+_SIDES = ", ".join(f"any_value({c}) filter (split = '{s}') as {s}_{c}" for s in ("train", "test") for c in ("trades", "days", "win_rate", "mean_return", "median_return", "wilson"))
+RANKED = f"""select *, row_number() over (order by verdict = 'eligible' desc, coalesce(test_wilson, 0) desc, coalesce(nullif(test_mean_return, 0), -999) desc, coalesce(nullif(test_median_return, 0), -999) desc, coalesce(test_trades, 0) desc, trial) as place
+from (select *, case when coalesce(train_trades, 0) < 300 or coalesce(test_trades, 0) < 120 or coalesce(train_days, 0) < 80 or coalesce(test_days, 0) < 30 then 'data_insufficient' when train_win_rate < 48 or test_win_rate < 50 or train_mean_return <= 0 or test_mean_return <= 0 or drift > 8 then 'rejected' else 'eligible' end as verdict
+from (select *, round(abs(coalesce(train_win_rate, 0) - coalesce(test_win_rate, 0)), 4) as drift from (select trial, changes, {_SIDES} from results group by 1, 2)))"""
 ALL = N.ALL | {
     "ev": _frame(""), "rk": RANK, "evt": _frame("rk"), "screened": SCREENED, "sig": 'select stock_code, trade_date, idx as "at" from crossed join calendar using (trade_date)', "crossed": Q.TABLE["w20_crossed_up"][1], "nb": "select stock_code, idx, open_price, close_price from bars join calendar using (trade_date)",
     "outcomes": OUT, "tf": "select o.*, volume_ratio, close_position from outcomes o join f1 f on f.stock_code = o.stock_code and f.trade_date = o.trade_date", "grid": GRID, "fin": END, "results": EVAL,
@@ -159,7 +159,7 @@ TABLE = {
     "r24_cap_guard": (lambda s, d: S.cap_guard(screened(s, d), 5), "select rule, max(n) as peak, max(n) >= 5 as hit_cap from (select rule, trade_date, count(*) as n from screened group by 1, 2) group by 1"),
     "a14_strategy_summary": (lambda s, d: S.strategy_summary(trades(s, d)), f"select rule, count(*) filter (status = 'open') as open, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'closed') as closed, max(trade_date) as latest, round(avg(value) filter (status = 'closed'), 4) as mean_closed from ({TRADES}) group by 1"),
     "a15_peak_per_day": (lambda s, d: S.peak_per_day(screened(s, d)), "select rule, max(n) as peak from (select rule, trade_date, count(*) as n from screened group by 1, 2) group by 1"),
-    "a16_series": (lambda s, d: S.series(D.bars(s, d), "stock_code", ["close_price", "volume_hand"]).select("stock_code", F.size("trade_date").cast("long").alias("n"), F.element_at("close_price", -1).alias("last_close"), F.element_at("volume_hand", 1).alias("first_volume")), "select stock_code, count(*) as n, last(close_price order by trade_date) as last_close, first(volume_hand order by trade_date) as first_volume from bars where stock_code <= '000005' group by 1"),
+    "a16_series": (lambda s, d: S.series(D.bars(s, d), "stock_code", ["close_price", "volume_hand"]).select("stock_code", F.size("trade_date").cast("long").alias("n"), F.element_at("close_price", -1).alias("last_close"), F.element_at("volume_hand", 1).alias("first_volume")), "select stock_code, count(*) as n, last(close_price order by trade_date) as last_close, first(volume_hand order by trade_date) as first_volume from bars group by 1"),
     "a17_trade_summary": (SUMMARY_BY, _summary("outcomes", "exit_reason")),
     "a19_realized_pnl": (pnl, "select trade_id, sell_amount, (entry_price * quantity + sell_amount) * 0.001::double as fees, sell_amount - entry_price * quantity - (entry_price * quantity + sell_amount) * 0.001::double as pnl, (sell_amount - entry_price * quantity - (entry_price * quantity + sell_amount) * 0.001::double) / nullif(entry_price * quantity, 0) * 100 as pnl_pct, sell_amount / quantity as exit_price from (select o_orderkey as trade_id, o_totalprice / 1000 as entry_price from orders) join (select l_orderkey as trade_id, cast(sum(cast(l_extendedprice / l_quantity * cast(l_quantity * 100 as bigint) as decimal(28,6))) as double) as sell_amount, cast(sum(cast(l_quantity * 100 as bigint)) as bigint) as quantity from lineitem group by 1) using (trade_id)"),
 }

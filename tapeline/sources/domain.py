@@ -5,11 +5,13 @@ They stand for canonical market tables where only the general test tables are at
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A frame is rebuilt from its table by each query; give a folder of canonical Parquet tables in production.
+#: Frames of stock days that this session keeps, by application and folder.
+_KEPT: dict[tuple[str, str], DataFrame] = {}
 FIRST_DAY = "2020-01-06"
 
 
@@ -27,7 +29,26 @@ def _code(key: str) -> Column:
 
 
 def slots(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each stock and day of its own calendar, days without a bar included."""
+    """One row for each stock and day of its own calendar, days without a bar included.
+
+    All frames of stock days come from it, so it is worked out once a session and folder and kept on the executors, in memory
+    or on their disks, dealt and ordered by stock: windows by stock need no further exchange. What an executor loses is worked
+    out again. `release` lets it go.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _KEPT:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        _KEPT[key] = _slots(spark, folder).repartition(n, "stock_code").sortWithinPartitions("stock_code", "trade_date").persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the frames that this session keeps."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        _KEPT.pop(key).unpersist()
+
+
+def _slots(spark: SparkSession, folder: str) -> DataFrame:
     base = (F.lit(20) + F.col("l_suppkey") % 50).cast("double")
     line = table(spark, folder, "lineitem").select(
         "l_suppkey", F.col("l_shipdate").cast("date").alias("ship_date"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
@@ -127,4 +148,4 @@ def quotes(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("stock_code").orderBy("round_time")
     df = last.withColumns({"last_price": price("value"), "open_price": price("first"), "high_price": price("hi"), "low_price": price("lo")})
     df = df.withColumn("pre_close_price", F.lag("last_price").over(w)).filter("pre_close_price is not null")
-    return df.select("stock_code", "round_time", "quote_time", "last_price", "pre_close_price", ((F.col("last_price") / F.col("pre_close_price") - 1) * 100).alias("change_pct"), "open_price", "high_price", "low_price", (F.col("n") * 100).alias("volume_share"), (F.col("last_price") * F.col("n") * 100).alias("amount_yuan"), (F.col("pre_close_price") * 1.1).alias("limit_up"))
+    return df.select("stock_code", "round_time", "quote_time", "last_price", "pre_close_price", ((F.col("last_price") / F.col("pre_close_price") - 1) * 100).alias("change_pct"), "open_price", "high_price", "low_price", (F.col("n") * 100).alias("volume_share"), (F.col("last_price") * F.col("n") * 100).alias("amount_yuan"), (F.col("pre_close_price") * 1.1).alias("limit_up"), (F.col("pre_close_price") * 0.9).alias("limit_down"))

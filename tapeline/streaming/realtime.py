@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import windows as W
+from ..operators.relational import latest_state
 
 
 def accepted(quotes: DataFrame, active: DataFrame, least: float = 0.95, round_: str = "round_time") -> DataFrame:
@@ -45,24 +46,36 @@ def intraday_structure(quotes: DataFrame) -> DataFrame:
 
 
 def limit_hits(quotes: DataFrame) -> DataFrame:
-    """By round: quotes at their upper limit; null where no quote has a limit."""
-    hit = F.abs(F.col("limit_up") - F.col("last_price")) <= tolerance(F.col("limit_up"))
-    return quotes.groupBy("round_time").agg(F.when(F.count("limit_up") > 0, F.count_if(hit)).alias("limit_ups"), F.count("limit_up").alias("verified"))
+    """By round: quotes at their upper and at their lower limit, null where no quote has that limit, and those that have both."""
+    n = lambda side: F.when(F.count(side) > 0, F.count_if(_at_limit(side)))
+    return quotes.groupBy("round_time").agg(n("limit_up").alias("limit_ups"), n("limit_down").alias("limit_downs"), F.count_if(F.col("limit_up").isNotNull() & F.col("limit_down").isNotNull()).alias("verified"))
+
+
+def _at_limit(side: str) -> Column:
+    return F.abs(F.col(side) - F.col("last_price")) <= tolerance(F.col(side))
 
 
 def strength(quotes: DataFrame, groups: DataFrame, by: str) -> DataFrame:
-    """By round and group (sector or pool): coverage, change, heat of 0 to 100, leader and laggard. Also the pools' summary."""
+    """By round and group (sector or pool): coverage, changes, limits, heat of 0 to 100, leader and laggard. Also the pools' summary."""
     sizes = groups.groupBy(by).agg(F.countDistinct("stock_code").alias("members"))
-    df = quotes.filter("change_pct is not null").join(F.broadcast(groups.select(by, "stock_code").distinct()), "stock_code")
-    hit = F.abs(F.col("limit_up") - F.col("last_price")) <= tolerance(F.col("limit_up"))
+    c = F.col("change_pct")
+    df = quotes.filter("change_pct is not null").join(groups.select(by, "stock_code").distinct(), "stock_code")
     df = df.groupBy("round_time", by).agg(
-        F.count("*").alias("quotes"), F.sum(F.col("change_pct").cast("decimal(20,8)")).cast("double").alias("_sum"), F.count_if(F.col("change_pct") > 0).alias("up"), F.count_if(hit).alias("limit_ups"),
+        F.count("*").alias("quotes"), F.sum(c.cast("decimal(20,8)")).cast("double").alias("_sum"), F.count_if(c > 0).alias("up"), F.count_if(c < 0).alias("down"), F.count_if(c == 0).alias("flat"), F.round(F.percentile(c, F.lit(0.5)), 4).alias("median_change"), F.count_if(_at_limit("limit_up")).alias("limit_ups"), F.count_if(_at_limit("limit_down")).alias("limit_downs"),
         F.sum(F.col("amount_yuan").cast("decimal(20,4)")).cast("double").alias("amount"), F.max(F.struct("change_pct", "stock_code")).alias("_a"), F.min(F.struct("change_pct", "stock_code")).alias("_b"),
-    ).join(F.broadcast(sizes), by)
+    ).join(sizes, by)
     mean = F.col("_sum") / F.col("quotes")
-    heat = F.least(F.lit(35.0), F.greatest(F.lit(0.0), (mean + 3) / 6 * 35)) + F.col("up") / F.col("quotes") * 30 + F.least(F.lit(25.0), F.col("limit_ups") / F.col("members") * 250) + F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.log10(F.greatest(F.lit(1.0), F.col("amount"))) - 6))
+    limits = F.least(F.lit(25.0), F.col("limit_ups") / F.col("members") * 250) - F.least(F.lit(10.0), F.col("limit_downs") / F.col("members") * 100)
+    heat = F.least(F.lit(35.0), F.greatest(F.lit(0.0), (mean + 3) / 6 * 35)) + F.col("up") / F.col("quotes") * 30 + limits + F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.log10(F.greatest(F.lit(1.0), F.col("amount"))) - 6))
     coverage = F.col("quotes") / F.col("members") * 100
-    return df.select("round_time", by, "members", "quotes", coverage.alias("coverage"), F.when(coverage >= 95, "high").when(coverage >= 80, "medium").otherwise("low").alias("confidence"), F.round(mean, 6).alias("mean_change"), "up", "limit_ups", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), heat)), 4).alias("heat"), F.col("_a.stock_code").alias("leader"), F.col("_b.stock_code").alias("laggard"))
+    return df.select("round_time", by, "members", "quotes", coverage.alias("coverage"), F.when(coverage >= 95, "high").when(coverage >= 80, "medium").otherwise("low").alias("confidence"), F.round(mean, 6).alias("mean_change"), "median_change", "up", "down", "flat", "limit_ups", "limit_downs", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), heat)), 4).alias("heat"), F.col("_a.stock_code").alias("leader"), F.col("_b.stock_code").alias("laggard"))
+
+
+def timeline(quotes: DataFrame, active: DataFrame, least: float = 0.95) -> DataFrame:
+    """One point an accepted round: the round's overview and its number within its trade date, from 1 on each date."""
+    day = F.to_date("round_time")
+    points = overview(quotes).join(accepted(quotes, active, least).filter("accepted").select("round_time"), "round_time", "left_semi")
+    return points.select(day.alias("trade_date"), F.row_number().over(Window.partitionBy(day).orderBy("round_time")).alias("point"), "round_time", "quotes", "up", "down", "mean_change", "amount", "state")
 
 
 def change_events(ranked: DataFrame, by: str, jump: int = 5, most: int = 20) -> DataFrame:
@@ -130,16 +143,29 @@ def in_session(ts: Column, phase: str = "continuous", zone: str = "Asia/Shanghai
     return inside & (F.dayofweek(local) > 1) & (F.dayofweek(local) < 7)
 
 
-def entry_triggers(candidates: DataFrame, quotes: DataFrame, now: str, max_age: int = 15, low: float = -2.0, high: float = 4.0, near: float = 0.998) -> DataFrame:
-    """Each candidate at `now`: wait, reject or trigger with the reason, from its latest quote (ask price is the last price here unless given)."""
+def entry_triggers(candidates: DataFrame, quotes: DataFrame, depth: DataFrame, minutes: DataFrame, now: str, max_age: int = 15, depth_age: int = 20, snapshots: int = 3, bars: int = 5, low: float = -2.0, high: float = 4.0, near: float = 0.9998) -> DataFrame:
+    """Each candidate (stock_code, entry_mode) at `now`: wait, reject or trigger with the reason.
+
+    Its latest quote and depth must be fresh, the best ask must be one that can be bought; in mode auction as many depth
+    snapshots of the day as `snapshots` are needed, in mode intraday as many minute bars as `bars`. Then the ask is compared
+    with the close before and with the upper limit.
+    """
     t = F.lit(now).cast("timestamp")
-    last = quotes.filter(F.col("quote_time") <= t).groupBy("stock_code").agg(F.max(F.struct("quote_time", "last_price", "pre_close_price", "limit_up")).alias("q"))
-    df = candidates.join(last, "stock_code", "left")
-    gap = (F.col("q.last_price") / F.when(F.col("q.pre_close_price") > 0, F.col("q.pre_close_price")) - 1) * 100
-    stale = F.col("q").isNull() | (F.unix_timestamp(t) - F.unix_timestamp("q.quote_time") > max_age)
-    reason = F.when(stale, "stale").when(gap.isNull(), "entry_price_unavailable").when(gap < low, "gap_below_range").when(gap > high, "gap_above_range").when(F.col("q.last_price") >= F.col("q.limit_up") * near, "near_limit_up_queue").otherwise("entry_confirmation_matched")
+    today = lambda c: (F.col(c) <= t) & (F.to_date(c) == F.to_date(t))
+    best = F.try_element_at(F.filter("asks", lambda x: (x["price"] > 0) & (x["volume"] > 0)), F.lit(1))["price"]
+    df = latest_state(candidates, quotes, now, max_age, columns=("pre_close_price", "limit_up"), fresh="_quote")
+    df = latest_state(df, depth.select("stock_code", "depth_time", best.alias("ask")), now, depth_age, "depth_time", ("ask",), "_depth")
+    df = df.join(depth.filter(today("depth_time")).groupBy("stock_code").agg(F.count("*").alias("_snapshots")), "stock_code", "left")
+    df = df.join(minutes.filter(today("bar_time")).groupBy("stock_code").agg(F.count("*").alias("_bars")), "stock_code", "left")
+    few = lambda mode, c, n: (F.col("entry_mode") == mode) & (F.coalesce(F.col(c), F.lit(0)) < n)
+    gap = (F.col("ask") / F.when(F.col("pre_close_price") > 0, F.col("pre_close_price")) - 1) * 100
+    reason = (
+        F.when(~F.col("_quote"), "quote_stale_or_missing").when(~F.col("_depth"), "depth_stale_or_missing").when(F.col("ask").isNull(), "executable_ask_missing")
+        .when(few("auction", "_snapshots", snapshots), "auction_depth_history_insufficient").when(few("intraday", "_bars", bars), "minute_history_insufficient")
+        .when(gap.isNull(), "entry_price_unavailable").when(gap < low, "gap_below_range").when(gap > high, "gap_above_range").when(F.col("ask") >= F.col("limit_up") * near, "near_limit_up_queue").otherwise("entry_confirmation_matched")
+    )
     decision = F.when(reason == "entry_confirmation_matched", "trigger").when(reason.isin("gap_above_range", "near_limit_up_queue"), "reject").otherwise("wait")
-    return df.select("stock_code", reason.alias("reason"), decision.alias("decision"))
+    return df.select("stock_code", "entry_mode", reason.alias("reason"), decision.alias("decision"))
 
 
 def drop_stale(df: DataFrame, now: str, seconds: int, time: str = "quote_time") -> DataFrame:
