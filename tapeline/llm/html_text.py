@@ -44,24 +44,25 @@ def _feature(name: str) -> int:
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element gives its blocks: its tag, and the words in its names."""
     out = [f"tag={tag}"]
-    for name, *values in _ATTRIBUTE.findall(attributes[:2000]):
+    for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name in ("hidden", "aria-hidden") and value.lower() != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             out.append("hidden")
         elif name != "style":
             words = [w.lower() for w in _PART.findall(html.unescape(value))]
-            out += [f"name={w}" for w in words[:12]]
+            out += [f"name={w}" for w in words]
     return tuple(dict.fromkeys(out))
 
 
 class Element:
-    __slots__ = ("hidden", "marks", "tag")
+    __slots__ = ("hidden", "linked", "marks", "tag")
 
     def __init__(self, tag: str, own: tuple[str, ...], above: Element | None) -> None:
         self.tag = tag
         self.marks = tuple(dict.fromkeys((above.marks if above else ()) + own))
         self.hidden = tag in HIDDEN or bool(above and above.hidden)
+        self.linked = tag == "a" or bool(above and above.linked)
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
@@ -93,7 +94,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
             holder = top
         texts.append(text)
         total += n
-        if any(e.tag == "a" for e in stack[-4:]):
+        if top.linked:
             linked += n
 
     def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
@@ -153,11 +154,10 @@ def block_features(blocks: list[tuple[str, tuple[str, ...], str, float]]) -> lis
     out, heading = [], False
     for i, (text, marks, tag, links) in enumerate(blocks):
         n = text.count(" ") + 1
-        names = [f"own={tag}", f"long={min(n.bit_length(), 8)}", f"links={int(links * 3.99)}", f"place={min(i, 3)}", f"left={min(len(blocks) - i, 3)}", f"heading={heading}", "sentence" if text[-1] in ".!?…" else "open"]
+        names = [f"own={tag}", f"long={min(n.bit_length(), 8)}", f"links={int(links * 3.99)}", f"place={min(i, 3)}", f"heading={heading}", "sentence" if text[-1] in ".!?…" else "open"]
         if "©" in text or "·" in text or "|" in text:
             names.append("signs")
-        if n < 60:
-            names += [f"word={w}" for w in {w.strip(".,:;!?()").lower() for w in text.split()} & _KEYWORDS]
+        names += [f"word={w}" for w in {w.strip(".,:;!?()").lower() for w in text.split()} & _KEYWORDS]
         heading = heading or tag == "h1"
         inside = [m for m in marks if m.startswith("tag=") and m[4:] in BLOCKS]
         out.append([_feature(x) for x in (*names, *marks, *(f"in={a[4:]}>{tag}" for a in inside[-3:]))])
@@ -223,6 +223,15 @@ def labelled_page(draw: np.random.Generator) -> tuple[str, set[str]]:
         return pick(["<p>{}</p>", "<p>{}", "<p class='lead'>{}</p>"]).format(own(f"{a} {b} {c}").replace(f" {b} ", pick([f" {b} ", f" <a href='/x'>{b}</a> ", f" <b>{b}</b> ", f"<br>{b}<br>"])))
 
     inner = pick(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(own(prose(1, 12))) * (draw.random() < 0.8) + "".join(piece() for _ in range(draw.integers(1, 9)))
+    if draw.random() < 0.2:
+        # A page of little else than a short article, or of text alone.
+        main.clear()
+        inner = pick(["<h1>{}</h1>", ""]).format(own(prose(1, 12))) + "".join(f"<p>{own(prose(1, 25))}</p>" for _ in range(draw.integers(1, 3)))
+        if draw.random() < 0.4:
+            main.clear()
+            inner = pick(["{}", "{}", "<p>{}</p>"]).format(own(prose(1, 30)))
+        part = pick(MAIN).format(inner)
+        return pick(["{}", "<html><body>{}</body></html>", f"<!DOCTYPE html><html><head><title>{prose(1, 6)}</title></head><body>{{}}</body></html>"]).format(part), main
     for ways in (ADS, MENUS, NOTICES, SIDES):
         if draw.random() < 0.15:
             cut = [m.start() for m in re.finditer(r"<(?:h2|p|blockquote|pre|figure)[ >]", inner)]

@@ -10,6 +10,8 @@ from .common import WORD, n_buckets, prepared, running, stored, table
 
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
+#: Words of a block.
+BLOCK = 2048
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -69,45 +71,66 @@ def schedule(spark: SparkSession, goals: DataFrame, block: int, slots: int) -> D
     return all_slots.join(ends, F.col("source").eqNullSafe(F.col("s"))).withColumn("start", F.col("rank") * block).withColumn("stop", F.least(F.col("start") + block, "words")).filter("start < stop").drop("s")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 2048, seed: int = 17) -> DataFrame:
-    """docs (doc_id, source, text) with size, source_size, target and taken: the words the mix takes of each row.
-
-    Each source's documents, shuffled by a hash of their ids, are one stream of words that starts again at its end;
-    a slot of the schedule takes the next block of its source's stream. A row's taken words are the parts of taken blocks
-    that lie in it, repeats counted; no row exceeds `most` times its size, as no stream is passed more often.
-
-    Null and empty texts have size 0 and take nothing. Null is a source like others, last in order. Repeated rows are
-    rows of their own. An empty table gives no rows. Of other columns of docs none is kept; join them by doc_id.
-    block: words of a block at most; smaller tables use smaller ones, about 1/4096 of all words, so that shares come out even.
-    """
+def _laid_out(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, block: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their place `at` in their source's stream, goals, what slots take: slot, s, a, lo, hi in the stream of source s,
+    of the document that begins at a)."""
     spark = prepared(docs.sparkSession)
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = stored(sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
     rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = n_buckets(rows)
-    block = max(1, min(block, words // 4096))
     sizes = sized.groupBy("source", F.pmod("h", F.lit(64)).alias("salt")).agg(F.sum("size").alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(sizes, weights, share, most))
-    placed = running(sized, ["source"], [F.col("h"), F.col("doc_id")], F.pmod("h", F.lit(buckets)), "size", "at")
+    placed = running(sized, ["source"], [F.col("h"), F.col("doc_id")], F.pmod("h", F.lit(buckets)), "size", "at").withColumn("end", F.col("at") + F.col("size"))
     # What the slots take, by block of the stream: a block has a slot for each pass over the stream.
-    slots = int(round(share * words / block))
-    taken = schedule(spark, goals, block, slots)
+    taken = schedule(spark, goals, block, int(round(share * words / block)))
     passes = F.explode(F.sequence(F.floor(F.col("start") / F.col("source_size")), F.floor((F.col("stop") - 1) / F.col("source_size"))))
     spans = taken.withColumn("turn", passes).select(
-        "source",
+        "slot", "source",
         (F.greatest("start", F.col("turn") * F.col("source_size")) - F.col("turn") * F.col("source_size")).alias("lo"),
         (F.least("stop", (F.col("turn") + 1) * F.col("source_size")) - F.col("turn") * F.col("source_size")).alias("hi"),
-    )
+    )
     in_blocks = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor((F.col(hi) - 1) / block)))
-    by_block = spans.withColumn("block", in_blocks("lo", "hi")).groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    placed = placed.withColumn("end", F.col("at") + F.col("size"))
-    pieces = placed.filter("size > 0").withColumn("block", in_blocks("at", "end"))
-    lo, hi = F.greatest("at", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
-    met = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + F.greatest(F.least(x["hi"], F.col("hi")) - F.greatest(x["lo"], F.col("lo")), F.lit(0)))
-    got = pieces.withColumn("lo", lo).withColumn("hi", hi).join(by_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("source", "at", met.alias("taken")).groupBy(F.col("source").alias("s"), F.col("at").alias("a")).agg(F.sum("taken").alias("taken"))
-    with_taken = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")), "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
+    cut = lambda lo, hi: (F.greatest(lo, F.col("block") * block), F.least(hi, (F.col("block") + 1) * block))
+    # Parts of spans that lie in one block; a block has as many as passes over the stream, and two more at most.
+    lo, hi = cut("lo", "hi")
+    by_block = spans.withColumn("block", in_blocks("lo", "hi")).withColumns({"lo": lo, "hi": hi}).groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.collect_list(F.struct("slot", "lo", "hi")).alias("spans"))
+    lo, hi = cut("at", "end")
+    pieces = placed.filter("size > 0").select("source", "at", "end").withColumn("block", in_blocks("at", "end")).withColumns({"lo": lo, "hi": hi})
+    met = pieces.join(by_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("s", F.col("at").alias("a"), F.col("lo").alias("from"), F.col("hi").alias("to"), F.explode("spans").alias("x"))
+    met = met.select("x.slot", "s", "a", F.greatest("from", "x.lo").alias("lo"), F.least("to", "x.hi").alias("hi")).filter("lo < hi")
+    return placed, goals, met
+
+
+def stream(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The mixed stream: slot, source, doc_id, start, length of each piece, in words. Sorted by (slot, source, doc_id, start), any run
+    of slots holds the sources in proportion to their targets.
+
+    A document that lies across blocks is several pieces; one that is taken again has pieces of other slots. Null and empty texts
+    have none; an empty table has none.
+    """
+    placed, _, met = _laid_out(docs, weights, share, most, block, seed)
+    found = met.join(placed.filter("size > 0"), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")))
+    return found.select("slot", "source", "doc_id", (F.col("lo") - F.col("at")).alias("start"), (F.col("hi") - F.col("lo")).alias("length"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """docs (doc_id, source, text) with size, source_size, target, taken, the words the mix takes of each row, and first_slot, the
+    first slot that takes some: the documents' order in the mix.
+
+    Each source's documents, shuffled by a hash of their ids, are one stream of words that starts again at its end;
+    a slot of the schedule takes the next block of its source's stream. A row's taken words are the lengths of its pieces in
+    `stream`, repeats counted; no row exceeds `most` times its size, as no stream is passed more often.
+
+    Null and empty texts have size 0 and take nothing; their first_slot is null, as is that of rows not taken. Null is a source
+    like others, last in order. Repeated rows are rows of their own. An empty table gives no rows. Of other columns of docs
+    none is kept; join them by doc_id. block: words of a block, at any size of the table.
+    """
+    placed, goals, met = _laid_out(docs, weights, share, most, block, seed)
+    got = met.groupBy("s", "a").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("slot").alias("first_slot"))
+    both = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") > 0), "left").drop("s", "a")
     goal = goals.select(F.col("source").alias("g"), "source_size", F.col("target").cast("double").alias("target"))
-    return with_taken.drop("s", "a").join(goal, F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return both.join(goal, F.col("source").eqNullSafe(F.col("g"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,42 @@ def test_mix_awkward(docs):
         assert sum(r["size"] for r in group) == group[0].source_size
 
 
+def test_mix_equals_the_stream_read_slowly(spark):
+    """Golden-ratio points dealt one by one, blocks taken in turn from each source's shuffled documents."""
+    rng = np.random.default_rng(2)
+    rows = [(i, ["a", "b", "c", None][i % 7 % 4], "w " * int(rng.integers(0, 90))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got, pieces = {r.doc_id: r for r in mixing.mix(df, block=16).collect()}, mixing.stream(df, block=16).collect()
+    goals = {r.source: r.target for r in got.values()}
+    order = [s for s in ("a", "b", "c", None) if goals[s] > 0]
+    ends, total = np.cumsum([goals[s] for s in order]), sum(goals.values())
+    words = sum(r["size"] for r in got.values())
+    need, rank, slots = {s: -(-int(goals[s] + 0.5) // 16) for s in order}, dict.fromkeys(order, 0), []
+    for i in range(round(words / 16)):
+        source = order[int(np.searchsorted(ends / total, i * mixing.GOLDEN % 1, "right"))]
+        if rank[source] < need[source]:
+            slots.append((i, source))
+        rank[source] += 1
+    slots += [(round(words / 16), s) for s in order for _ in range(need[s] - min(rank[s], need[s]))]
+    at = dict.fromkeys(order, 0)
+    first, taken = {}, defaultdict(int)
+    hashes = {r.doc_id: r.h for r in df.withColumn("size", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).select("doc_id", F.xxhash64(F.lit(17), "doc_id", "size").alias("h")).collect()}
+    buckets = mixing.n_buckets(len(rows))
+    lines = {s: [d for d, *_ in sorted(((r.doc_id, r.source, r["size"]) for r in got.values() if r.source == s), key=lambda x: (hashes[x[0]] % buckets, hashes[x[0]], x[0])) for _ in range(got[d]["size"])] for s in order}
+    for slot, source in slots:
+        for _ in range(min(16, int(goals[source] + 0.5) - at[source])):
+            doc = lines[source][at[source] % len(lines[source])]
+            at[source] += 1
+            taken[doc] += 1
+            first.setdefault(doc, slot)
+    assert {d: (r.taken, r.first_slot) for d, r in got.items()} == {d: (taken[d], first.get(d)) for d in got}
+    lengths = defaultdict(int)
+    for p in pieces:
+        assert 0 <= p.start and p.start + p.length <= got[p.doc_id]["size"]
+        lengths[p.doc_id] += p.length
+    assert all(lengths[d] == r.taken for d, r in got.items())
+
+
 def test_mix_empty(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -118,6 +154,30 @@ def test_html_parts_and_awkward_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_pages_written_by_hand():
+    """Short articles, text alone, marks far on in a tag, and links deep down: none is made by the generator's rules."""
+    weights, link = html_text.field()
+    read = lambda page: html_text.main_text(page, weights, link)
+    assert read("<article><h1>T</h1><p>Body text of the page is here.</p></article>") == "T\n\nBody text of the page is here."
+    assert read("<p>plain text only</p>") == "plain text only" and read("plain text only") == "plain text only"
+    long = "<article><h1>A title</h1><p>First paragraph of the piece, with a number of words.</p><p>The second one goes on.</p><p>End</p></article>"
+    assert read(long).split("\n\n")[-1] == "End"
+    far = f'<div style="x:{"a" * 10_000}" data-x="{"b" * 10_000}" class="cookie-banner"><p>We use cookies.</p></div>'
+    assert read(f"<body>{far}{long}</body>") == read(long)
+    deep = "<a href=x><span><b><i><u><em>Some other page</em></u></i></b></span></a>"
+    (block,) = html_text.leaf_blocks(f"<p>{deep}</p>")
+    assert block[3] == 1.0
+
+
+def test_viterbi_equals_all_paths():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7):
+        emit, link = rng.normal(size=n), rng.normal(size=(2, 2))
+        score = lambda y: sum(e for e, k in zip(emit, y, strict=True) if k) + sum(link[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        best = max(([path >> i & 1 for i in range(n)] for path in range(1 << n)), key=score)
+        assert html_text.viterbi(emit.tolist(), link) == [bool(v) for v in best]
+
+
 def test_html_field_on_pages_it_has_not_seen():
     weights, link = html_text.field()
     draw, wrong, total = np.random.default_rng(77), 0, 0
