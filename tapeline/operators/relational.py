@@ -93,9 +93,9 @@ def forward_path(signals: DataFrame, bars: DataFrame, calendar: DataFrame, h: in
 
 
 def resolve_leader(flow: DataFrame, members: DataFrame) -> DataFrame:
-    """The code of each sector's named leader within that sector; null where no member has the name."""
+    """The code of each sector's named leader within that sector, the least of several; null where no member has the name."""
     m = members.select("sector_code", F.col("stock_name").alias("lead_stock"), F.col("stock_code").alias("leader_code"))
-    return flow.join(m.dropDuplicates(["sector_code", "lead_stock"]), ["sector_code", "lead_stock"], "left")
+    return flow.join(m.groupBy("sector_code", "lead_stock").agg(F.min("leader_code").alias("leader_code")), ["sector_code", "lead_stock"], "left")
 
 
 def latest_state(candidates: DataFrame, states: DataFrame, now: str, max_age: int, time: str = "quote_time", columns: tuple[str, ...] = ("last_price",), fresh: str = "fresh") -> DataFrame:
