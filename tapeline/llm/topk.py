@@ -12,8 +12,12 @@ from pyspark.sql.window import Window
 
 from .common import prepared, stored, table
 
-#: Rows that pivots are chosen from (those of the least hash of their id), pivots, vectors in a block of the index, queries in a block.
-SAMPLE, PIVOTS, BLOCK, QUERIES_IN_BLOCK = 4000, 32, 1024, 256
+#: Rows that pivots are chosen from (those of the least hash of their id), pivots, vectors in a block of the index, queries in a
+#: group, keys that the blocks of one pivot are dealt to.
+SAMPLE, PIVOTS, BLOCK, QUERIES_IN_GROUP, SALTS = 4000, 32, 1024, 256, 8
+#: Blocks that a group of queries visits in its first turn, and how many times more in each further one.
+FIRST, GROWTH = 8, 8
+NONE = np.iinfo(np.int64).min
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -53,11 +57,11 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return big(q).dot(big(x).T).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(query, id, score): for each query at most k rows other than itself with a score of at least `least`, ties to smaller ids."""
+def best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row of the query, id, score): for each query at most k rows other than itself with a score of at least `least`, ties to smaller ids."""
     for i in range(len(scores)):
         row = scores[i]
-        hits = np.flatnonzero((row >= least[i]) & (ids != own[i]))
+        hits = np.flatnonzero((row >= least[i]) & (rows != own[i]))
         if len(hits) > k:
             cut = np.partition(row[hits], len(hits) - k)[len(hits) - k]
             hits = hits[row[hits] >= cut]
@@ -66,98 +70,133 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np
             yield int(own[i]), int(ids[j]), int(row[j])
 
 
-def top_k(vectors: DataFrame, k: int = 5, is_query=None, dimensions: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, is_query=None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k greatest inner products with all rows but itself, ties to smaller vec_id.
 
     vectors: vec_id, embedding. The index keys each vector by its nearest pivot and its distance to it (annuli of that
-    distance, large ones dealt into blocks of bounded size). Each query first meets the block it lies in itself, which gives
-    a score that its k-th best reaches at least; blocks are then joined by pivot, and only those whose annulus comes near
-    enough by the triangle inequality are searched. The sample only sets where pivots lie: every row is indexed, and results are exact.
-
-    Rows that are null, or hold null or non-finite components, take no part; so do those of another number of components
-    than most. Repeated vec_ids are rows of their own as candidates, and one query. Fewer candidates than k give fewer
-    rows; an empty table none; other columns aren't kept. Vectors' products are taken as exact whole numbers.
+    distance, large ones dealt into blocks of bounded size). Queries of one block form groups. A group first meets the block
+    it lies in, which gives each query a score that its k-th best reaches at least. Then it visits the blocks that the triangle
+    inequality lets come near enough, those of the least bound first, in turns of growing size: after each turn the k-th scores
+    found tighten the bounds, and a group ends when no block left comes within them. The sample only sets where pivots lie:
+    every row is indexed, and results are exact.
+
+    Rows that are null, or hold null or non-finite components, take no part. Shorter vectors count as 0 beyond their end.
+    Repeated vec_ids are rows of their own, as candidates and as queries: each has its own ranking, in which the others may
+    stand. Fewer candidates than k give fewer rows; an empty table none; other columns aren't kept. Products are exact whole
+    numbers.
     """
     spark = prepared(vectors.sparkSession)
     is_query = is_query if is_query is not None else F.col("vec_id") % 50 == 0
     rows = whole_numbers(vectors)
-    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("top")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes or not sizes[0]["d"]:
+    size = rows.agg(F.max(F.size("x")).alias("d"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("top")).first()
+    if not size["d"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d, top = sizes[0]["d"], sizes[0]["top"]
-    rows = rows.filter(F.size("x") == d)
+    d, top = size["d"], size["top"]
+    rows = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), d - F.size("x"))))
     pivots = lifted(choose_pivots(_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["x"]), PIVOTS), top)
     width = max(float(np.sqrt(top)) / 64, 1e-9)
+    # Slack covers rounding of the distances; it only lets more blocks in.
+    slack = 1e-6 * (1 + float(np.sqrt(top)))
+
+    def to_pivots(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(((x[:, None] - pivots) ** 2).sum(2), 0))
 
     def key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
             x = lifted(_matrix(frame["x"]), top)
-            far = np.sqrt(np.maximum(((x[:, None] - pivots) ** 2).sum(2), 0))
+            far = to_pivots(x)
             near = far.argmin(1)
             r = far[np.arange(len(x)), near]
             yield pd.DataFrame({"vec_id": frame["vec_id"], "pivot": near.astype(np.int32), "r": r, "ring": (r / width).astype(np.int64), "raw": [v[:-1].tobytes() for v in x], "query": frame["query"]})
 
-    keyed = stored(rows.withColumn("query", is_query).mapInPandas(key, "vec_id long, pivot int, r double, ring long, raw binary, query boolean"))
-    # Blocks of bounded size: a crowded annulus is dealt by hash into as many as it needs.
+    keyed = stored(rows.withColumn("query", is_query).mapInPandas(key, "vec_id long, pivot int, r double, ring long, raw binary, query boolean").withColumn("row", F.monotonically_increasing_id()))
+    # Blocks of bounded size: a crowded annulus is dealt by hash into as many as it needs. There are at most some 200 annuli a pivot.
     counts = keyed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = keyed.join(counts, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))
+    dealt = keyed.join(F.broadcast(counts), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     blocks = stored(dealt.groupBy("pivot", "ring", "part").agg(
-        F.sort_array(F.collect_list(F.struct("vec_id", "raw", "query", "r"))).alias("rows"), F.min("r").alias("r_min"), F.max("r").alias("r_max"))
+        F.sort_array(F.collect_list(F.struct("vec_id", "row", "raw", "query"))).alias("rows"), F.min("r").alias("r_min"), F.max("r").alias("r_max"))
         .withColumn("block", F.monotonically_increasing_id()))
 
-    def unpack(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.array([x["vec_id"] for x in items], np.int64)
+    def unpack(items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x = np.frombuffer(b"".join(bytes(v["raw"]) for v in items)).reshape(len(items), d)
-        return ids, x, np.array([bool(v["query"]) for v in items])
+        return np.array([v["vec_id"] for v in items], np.int64), np.array([v["row"] for v in items], np.int64), x, np.array([bool(v["query"]) for v in items])
+
+    def reached(q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How far a row that scores at least `least` can be from each query."""
+        far = np.sqrt(np.maximum((q * q).sum(1) + top - 2.0 * least.astype(np.float64), 0))
+        return np.where(least == NONE, np.inf, far)
 
     def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each block's queries with the k-th score they reach in it, as blocks of queries."""
+        """Each block's queries in groups, with the k-th score they reach in the block."""
         for frame in frames:
             for block, items in zip(frame["block"], frame["rows"], strict=True):
-                ids, x, asks = unpack(items)
-                if not asks.any():
-                    continue
-                own, keep = np.unique(ids[asks], return_index=True)
-                q = x[asks][keep]
-                scores = _scores(q, x)
-                scores = np.where(ids == own[:, None], np.iinfo(np.int64).min, scores)
-                least = np.sort(scores, 1)[:, -k] if len(ids) >= k else np.full(len(q), np.iinfo(np.int64).min)
-                wide = lifted(q, top)
-                wide[:, -1] = 0  # a query needs no length of its own
-                far = np.sqrt(np.maximum(((wide[:, None] - pivots) ** 2).sum(2), 0))
-                reach = np.where(least == np.iinfo(np.int64).min, np.inf, np.sqrt(np.maximum((q * q).sum(1) + top - 2.0 * least.astype(np.float64), 0)))
-                for lo in range(0, len(q), QUERIES_IN_BLOCK):
-                    s = slice(lo, lo + QUERIES_IN_BLOCK)
-                    # For each pivot the distances that any of these queries can need.
-                    yield pd.DataFrame({"asked": [f"{block}-{lo}"], "ids": [own[s].tobytes()], "q": [q[s].tobytes()], "least": [least[s].tobytes()], "reach": [reach[s].tobytes()], "far": [far[s].tobytes()], "from": [(far[s] - reach[s, None]).min(0).tolist()], "to": [(far[s] + reach[s, None]).max(0).tolist()]})
-
-    asked = stored(blocks.select("block", "rows").mapInPandas(at_home, "asked string, ids binary, q binary, least binary, reach binary, far binary, `from` array<double>, to array<double>"))
-    spans = asked.select("asked", F.posexplode(F.arrays_zip("from", "to")).alias("pivot", "span")).select("asked", "pivot", "span.from", "span.to")
-    # Slack covers rounding of the distances; it only lets more blocks in.
-    slack = 1e-6 * (1 + float(np.sqrt(top)))
-    pairs = spans.join(blocks.select("block", "pivot", "r_min", "r_max"), "pivot").filter((F.col("r_max") >= F.col("from") - slack) & (F.col("r_min") <= F.col("to") + slack)).select("asked", "block", "pivot", "r_min", "r_max")
-    work = pairs.join(asked.drop("from", "to"), "asked").join(blocks.select("block", "rows"), "block")
+                ids, places, x, asks = unpack(items)
+                for lo in range(0, int(asks.sum()), QUERIES_IN_GROUP):
+                    own, q = places[asks][lo : lo + QUERIES_IN_GROUP], x[asks][lo : lo + QUERIES_IN_GROUP]
+                    scores = np.where(places == own[:, None], NONE, _scores(q, x))
+                    least = np.sort(scores, 1)[:, -k] if len(ids) >= k else np.full(len(q), NONE)
+                    wide = lifted(q, top)
+                    wide[:, -1] = 0  # a query needs no length of its own
+                    far, reach = to_pivots(wide), reached(q, least)[:, None]
+                    yield pd.DataFrame({"asked": [f"{block}-{lo}"], "ids": [ids[asks][lo : lo + QUERIES_IN_GROUP].tobytes()], "own": [own.tobytes()], "q": [q.tobytes()], "least": [least.tobytes()], "far": [far.tobytes()], "near": [far.min(0).tolist()], "wide": [far.max(0).tolist()], "from": [(far - reach).min(0).tolist()], "to": [(far + reach).max(0).tolist()]})
+
+    group = "asked string, ids binary, own binary, q binary, least binary, far binary, near array<double>, wide array<double>, `from` array<double>, to array<double>"
+    asked = stored(blocks.select("block", "rows").mapInPandas(at_home, group))
+
+    # The blocks of each group, by the least distance from any of its queries' spheres to their annulus.
+    spans = asked.select("asked", F.posexplode(F.arrays_zip("from", "to", "near", "wide")).alias("pivot", "span")).select("asked", "pivot", "span.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rings = blocks.select("block", "pivot", "r_min", "r_max", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
+    within = (F.col("r_max") >= F.col("from") - slack) & (F.col("r_min") <= F.col("to") + slack)
+    gap = F.greatest(F.lit(0.0), F.col("near") - F.col("r_max"), F.col("r_min") - F.col("wide"))
+    turn = F.row_number().over(Window.partitionBy("asked").orderBy(gap, "block"))
+    visits = stored(spans.join(rings, ["pivot", "salt"]).filter(within).withColumn("turn", turn).select("asked", "block", "pivot", "r_min", "r_max", "turn"))
+    last = visits.agg(F.max("turn")).first()[0] or 0
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple] = []
             for w in frame.itertuples():
-                least, reach, own = np.frombuffer(w.least, np.int64), np.frombuffer(w.reach), np.frombuffer(w.ids, np.int64)
-                far = np.frombuffer(w.far).reshape(len(own), -1)[:, w.pivot]
+                least, asks, own = np.frombuffer(w.least, np.int64), np.frombuffer(w.ids, np.int64), np.frombuffer(w.own, np.int64)
+                q, far = np.frombuffer(w.q).reshape(len(own), d), np.frombuffer(w.far).reshape(len(own), -1)[:, w.pivot]
+                reach = reached(q, least)
                 near = (far - reach <= w.r_max + slack) & (far + reach >= w.r_min - slack)
                 if not near.any():
                     continue
-                ids, x, _ = unpack(w.rows)
-                q = np.frombuffer(w.q).reshape(len(own), d)[near]
-                out += best(_scores(q, x), ids, own[near], k, least[near])
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                ids, places, x, _ = unpack(w.rows)
+                name = dict(zip(own.tolist(), asks.tolist(), strict=True))
+                out += [(w.asked, row, name[row], i, s) for row, i, s in best(_scores(q[near], x), ids, places, own[near], k, least[near])]
+            yield pd.DataFrame(out, columns=["asked", "own", "query_id", "vec_id", "score"])
 
-    found = work.mapInPandas(search, "query_id long, vec_id long, score long")
-    # Blocks sent only what reaches the first bound: a query has a few rows from each block that it met.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def tighten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups with the k-th scores found, where they are greater than those known."""
+        for frame in frames:
+            for i, w in enumerate(frame.itertuples()):
+                own, q = np.frombuffer(w.own, np.int64), np.frombuffer(w.q).reshape(-1, d)
+                far, found = np.frombuffer(w.far).reshape(len(own), -1), {v["own"]: v["kth"] for v in (w.found if w.found is not None else ())}
+                least = np.maximum(np.frombuffer(w.least, np.int64), np.array([found.get(o, NONE) for o in own.tolist()], np.int64))
+                reach = reached(q, least)[:, None]
+                row = frame.iloc[[i]].drop(columns="found")
+                yield row.assign(least=[least.tobytes()], **{"from": [(far - reach).min(0).tolist()], "to": [(far + reach).max(0).tolist()]})
+
+    hits = None
+    order = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
+    done, size = 0, FIRST
+    while done < last:
+        due = visits.filter(F.col("turn").between(done + 1, done + size)).join(asked, "asked")
+        due = due.filter((F.col("r_max") >= F.col("from")[F.col("pivot")] - slack) & (F.col("r_min") <= F.col("to")[F.col("pivot")] + slack)).drop("near", "wide", "from", "to")
+        found = due.join(blocks.select("block", "rows"), "block").mapInPandas(search, "asked string, own long, query_id long, vec_id long, score long")
+        # Blocks send only what reaches the bounds: a query has a few rows from each block that it met.
+        both = found if hits is None else hits.drop("rank").unionByName(found)
+        hits = stored(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+        done, size = done + size, size * GROWTH
+        if done < last:
+            kth = hits.filter(F.col("rank") == k).groupBy("asked").agg(F.collect_list(F.struct("own", F.col("score").alias("kth"))).alias("found"))
+            asked = stored(asked.join(kth, "asked", "left").mapInPandas(tighten, group))
+    if hits is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return hits.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,13 +207,13 @@ QUERIES = {"op4_topk": op4_topk}
 ORACLES = {
     "op4_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as x from embeddings
+  select row_number() over () as place, vec_id, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as x from embeddings
   where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  select q.place, q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), 0) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.place <> q.place
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by place order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """

@@ -193,20 +193,51 @@ def test_html_field_on_pages_it_has_not_seen():
 # ---- top-k
 
 
+def ranked_by_hand(rows, k=5):
+    """(query_id, rank, vec_id, score) of every row whose id is divisible by 50, by all products."""
+    width = max(len(v) for _, v in rows)
+    ids = [i for i, _ in rows]
+    x = np.array([[int(np.floor(c * 256)) for c in v] + [0] * (width - len(v)) for _, v in rows], object).reshape(len(rows), width)
+    out = []
+    for a, i in enumerate(ids):
+        if i % 50 == 0:
+            scores = x.dot(x[a])
+            order = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-scores[b], ids[b]))[:k]
+            out += [(i, n, ids[b], int(scores[b])) for n, b in enumerate(order, 1)]
+    return sorted(out)
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8)).round(2)
     x[100:160] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None), (550, [1.0, None] * 4), (600, [float("nan")] * 8), (650, [1.0])]
-    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))).collect()]
-    q = np.floor(x * 256).astype(int)
-    expected = []
-    for i in range(0, 400, 50):
-        scores = q @ q[i]
-        order = sorted((j for j in range(400) if j != i), key=lambda j: (-scores[j], j))[:5]
-        expected += [(i, k, j, int(scores[j])) for k, j in enumerate(order, 1)]
-    assert sorted(got) == sorted(expected)
+    good = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(650, [1.0])]
+    bad = [(500, None), (550, [1.0, None] * 4), (600, [float("nan")] * 8)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))).collect()]
+    assert sorted(got) == ranked_by_hand(good)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert topk.top_k(spark.createDataFrame([(50, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_topk_repeated_ids_rank_by_themselves(spark):
+    """Two unlike rows of one id have a ranking each; an id of a third of all rows is dealt into many blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(i + 1, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(60, 4)).round(2))]
+    rows += [(50, [9.0, 0.0, 0.0, 0.0]), (50, [0.0, -9.0, 0.0, 0.0])] + [(7, [1.0, 1.0, 0.0, 0.0])] * 30
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == ranked_by_hand(rows)
+
+
+def test_topk_takes_turns(spark, monkeypatch):
+    """With blocks of a few rows a group visits many of them, in turns; results stay exact and clusters end early."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    monkeypatch.setattr(topk, "GROWTH", 4)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 300)] * 4 + rng.normal(size=(300, 5)) * 0.1
+    rows = [(i, [float(v) for v in r.round(3)]) for i, r in enumerate(x)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == ranked_by_hand(rows)
 
 
 # ---- learned operators
