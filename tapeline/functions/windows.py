@@ -99,14 +99,17 @@ def partition_agg(col: str | Column, fn: str, *keys: str) -> Column:
     return getattr(F, fn)(col).over(Window.partitionBy(*keys))
 
 
+def _known_before(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Adds _known: how many rows before this one have a value. A range of n before it then holds the last n values known."""
+    return df.withColumn("_known", F.count(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+
+
 def history_percentile(df: DataFrame, keys: list[str], order: str, value: str, n: int = 120, negative: Column | None = None) -> DataFrame:
     """Adds sample and percentile: the mid-rank of the value among the n values before it that aren't null, in percent; negative turns it around.
 
-    The n values are an array, so this is for frames of one row a day and metric only.
+    The n values are an array, never more.
     """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.slice(F.reverse(F.collect_list(value).over(before)), 1, n)
-    df = df.withColumn("_h", known)
+    df = _known_before(df, keys, order, value).withColumn("_h", F.collect_list(value).over(Window.partitionBy(*keys).orderBy("_known").rangeBetween(-n, -1))).drop("_known")
     below = F.size(F.filter("_h", lambda x: x < F.col(value)))
     same = F.size(F.filter("_h", lambda x: x == F.col(value)))
     pct = (below + same * 0.5) / F.size("_h") * 100
@@ -160,13 +163,12 @@ def forward_compound(col: str, h: int, w: WindowSpec) -> Column:
     return (product - 1) * 100
 
 
-def baseline_ratio(df: DataFrame, value: str, n: int, least: int, out: str, order: str = "trade_date") -> DataFrame:
-    """Adds value over the mean of the n values before it that aren't null, where at least `least` are; for frames of one row a day."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.slice(F.reverse(F.collect_list(value).over(w)), 1, n)
-    df = df.withColumn("_k", known)
-    mean = F.aggregate("_k", F.lit(0.0), lambda s, x: s + x) / F.size("_k")
-    return df.withColumn(out, F.when((F.size("_k") >= least) & (mean != 0), F.col(value) / mean)).drop("_k")
+def baseline_ratio(df: DataFrame, value: str, n: int, least: int, out: str, order: str = "trade_date", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds value over the mean of the n values before it (of the same keys) that aren't null, where at least `least` are. Without
+    keys it is for frames of one row a day."""
+    w = Window.partitionBy(*keys).orderBy("_known").rangeBetween(-n, -1)
+    mean, count = F.avg(value).over(w), F.count(value).over(w)
+    return _known_before(df, list(keys), order, value).withColumn(out, F.when((count >= least) & (mean != 0), F.col(value) / mean)).drop("_known")
 
 
 def recent_high_and_slope(score: str, w: WindowSpec) -> tuple[Column, Column]:

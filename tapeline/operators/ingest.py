@@ -49,6 +49,24 @@ def moment(c: str, zone: str = "Asia/Shanghai") -> Column:
     return F.to_utc_timestamp(F.try_to_timestamp(F.trim(c)), zone)
 
 
+def field(raw: DataFrame, *names: str) -> Column:
+    """The first of the named columns that has text; columns that the feed lacks count as blank."""
+    return F.coalesce(*[text(n) for n in names if n in raw.columns], F.lit(None).cast("string"))
+
+
+def numbers(raw: DataFrame, scale: float = 1, **columns: str) -> list[Column]:
+    """Canonical name = column of the feed, as numbers times scale."""
+    return [(number(field(raw, c)) * scale if scale != 1 else number(field(raw, c))).alias(name) for name, c in columns.items()]
+
+
+def clock(c: Column) -> Column:
+    """A time of day as HH:mm:ss from HH:mm:ss, HH:mm or digits (93005 is 09:30:05); else null."""
+    digits = F.lpad(F.regexp_extract(c, r"^(\d{1,6})(\.\d*)?$", 1), 6, "0")
+    spaced = F.concat_ws(":", F.substring(digits, 1, 2), F.substring(digits, 3, 2), F.substring(digits, 5, 2))
+    out = F.when(c.rlike(r"^\d{1,6}(\.\d*)?$"), spaced).when(c.rlike(r"^\d\d:\d\d$"), F.concat(c, F.lit(":00"))).otherwise(c)
+    return F.when(out.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), out)
+
+
 def derive_trade_date(df: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
     """trade_date: the local date of bar_time, which is UTC."""
     return df.withColumn("trade_date", F.to_date(F.from_utc_timestamp("bar_time", zone)))
@@ -60,24 +78,35 @@ def keyed(raw: DataFrame, universe: DataFrame | None = None, start: str | None =
     df = df.filter(F.col("stock_code").isNotNull() & F.col("trade_date").isNotNull())
     if start:
         df = df.filter(F.col("trade_date").between(start, end))
-    return df.join(F.broadcast(universe.select("stock_code").distinct()), "stock_code", "left_semi") if universe is not None else df
+    return df.join(universe.select("stock_code"), "stock_code", "left_semi") if universe is not None else df
 
 
 def normalize_daily(raw: DataFrame, universe: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars: amount from thousands to yuan, volume in hands and shares."""
     df = keyed(raw, universe, start, end)
-    prices = {"open": "open_price", "high": "high_price", "low": "low_price", "close": "close_price", "pre_close": "pre_close_price"}
-    return df.select("stock_code", "trade_date", *[number(k).alias(v) for k, v in prices.items()], whole("vol").alias("volume_hand"), (number("vol") * 100).cast("long").alias("volume_share"), (number("amount") * 1000).alias("amount_yuan"))
+    prices = numbers(df, open_price="open", high_price="high", low_price="low", close_price="close", pre_close_price="pre_close", change_amount="change", change_pct="pct_chg")
+    return df.select("stock_code", "trade_date", *prices, whole("vol").alias("volume_hand"), (number("vol") * 100).cast("long").alias("volume_share"), (number("amount") * 1000).alias("amount_yuan"))
+
+
+#: Fields of the daily valuation feed.
+BASIC = ("turnover_rate", "turnover_rate_f", "volume_ratio", "pe", "pe_ttm", "pb", "ps", "ps_ttm", "dv_ratio", "dv_ttm", "total_share", "float_share", "free_share", "total_mv", "circ_mv")
+#: Order sizes of the money-flow feed: code, name, and name of the net.
+SIZES = (("sm", "small", "small_net_inflow"), ("md", "medium", "medium_net_inflow"), ("lg", "large", "big_order_net_inflow"), ("elg", "super_large", "super_large_net_inflow"))
 
 
 def normalize_daily_basic(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    return keyed(raw, universe).select("stock_code", "trade_date", *[number(c).alias(c) for c in ("turnover_rate", "pe", "total_mv")])
+    """Valuation and liquidity, in the vendor's units."""
+    df = keyed(raw, universe)
+    return df.select("stock_code", "trade_date", *numbers(df, **{c: c for c in BASIC}))
 
 
 def normalize_moneyflow(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """Flows from ten thousands to yuan; a net is null if either side is."""
-    sizes = {"sm": "small", "md": "medium", "lg": "large", "elg": "super_large"}
-    return keyed(raw, universe).select("stock_code", "trade_date", *[((number(f"buy_{k}_amount") - number(f"sell_{k}_amount")) * 10000).alias(f"{v}_net_inflow") for k, v in sizes.items()])
+    """Flows from ten thousands to yuan: the main one, and both sides and the net of each order size; a net is null if either side is."""
+    df = keyed(raw, universe)
+    main = numbers(df, 10000, main_net_inflow="net_mf_amount")
+    sides = numbers(df, 10000, **{f"{name}_{side}_amount": f"{side}_{k}_amount" for k, name, _ in SIZES for side in ("buy", "sell")})
+    df = df.select("stock_code", "trade_date", *main, *sides)
+    return df.select("*", *[(F.col(f"{name}_buy_amount") - F.col(f"{name}_sell_amount")).alias(net) for _, name, net in SIZES])
 
 
 def normalize_adj_factor(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -85,18 +114,23 @@ def normalize_adj_factor(raw: DataFrame, universe: DataFrame | None = None) -> D
 
 
 def normalize_limit_events(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """Flag U, D, Z; no flag with an up_stat means U; open_count from the first of two fields that has it."""
-    flag = F.coalesce(F.upper(text("limit")), F.when(text("up_stat").isNotNull(), "U"))
+    """Flag U, D, Z from the first of two fields; no flag with an up_stat means U; open_count from the first of two fields too."""
+    df = keyed(raw, universe)
+    flag = F.coalesce(F.upper(field(df, "limit", "limit_type")), F.when(field(df, "up_stat").isNotNull(), "U"))
     kind = F.when(flag == "U", "limit_up").when(flag == "D", "limit_down").when(flag == "Z", "limit_break").otherwise("limit_event")
-    return keyed(raw, universe).select("stock_code", "trade_date", kind.alias("event_type"), F.coalesce(whole("open_times"), whole("open_num")).alias("open_count"))
+    times = [clock(field(df, c)).alias(c) for c in ("first_time", "last_time")]
+    return df.select("stock_code", "trade_date", kind.alias("event_type"), whole(field(df, "open_times", "open_count")).alias("open_count"), *numbers(df, close_price="close", limit_price="limit_price", turnover_amount="amount"), *times)
 
 
 def normalize_suspensions(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    return keyed(raw, universe).select("stock_code", "trade_date", F.lit("suspend").alias("event_type"), F.lit(None).cast("long").alias("open_count"))
+    """Rows of the same table as limit events, which only say that the stock is suspended."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("open_count", "long"), ("close_price", "double"), ("limit_price", "double"), ("turnover_amount", "double"), ("first_time", "string"), ("last_time", "string"))]
+    return keyed(raw, universe).select("stock_code", "trade_date", F.lit("suspend").alias("event_type"), *none)
 
 
 def normalize_index_daily(raw: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    df = raw.select(text("ts_code").alias("index_code"), day("trade_date").alias("trade_date"), number("close").alias("close_price"), number("pct_chg").alias("change_pct"), (number("amount") * 1000).alias("amount_yuan")).filter("index_code is not null and trade_date is not null")
+    values = numbers(raw, open_price="open", high_price="high", low_price="low", close_price="close", change_pct="pct_chg", volume="vol")
+    df = raw.select(text("ts_code").alias("index_code"), day("trade_date").alias("trade_date"), *values, *numbers(raw, 1000, amount_yuan="amount")).filter("index_code is not null and trade_date is not null")
     return df.filter(F.col("index_code").isin(codes)) if codes else df
 
 
@@ -109,7 +143,8 @@ def normalize_sector_bar(raw: DataFrame, sector_map: DataFrame) -> DataFrame:
     """A board's raw code by the map, or ths_ and the code where the map lacks it."""
     m = F.broadcast(sector_map.select(F.col("raw_code").alias("_raw"), "sector_code"))
     df = raw.withColumn("_code", text("ts_code")).join(m, F.col("_code") == F.col("_raw"), "left")
-    return df.select(F.coalesce("sector_code", F.concat(F.lit("ths_"), "_code")).alias("sector_code"), day("trade_date").alias("trade_date"), number("close").alias("close_price"), number("pct_change").alias("change_pct")).filter("sector_code is not null and trade_date is not null")
+    values = numbers(raw, open_price="open", high_price="high", low_price="low", close_price="close", pre_close_price="pre_close", change_amount="change", volume="vol", turnover_rate="turnover_rate")
+    return df.select(F.coalesce("sector_code", F.concat(F.lit("ths_"), "_code")).alias("sector_code"), day("trade_date").alias("trade_date"), *values, number(field(raw, "pct_change", "pct_chg")).alias("change_pct"), *numbers(raw, 1000, amount_yuan="amount")).filter("sector_code is not null and trade_date is not null")
 
 
 def normalize_sector_flow(raw: DataFrame, sector_map: DataFrame) -> DataFrame:
@@ -120,7 +155,9 @@ def normalize_sector_flow(raw: DataFrame, sector_map: DataFrame) -> DataFrame:
 
 def normalize_lhb(raw: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """Dragon-tiger list rows, in yuan; a reason by default."""
-    return keyed(raw, universe).select("stock_code", "trade_date", F.coalesce(text("reason"), F.lit("unspecified")).alias("reason"), (number("net_amount") * 10000).alias("net_buy_amount"))
+    df = keyed(raw, universe)
+    money = numbers(df, 10000, turnover_amount="amount", net_buy_amount="net_amount", buy_amount="l_buy", sell_amount="l_sell")
+    return df.select("stock_code", field(df, "name").alias("stock_name"), "trade_date", F.coalesce(field(df, "reason"), F.lit("unspecified")).alias("reason"), *numbers(df, close_price="close"), number(field(df, "pct_change", "pct_chg")).alias("change_pct"), *money)
 
 
 def normalize_technical(raw: DataFrame, keys: tuple[str, ...] = ("ts_code", "trade_date")) -> DataFrame:
@@ -139,14 +176,14 @@ def normalize_north_flow(raw: DataFrame, dates: DataFrame) -> DataFrame:
 TOPICS = {"income": (["ts_code", "end_date"], ["revenue", "n_income"]), "dividend": (["ts_code", "end_date"], ["cash_div"]), "margin": (["trade_date", "exchange_id"], ["rzye", "rqye"]), "holders": (["ts_code", "end_date"], ["holder_num"])}
 
 
-def normalize_topic(raw: DataFrame, topic: str) -> DataFrame:
-    """A topic's rows, keyed: the last of equal keys by their numbers."""
-    keys, numbers = TOPICS[topic]
-    df = raw.select(*[(day(k) if k.endswith("date") else symbol(k)).alias(k) for k in keys], *[number(n).alias(n) for n in numbers])
+def normalize_topic(raw: DataFrame, topic: str, newest: str) -> DataFrame:
+    """A topic's rows, keyed: of equal keys the one with the greatest `newest` (when the feed sent it), ties by their numbers."""
+    keys, values = TOPICS[topic]
+    df = raw.select(*[(day(k) if k.endswith("date") else symbol(k)).alias(k) for k in keys], *[number(n).alias(n) for n in values], F.col(newest).alias("_newest"))
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    order = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(n) for n in numbers])
-    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("_newest"), *[F.desc_nulls_last(n) for n in values])
+    return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_newest")
 
 
 def normalize_stock_master(raw: DataFrame) -> DataFrame:

@@ -66,7 +66,12 @@ def limit_up_premium(bars: DataFrame, events: DataFrame, calendar: DataFrame) ->
 def kth_open_after(stocks: DataFrame, calendar: DataFrame, k: int) -> DataFrame:
     """stock_code and kth_date: the k-th open day on or after listing, counting from 0, by number of day."""
     days = calendar.select("trade_date", "idx")
-    at = stocks.join(F.broadcast(days), F.col("trade_date") >= F.col("list_date")).groupBy("stock_code").agg(F.min("idx").alias("first"))
+    # Each date up to an open day, and after the one before it, has that day's number; dates before the calendar have the first.
+    before = F.lag("trade_date").over(Window.orderBy("idx"))
+    filled = days.withColumn("_from", F.coalesce(F.date_add(before, 1), "trade_date")).select(F.explode(F.sequence("_from", "trade_date")).alias("_listed"), F.col("idx").alias("first"))
+    start = calendar.agg(F.min("trade_date").alias("_start"))
+    at = stocks.filter("list_date is not null").crossJoin(F.broadcast(start)).withColumn("_listed", F.greatest("list_date", "_start"))  # one row
+    at = at.join(F.broadcast(filled), "_listed").select("stock_code", "first")
     return at.join(F.broadcast(days.withColumnRenamed("trade_date", "kth_date")), F.col("idx") == F.col("first") + k).select("stock_code", "kth_date")
 
 
@@ -134,14 +139,14 @@ def sentiment(breadth_: DataFrame, counts: DataFrame, premium: DataFrame, boards
     total = sum((F.coalesce(x, F.lit(0.0)) * w for w, x in parts), F.lit(0.0))
     ready = (ratio("daily_bar_count", n) >= 95) & F.coalesce("_done", F.lit(False))
     df = done.withColumn("score", F.when(ready, F.round(total / weight, 4))).withColumn("status", F.when(ready, "ready").otherwise("pending"))
-    return df.select("trade_date", "status", "score", sentiment_stage(F.col("score"), F.col("highest_board"), F.col("premium")).alias("stage"))
+    return df.select("trade_date", "status", "score", sentiment_stage("score", F.col("highest_board"), F.col("premium")).alias("stage"))
 
 
-def sentiment_stage(score: Column, board: Column, premium: Column) -> Column:
-    """By the score; main_up asks for the last two scores, pending days passed over."""
-    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
-    two = F.slice(F.reverse(F.collect_list(score).over(w)), 1, 2)
-    strong = (F.size(two) == 2) & F.forall(two, lambda x: x >= 70) & (F.coalesce(board, F.lit(0)) >= 3) & (F.coalesce(premium, F.lit(0.0)) >= 0)
+def sentiment_stage(name: str, board: Column, premium: Column) -> Column:
+    """By the score of that name, of frames with one row a day; main_up asks for the last two scores, pending days passed over."""
+    score = F.col(name)
+    one, two = (F.expr(f"lag({name}, {k}) ignore nulls over (order by trade_date)") for k in (1, 2))
+    strong = F.coalesce((one >= 70) & (two >= 70), F.lit(False)) & (F.coalesce(board, F.lit(0)) >= 3) & (F.coalesce(premium, F.lit(0.0)) >= 0)
     return F.when(score.isNull(), "pending").when(score <= 25, "ice_point").when(score < 40, "retreat").when(score < 60, "chaos").when(score < 75, "recovery").when(strong, "main_up").otherwise("active")
 
 
@@ -284,7 +289,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def limit_up_evidence(bars: DataFrame, events: DataFrame, boards: DataFrame, flow: DataFrame, members: DataFrame, heat: DataFrame, announcements: DataFrame, k: int = 3) -> DataFrame:
     """One row for each limit-up: board count, the day's bar and flow, its k hottest concepts, and at most k announcements of the three days to it."""
-    ups = events.filter("event_type = 'limit_up'").select(*KEY, "open_count").dropDuplicates(KEY)
+    ups = events.filter("event_type = 'limit_up'").groupBy(*KEY).agg(F.min("open_count").alias("open_count"))
     hot = membership_asof(ups, members).join(heat.filter("heat_rank is not null").select("trade_date", "sector_code", "heat_rank"), ["trade_date", "sector_code"])
     hot = hot.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("heat_rank", "sector_code"))).filter(F.col("_n") <= k)
     concepts = hot.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("heat_rank", "sector_code"))), lambda x: x["sector_code"]), ",").alias("concepts"), F.min("heat_rank").alias("best_rank"))

@@ -18,9 +18,10 @@ def canonical_rows(df: DataFrame, keys: list[str], priority: list[str], newest:
     return latest_per_key(df, keys, [F.when(place == 0, len(priority) + 1).otherwise(place), F.desc_nulls_last(newest), *([F.desc_nulls_last(last)] if last else [])])
 
 
-def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None, mode: str = "update") -> DataFrame:
-    """target with new's rows: in mode update they replace those of their key, in mode insert_only they come only where there is none."""
-    new = latest_per_key(new, keys, order) if order else new.dropDuplicates(keys)
+def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column], mode: str = "update") -> DataFrame:
+    """target with new's rows, of which the first of each key in the order counts (rows have none of their own): in mode update
+    they replace those of their key, in mode insert_only they come only where there is none."""
+    new = latest_per_key(new, keys, order)
     if mode == "insert_only":
         return target.unionByName(new.join(target.select(keys), keys, "left_anti"))
     return target.join(new.select(keys), keys, "left_anti").unionByName(new)
@@ -103,7 +104,7 @@ def clear_range(df: DataFrame, start: str, end: str, keys: DataFrame | None = No
     inside = F.col("trade_date").between(start, end)
     if keys is None:
         return df.filter(~inside)
-    return df.join(F.broadcast(keys.distinct().withColumn("_k", F.lit(True))), keys.columns, "left").filter(F.col("_k").isNull() | ~inside).drop("_k")
+    return df.join(keys.distinct().withColumn("_k", F.lit(True)), keys.columns, "left").filter(F.col("_k").isNull() | ~inside).drop("_k")
 
 
 def missing_keys(bars: DataFrame, ready: DataFrame, keys: list[str]) -> DataFrame:

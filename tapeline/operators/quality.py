@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .relational import date_universe
 
@@ -79,11 +80,21 @@ def readiness(counts: DataFrame, stocks: DataFrame) -> DataFrame:
     return counts.crossJoin(_expected(stocks)).select("trade_date", F.when(r["bars"] < 0.95, "blocked").when((r["basic"] < 0.90) | (r["flow"] < 0.85), "degraded").otherwise("complete").alias("status"), low.alias("missing"))
 
 
+def _size_bucket(v: Column) -> Column:
+    return F.when(v.isNull(), "null").when(v < 1e4, "below_1e4").when(v < 1e5, "below_1e5").otherwise("above")
+
+
+def unit_samples(flow: DataFrame, n: int = 5) -> DataFrame:
+    """The newest n rows of each size of the net flow, to look at beside unit_audit's counts."""
+    bucket = _size_bucket(F.abs("main_net_inflow"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("trade_date"), "stock_code"))
+    return flow.withColumn("bucket", bucket).withColumn("place", place.cast("long")).filter(F.col("place") <= n).select("bucket", "place", "stock_code", "trade_date", "main_net_inflow")
+
+
 def unit_audit(flow: DataFrame) -> DataFrame:
     """By size of the net flow: rows, extremes and the median size."""
     v = F.abs("main_net_inflow")
-    bucket = F.when(v.isNull(), "null").when(v < 1e4, "below_1e4").when(v < 1e5, "below_1e5").otherwise("above")
-    return flow.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("main_net_inflow").alias("low"), F.max("main_net_inflow").alias("high"), F.percentile(v, F.lit(0.5)).alias("median_size"))
+    return flow.groupBy(_size_bucket(v).alias("bucket")).agg(F.count("*").alias("n"), F.min("main_net_inflow").alias("low"), F.max("main_net_inflow").alias("high"), F.percentile(v, F.lit(0.5)).alias("median_size"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

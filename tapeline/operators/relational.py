@@ -30,7 +30,7 @@ def search_candidates(stocks: DataFrame, members: DataFrame, keyword: str, limit
     k = keyword.lower()
     rank = F.when(F.lower("stock_code").startswith(k), 0).when(F.lower("stock_name").startswith(k), 1).otherwise(2)
     hit = F.contains(F.lower("stock_code"), F.lit(k)) | F.contains(F.lower("stock_name"), F.lit(k))
-    m = F.broadcast(members.select("stock_code", F.lit(True).alias("_m")).distinct())
+    m = members.select("stock_code", F.lit(True).alias("_m")).distinct()
     df = stocks.filter(hit).join(m, "stock_code", "left").withColumn("rank", rank.cast("long"))
     return df.orderBy("rank", "stock_code").limit(limit).select("stock_code", "stock_name", "rank", F.col("_m").isNotNull().alias("is_member"))
 
@@ -106,6 +106,42 @@ def latest_state(candidates: DataFrame, states: DataFrame, now: str, max_age: in
     return candidates.join(last, "stock_code", "left").withColumn(fresh, F.coalesce(F.unix_timestamp(t) - F.unix_timestamp(time) <= max_age, F.lit(False)))
 
 
+def trend_history(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The named columns of the newest n days, in order; the scan reads no others."""
+    return df.select("trade_date", *columns).orderBy(F.desc("trade_date")).limit(n).orderBy("trade_date")
+
+
+def stock_overview(stocks: DataFrame, bars: DataFrame, basic: DataFrame, members: DataFrame) -> DataFrame:
+    """Each stock of the master with its newest bar, newest valuation and the number of its sectors; null where it has none."""
+    last = lambda df, name, *columns: df.groupBy("stock_code").agg(F.max_by(F.struct(F.col("trade_date").alias(f"{name}_date"), *columns), "trade_date").alias("_s")).select("stock_code", "_s.*")
+    sectors = members.groupBy("stock_code").agg(F.countDistinct("sector_code").alias("sectors"))
+    df = stocks.select("stock_code", "stock_name", "status")
+    for part in (last(bars, "bar", "close_price", "change_pct"), last(basic, "basic", "turnover_rate", "pe"), sectors):
+        df = df.join(part, "stock_code", "left")
+    return df.withColumn("sectors", F.coalesce("sectors", F.lit(0).cast("long")))
+
+
+def stock_series(bars: DataFrame, factors: DataFrame, n: int, averages: tuple[str, ...] = ("ma5", "ma20", "ma60")) -> DataFrame:
+    """Each stock's newest n bars with their moving averages, null where a day has no factors."""
+    w = Window.partitionBy("stock_code").orderBy(F.desc("trade_date"))
+    recent = bars.select("stock_code", "trade_date", "close_price").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    return recent.join(factors.select("stock_code", "trade_date", *averages), ["stock_code", "trade_date"], "left")
+
+
+def stock_session(minutes: DataFrame, bars: DataFrame) -> DataFrame:
+    """The minutes of each stock's newest session only, with the close before it as the reference price (null without a bar that day)."""
+    newest = minutes.groupBy("stock_code").agg(F.max("trade_date").alias("trade_date"))
+    reference = bars.select("stock_code", "trade_date", F.col("pre_close_price").alias("reference_price"))
+    return minutes.join(newest, ["stock_code", "trade_date"], "left_semi").join(reference, ["stock_code", "trade_date"], "left")
+
+
+def stock_events(events: DataFrame, as_of: str, days: int, n: int) -> DataFrame:
+    """Each stock's newest n events of the last `days` days."""
+    w = Window.partitionBy("stock_code").orderBy(F.desc("trade_date"), "event_type")
+    recent = events.filter(F.col("trade_date").between(F.date_sub(F.lit(as_of).cast("date"), days), F.lit(as_of).cast("date")))
+    return recent.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
 def last_n_dates(calendar: DataFrame, n: int) -> DataFrame:
     return calendar.select("trade_date").orderBy(F.desc("trade_date")).limit(n).orderBy("trade_date")
 

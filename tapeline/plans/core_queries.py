@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest as G
+from ..operators import insight as I
 from ..operators import merge as U
 from ..operators import quality as A
 from ..operators import relational as R
@@ -25,12 +26,12 @@ def raw_daily(spark, d):
     b = D.bars(spark, d)
     n = F.dayofmonth("trade_date")
     date = F.when(n == 13, "").when(n % 2 == 0, F.date_format("trade_date", "yyyyMMdd")).otherwise(F.date_format("trade_date", "yyyy-MM-dd"))
-    return b.select(F.concat("stock_code", F.lit(".SZ")).alias("ts_code"), date.alias("trade_date"), *[s_(f"{c}_price").alias(c) for c in ("open", "high", "low", "close")], F.when(n == 7, " ").otherwise(s_("pre_close_price")).alias("pre_close"), s_("volume_hand").alias("vol"), (F.col("amount_yuan") / 1000).cast("string").alias("amount"), s_("change_pct").alias("pct_chg"))
+    return b.select(F.concat("stock_code", F.lit(".SZ")).alias("ts_code"), date.alias("trade_date"), *[s_(f"{c}_price").alias(c) for c in ("open", "high", "low", "close")], F.when(n == 7, " ").otherwise(s_("pre_close_price")).alias("pre_close"), s_("volume_hand").alias("vol"), (F.col("amount_yuan") / 1000).cast("string").alias("amount"), s_("change_pct").alias("pct_chg"), (F.col("close_price") - F.col("pre_close_price")).cast("string").alias("change"))
 
 
 def raw_flow(spark, d):
     f = D.flow(spark, d)
-    out = f.select(F.concat("stock_code", F.lit(".SH")).alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), *[x for k, c in (("sm", "main_net_inflow"), ("md", "big_order_net_inflow"), ("lg", "super_large_net_inflow"), ("elg", "main_net_inflow")) for x in (s_(c).alias(f"buy_{k}_amount"), F.when(F.dayofmonth("trade_date") != 5, F.lit("100")).alias(f"sell_{k}_amount"))])
+    out = f.select(F.concat("stock_code", F.lit(".SH")).alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), s_("main_net_inflow").alias("net_mf_amount"), *[x for k, c in (("sm", "main_net_inflow"), ("md", "big_order_net_inflow"), ("lg", "super_large_net_inflow"), ("elg", "main_net_inflow")) for x in (s_(c).alias(f"buy_{k}_amount"), F.when(F.dayofmonth("trade_date") != 5, F.lit("100")).alias(f"sell_{k}_amount"))])
     return out
 
 
@@ -38,7 +39,7 @@ def raw_events(spark, d):
     e = D.limit_events(spark, d).filter("event_type <> 'suspend'")
     n = F.dayofmonth("trade_date")
     flag = F.when(F.col("event_type") == "limit_up", F.when(n % 3 == 0, "").otherwise("U")).when(F.col("event_type") == "limit_down", "D").when(n % 2 == 0, "Z").otherwise("X")
-    return e.select(F.concat("stock_code", F.lit(".SH")).alias("ts_code"), F.date_format("trade_date", "yyyy/MM/dd").alias("trade_date"), flag.alias("limit"), F.when(F.col("event_type") == "limit_up", "1/1").alias("up_stat"), F.when(n % 2 == 0, s_("open_count")).alias("open_times"), s_("open_count").alias("open_num"))
+    return e.select(F.concat("stock_code", F.lit(".SH")).alias("ts_code"), F.date_format("trade_date", "yyyy/MM/dd").alias("trade_date"), F.when(n % 5 == 1, " ").otherwise(flag).alias("limit"), flag.alias("limit_type"), F.when(F.col("event_type") == "limit_up", "1/1").alias("up_stat"), F.when(n % 2 == 0, s_("open_count")).alias("open_times"), s_("open_count").alias("open_count"), s_("limit_price").alias("limit_price"), F.when(n % 2 == 0, F.col("first_time")).otherwise(F.regexp_replace("first_time", "^0|:", "")).alias("first_time"), F.lit("9:3").alias("last_time"))
 
 
 def raw_master(spark, d):
@@ -107,6 +108,12 @@ def v_snapshot(spark, d):
     return b.unionByName(b.filter("stock_code <= '000010'"))
 
 
+def _nulls(*columns):
+    """Columns that the feed lacks, in SQL."""
+    return ", ".join(f"cast(null as double) as {c}" for c in columns)
+
+
+ELIGIBLE = "select stock_code from stocks where status = 'active' and not is_st and exchange in ('SH', 'SZ')"
 B = "select stock_code, trade_date, close_price from bars"
 N_ = "cast(substr(stock_code, 5, 2) as integer)"
 CUR = f"select sector_code, stock_code, {N_} as weight from members where {N_} % 4 <> 0"
@@ -120,27 +127,27 @@ CATALOG = "select 'concept' as kind, sector_code as name, count(distinct stock_c
 RAWM = "select *, case s_suppkey % 6 when 0 then '6' when 1 then '0' when 2 then '3' when 3 then '8' when 4 then '920' else '5' end || lpad(cast(s_suppkey as varchar), 5, '0') as code, case when s_suppkey % 11 = 0 then '*ST' when s_suppkey % 17 = 0 then 'ST' else '' end || 'N' || s_suppkey || case when s_suppkey % 13 = 0 then '退' else '' end as nm from supplier"
 ALL = S.ALL | {"cur_members": CUR, "new_members": NEW, "grid": GRID, "off": OFF, "coverage": COV, "stats": STATS, "counts": COUNTS, "catalog": CATALOG, "multi": MULTI, "rawm": RAWM, "f6": Q.F6}
 TABLE = {
-    "c01_daily_bars": (lambda s, d: G.normalize_daily(raw_daily(s, d), D.stocks(s, d).filter("not is_st")), "select stock_code, trade_date, open_price, high_price, low_price, close_price, case when day(trade_date) <> 7 then pre_close_price end as pre_close_price, volume_hand, volume_hand * 100 as volume_share, amount_yuan / 1000 * 1000 as amount_yuan from bars where day(trade_date) <> 13 and stock_code in (select stock_code from stocks where not is_st)"),
-    "c02_daily_basic": (lambda s, d: G.normalize_daily_basic(D.basic(s, d).select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date"), s_("turnover_rate").alias("turnover_rate"), s_("pe").alias("pe"), s_("total_mv").alias("total_mv"))), "select stock_code, trade_date, turnover_rate, pe, total_mv from basic"),
-    "c03_moneyflow": (lambda s, d: G.normalize_moneyflow(raw_flow(s, d)), "select stock_code, trade_date, " + ", ".join(f"case when day(trade_date) <> 5 then ({c} - 100) * 10000 end as {n}_net_inflow" for n, c in (("small", "main_net_inflow"), ("medium", "big_order_net_inflow"), ("large", "super_large_net_inflow"), ("super_large", "main_net_inflow"))) + " from flow"),
+    "c01_daily_bars": (lambda s, d: G.normalize_daily(raw_daily(s, d), D.stocks(s, d).filter("not is_st")), "select stock_code, trade_date, open_price, high_price, low_price, close_price, case when day(trade_date) <> 7 then pre_close_price end as pre_close_price, volume_hand, volume_hand * 100 as volume_share, amount_yuan / 1000 * 1000 as amount_yuan, close_price - pre_close_price as change_amount, change_pct from bars where day(trade_date) <> 13 and stock_code in (select stock_code from stocks where not is_st)"),
+    "c02_daily_basic": (lambda s, d: G.normalize_daily_basic(D.basic(s, d).select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date"), s_("turnover_rate").alias("turnover_rate"), s_("pe").alias("pe"), s_("total_mv").alias("total_mv"))), "select stock_code, trade_date, turnover_rate, pe, total_mv, " + _nulls(*[c for c in G.BASIC if c not in ("turnover_rate", "pe", "total_mv")]) + " from basic"),
+    "c03_moneyflow": (lambda s, d: G.normalize_moneyflow(raw_flow(s, d)), "select stock_code, trade_date, main_net_inflow * 10000 as main_net_inflow, " + ", ".join(f"{c} * 10000 as {n}_buy_amount, case when day(trade_date) <> 5 then 1000000.0::double end as {n}_sell_amount, case when day(trade_date) <> 5 then {c} * 10000 - 1000000 end as {net}" for n, net, c in (("small", "small_net_inflow", "main_net_inflow"), ("medium", "medium_net_inflow", "big_order_net_inflow"), ("large", "big_order_net_inflow", "super_large_net_inflow"), ("super_large", "super_large_net_inflow", "main_net_inflow"))) + " from flow"),
     "c04_adj_factor": (lambda s, d: G.normalize_adj_factor(D.adjust(s, d).select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date"), F.when(F.dayofmonth("trade_date") != 9, s_("adj_factor")).alias("adj_factor"))), "select stock_code, trade_date, adj_factor from adjust where day(trade_date) <> 9"),
-    "c05_limit_events": (lambda s, d: G.normalize_limit_events(raw_events(s, d)), "select stock_code, trade_date, case event_type when 'limit_break' then case when day(trade_date) % 2 = 0 then 'limit_break' else 'limit_event' end else event_type end as event_type, cast(open_count as bigint) as open_count from limit_events where event_type <> 'suspend'"),
+    "c05_limit_events": (lambda s, d: G.normalize_limit_events(raw_events(s, d)), "select stock_code, trade_date, case event_type when 'limit_break' then case when day(trade_date) % 2 = 0 then 'limit_break' else 'limit_event' end else event_type end as event_type, cast(open_count as bigint) as open_count, limit_price, first_time, cast(null as varchar) as last_time, " + _nulls("close_price", "turnover_amount") + " from limit_events where event_type <> 'suspend'"),
     "c06_suspensions": (lambda s, d: G.normalize_limit_events(raw_events(s, d)).unionByName(G.normalize_suspensions(D.limit_events(s, d).filter("event_type = 'suspend'").select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date")))).groupBy("event_type").agg(F.count("*").alias("n")), "select case event_type when 'limit_break' then case when day(trade_date) % 2 = 0 then 'limit_break' else 'limit_event' end else event_type end as event_type, count(*) as n from limit_events group by 1"),
-    "c07_index_daily": (lambda s, d: G.normalize_index_daily(raw_daily(s, d), ["000001.SZ", "000002.SZ"]), "select stock_code || '.SZ' as index_code, trade_date, close_price, change_pct, amount_yuan / 1000 * 1000 as amount_yuan from bars where day(trade_date) <> 13 and stock_code in ('000001', '000002')"),
+    "c07_index_daily": (lambda s, d: G.normalize_index_daily(raw_daily(s, d), ["000001.SZ", "000002.SZ"]), "select stock_code || '.SZ' as index_code, trade_date, open_price, high_price, low_price, close_price, cast(volume_hand as double) as volume, change_pct, amount_yuan / 1000 * 1000 as amount_yuan from bars where day(trade_date) <> 13 and stock_code in ('000001', '000002')"),
     "c08_index_basic": (lambda s, d: G.normalize_units_kept(raw_daily(s, d), "ts_code", ["vol", "amount"]), "select stock_code || '.SZ' as ts_code, trade_date, cast(volume_hand as double) as vol, amount_yuan / 1000 as amount from bars where day(trade_date) <> 13"),
-    "c09_sector_bar": (lambda s, d: G.normalize_sector_bar(raw_sector(s, d), sector_map(s, d)), "select case when sector_code < 'Brand#4' then 'ths_concept_' else 'ths_' end || sector_code as sector_code, trade_date, mean_change as close_price, mean_change as change_pct from f6"),
+    "c09_sector_bar": (lambda s, d: G.normalize_sector_bar(raw_sector(s, d), sector_map(s, d)), "select case when sector_code < 'Brand#4' then 'ths_concept_' else 'ths_' end || sector_code as sector_code, trade_date, mean_change as close_price, mean_change as change_pct, " + _nulls("open_price", "high_price", "low_price", "pre_close_price", "change_amount", "volume", "turnover_rate", "amount_yuan") + " from f6"),
     "c10_sector_flow": (lambda s, d: G.normalize_sector_flow(raw_sector(s, d), sector_map(s, d)), "select case when sector_code < 'Brand#4' then 'ths_concept_' else '' end || sector_code as sector_code, trade_date, net_inflow * 10000 as main_net_inflow, cast(null as varchar) as lead_stock from f6"),
-    "c11_dragon_tiger": (lambda s, d: G.normalize_lhb(D.flow(s, d).filter("big_order_net_inflow > 0").select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date"), F.when(F.dayofmonth("trade_date") % 2 == 0, "volume").alias("reason"), s_("big_order_net_inflow").alias("net_amount"))), "select stock_code, trade_date, case when day(trade_date) % 2 = 0 then 'volume' else 'unspecified' end as reason, big_order_net_inflow * 10000 as net_buy_amount from flow where big_order_net_inflow > 0"),
+    "c11_dragon_tiger": (lambda s, d: G.normalize_lhb(D.flow(s, d).filter("big_order_net_inflow > 0").select(F.col("stock_code").alias("ts_code"), s_("trade_date").alias("trade_date"), F.when(F.dayofmonth("trade_date") % 2 == 0, "volume").alias("reason"), s_("big_order_net_inflow").alias("net_amount"), s_("main_net_inflow").alias("l_buy"), F.concat(F.lit("N"), "stock_code").alias("name"))), "select stock_code, 'N' || stock_code as stock_name, trade_date, main_net_inflow * 10000 as buy_amount, " + _nulls("close_price", "change_pct", "turnover_amount", "sell_amount") + ", case when day(trade_date) % 2 = 0 then 'volume' else 'unspecified' end as reason, big_order_net_inflow * 10000 as net_buy_amount from flow where big_order_net_inflow > 0"),
     "c12_technical_map": (lambda s, d: G.normalize_technical(raw_daily(s, d).select("ts_code", "trade_date", "pre_close", "close")).select(*KEY, F.size("factors").cast("long").alias("n"), F.col("factors")["close"].alias("close")), "select stock_code, trade_date, 1 + (case when day(trade_date) <> 7 and pre_close_price is not null then 1 else 0 end)::bigint as n, close_price as close from bars where day(trade_date) <> 13"),
     "c13_north_flow": (lambda s, d: G.normalize_north_flow(D.flow(s, d).groupBy("trade_date").agg(F.max("main_net_inflow").alias("m")).select(s_("trade_date").alias("trade_date"), s_("m").alias("hgt"), F.lit("").alias("sgt"), s_("m").alias("north_money")), D.calendar(s, d).filter("idx > 100")), "select trade_date, max(main_net_inflow) as hgt, cast(null as double) as sgt, max(main_net_inflow) as north_money, 'vendor' as value_unit from flow where trade_date in (select trade_date from calendar where idx > 100) group by 1"),
-    "c14_topics": (lambda s, d: G.normalize_topic(D.table(s, d, "orders").select(F.concat(s_("o_custkey"), F.lit(".SZ")).alias("ts_code"), F.date_format("o_orderdate", "yyyyMMdd").alias("end_date"), s_("o_totalprice").alias("revenue"), F.lit("1").alias("n_income")), "income"), "select cast(o_custkey as varchar) as ts_code, cast(o_orderdate as date) as end_date, max(o_totalprice) as revenue, 1.0::double as n_income from orders group by 1, 2"),
+    "c14_topics": (lambda s, d: G.normalize_topic(D.table(s, d, "orders").select(F.concat(s_("o_custkey"), F.lit(".SZ")).alias("ts_code"), F.date_format("o_orderdate", "yyyyMMdd").alias("end_date"), s_("o_totalprice").alias("revenue"), F.lit("1").alias("n_income"), "o_orderkey"), "income", "o_orderkey"), "select cast(o_custkey as varchar) as ts_code, cast(o_orderdate as date) as end_date, arg_max(o_totalprice, o_orderkey) as revenue, 1.0::double as n_income from orders group by 1, 2"),
     "c15_stock_master": (lambda s, d: G.normalize_stock_master(raw_master(s, d)), "select code as stock_code, nm as stock_name, case when code[1] in ('8') or code like '920%' then 'excluded' when s_suppkey % 7 <> 0 and s_suppkey % 23 = 0 or s_suppkey % 13 = 0 then 'delisted' when s_suppkey % 7 = 0 then 'suspended' else 'active' end as status, nm like '*ST%' or nm like 'ST%' as is_st, date '2020-01-06' as list_date from rawm where code[1] <> '5'"),
     "c16_master_merge": (lambda s, d: G.merge_master(D.stocks(s, d).filter("stock_code > '000020'").select("stock_code", F.when(~F.col("is_st"), F.col("stock_name")).alias("stock_name"), "status", F.when(F.col("exchange") == "SH", "exchange").otherwise("other").alias("source")), D.stocks(s, d).filter("stock_code < '000080'").select("stock_code", F.lit("old").alias("stock_name"), F.when(F.col("region_key") == 1, "delisted").otherwise("active").alias("status"))), "select coalesce(n.stock_code, o.stock_code) as stock_code, coalesce(n.stock_name, o.stock_name) as stock_name, case when o.status = 'delisted' and not coalesce(n.source = 'exchange', false) then o.status else coalesce(n.status, o.status) end as status from (select stock_code, case when not is_st then stock_name end as stock_name, status, case when exchange = 'SH' then 'exchange' else 'other' end as source from stocks where stock_code > '000020') n full join (select stock_code, 'old' as stock_name, case when region_key = 1 then 'delisted' else 'active' end as status from stocks where stock_code < '000080') o on n.stock_code = o.stock_code"),
     "c17_quotes": (lambda s, d: G.normalize_quotes(D.quotes(s, d).select(F.col("stock_code").alias("ts_code"), s_("last_price").alias("last_price"), F.when(F.hour("round_time") != 3, s_("pre_close_price")).otherwise("0").alias("pre_close"), F.lit(None).cast("string").alias("change"), F.lit("").alias("pct"))).groupBy("stock_code").agg(F.count("*").alias("n"), F.count("change_pct").alias("with_change"), F.max("change_pct").alias("top"), F.min("change_amount").alias("low")), "select stock_code, count(*) as n, count(*) filter (hour(round_time) <> 3) as with_change, max(change_pct) filter (hour(round_time) <> 3) as top, min(last_price - pre_close_price) filter (hour(round_time) <> 3) as low from quotes group by 1"),
     "c18_trade_date": (lambda s, d: G.derive_trade_date(D.minutes(s, d).drop("trade_date")).groupBy("trade_date").agg(F.count("*").alias("n")), "select cast(bar_time + interval 8 hour as date) as trade_date, count(*) as n from minutes group by 1"),
     "c19_calendar": (lambda s, d: G.build_calendar(s, 2021, holidays(s, d)), "select x.trade_date, is_open, previous_trade_date, next_trade_date from days x left join (select trade_date, lag(trade_date) over (order by trade_date) as previous_trade_date, lead(trade_date) over (order by trade_date) as next_trade_date from days where is_open) o on o.trade_date = x.trade_date"),
-    "c20_upsert": (lambda s, d: U.upsert(*old_new(s, d), KEY), f"select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
-    "c21_insert_only": (lambda s, d: U.upsert(*old_new(s, d), KEY, mode="insert_only"), "select stock_code, trade_date, close_price + case when day(trade_date) > 20 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
+    "c20_upsert": (lambda s, d: (lambda old, new: U.upsert(old, new.unionByName(new.withColumn("close_price", F.col("close_price") - 1)), KEY, [F.desc("close_price")]))(*old_new(s, d)), f"select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
+    "c21_insert_only": (lambda s, d: U.upsert(*old_new(s, d), KEY, [F.desc("close_price")], mode="insert_only"), "select stock_code, trade_date, close_price + case when day(trade_date) > 20 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
     "c22_update_changed": (lambda s, d: U.update_changed(*old_new(s, d), KEY, "close_price"), "select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price, day(trade_date) >= 15 and day(trade_date) % 2 = 0 as changed from bars where day(trade_date) <= 20"),
     "c23_merge_features": (lambda s, d: (lambda b: U.merge_features(b.select(*KEY, F.create_map(F.lit("a"), F.col("close_price"), F.lit("b"), F.lit(1.0)).alias("features")), b.filter("volume_hand > 100").select(*KEY, F.create_map(F.lit("b"), F.col("open_price")).alias("features")), KEY).select(*KEY, F.col("features")["a"].alias("a"), F.col("features")["b"].alias("b")))(D.bars(s, d)), "select stock_code, trade_date, close_price as a, case when volume_hand > 100 then open_price else 1 end as b from bars"),
     "c24_sync_membership": (lambda s, d: U.sync_membership(*snaps(s, d), ["sector_code", "stock_code"], ["weight"]), "select sector_code, stock_code, case when c.weight is null then 'inserted' when n.weight is null then 'deleted' when c.weight = n.weight then 'unchanged' else 'updated' end as action from cur_members c full join new_members n using (sector_code, stock_code)"),
@@ -153,7 +160,7 @@ TABLE = {
     "c31_clear_range": (lambda s, d: U.clear_range(D.bars(s, d).select(*KEY), "2020-02-01", "2022-01-31", D.stocks(s, d).filter("is_st").select("stock_code")), "select stock_code, trade_date from bars where not (trade_date between date '2020-02-01' and date '2022-01-31' and stock_code in (select stock_code from stocks where is_st))"),
     "c32_missing_keys": (lambda s, d: U.missing_keys(D.bars(s, d), D.basic(s, d), KEY), "select stock_code, trade_date from bars except select stock_code, trade_date from basic"),
     "c33_completion": (lambda s, d: U.completion(audit(s, d)), "select trade_date, case when idx % 5 = 1 then 'limit_list,suspend' else 'limit_list,stk_limit,suspend' end as capabilities, case when idx % 5 = 0 then 1 else 0 end::bigint as zero_days from calendar"),
-    "p01_eligible": (lambda s, d: D.stocks(s, d).filter("status = 'active' and not is_st").select("stock_code", "exchange"), "select stock_code, exchange from stocks where status = 'active' and not is_st and exchange in ('SH', 'SZ')"),
+    "p01_eligible": (lambda s, d: I.eligible(D.stocks(s, d)).select("stock_code", "exchange"), "select stock_code, exchange from stocks where status = 'active' and not is_st and exchange in ('SH', 'SZ')"),
     "p02_canonical_rows": (lambda s, d: U.canonical_rows(multi(s, d), KEY, ["primary", "secondary"]).select(*KEY, "source", "close_price"), "select stock_code, trade_date, source, close_price from (select *, row_number() over (partition by stock_code, trade_date order by case source when 'primary' then 1 when 'secondary' then 2 else 3 end, updated_at desc) as n from multi) where n = 1"),
     "p03_latest_per_key": (lambda s, d: U.latest_per_key(D.bars(s, d), ["stock_code"], [F.desc("trade_date")]).select(*KEY, "close_price"), "select stock_code, max(trade_date) as trade_date, arg_max(close_price, trade_date) as close_price from bars group by 1"),
     "p04_filter_range": (lambda s, d: R.filter_range(D.bars(s, d), "2020-03-01", "2020-06-30", ["000001", "000002", "000007"]).select(*KEY, "close_price"), B + " where trade_date between date '2020-03-01' and date '2020-06-30' and stock_code in ('000001', '000002', '000007')"),
@@ -181,6 +188,12 @@ TABLE = {
     "u04_overlap": (lambda s, d: R.overlap(D.basic(s, d), Q.ups(s, d), KEY), "select count(*) as shared from (select stock_code, trade_date from basic intersect select stock_code, trade_date from upd)"),
     "a10_asset_counts": (lambda s, d: A.asset_counts(assets(s, d)), COUNTS),
     "a11_minute_actual": (lambda s, d: A.minute_actual(D.minutes(s, d)), "select trade_date, count(*) as rows, cast(ceil(count(*) / 240) as bigint) as sessions from minutes group by 1"),
+    "p12_trend_history": (lambda s, d: R.trend_history(I.breadth(D.bars(s, d), D.stocks(s, d)), ["up_count", "down_count"], 60), f"select trade_date, count(*) filter (change_pct > 0) as up_count, count(*) filter (change_pct < 0) as down_count from bars where stock_code in ({ELIGIBLE}) group by 1 order by 1 desc limit 60"),
+    "p17_stock_overview": (lambda s, d: R.stock_overview(D.stocks(s, d), D.bars(s, d), D.basic(s, d), D.members(s, d)), "select s.stock_code, stock_name, status, b.trade_date as bar_date, close_price, change_pct, v.trade_date as basic_date, turnover_rate, pe, coalesce(n, 0) as sectors from stocks s left join (select * from bars qualify row_number() over (partition by stock_code order by trade_date desc) = 1) b on b.stock_code = s.stock_code left join (select * from basic qualify row_number() over (partition by stock_code order by trade_date desc) = 1) v on v.stock_code = s.stock_code left join (select stock_code, count(distinct sector_code) as n from members group by 1) m on m.stock_code = s.stock_code"),
+    "p17_stock_series": (lambda s, d: R.stock_series(D.bars(s, d), Q.f01(s, d).filter("dayofmonth(trade_date) <> 9"), 250), "select b.stock_code, b.trade_date, close_price, ma5, ma20, ma60 from (select * from bars qualify row_number() over (partition by stock_code order by trade_date desc) <= 250) b left join (select stock_code, trade_date, ma5, ma20, ma60 from f1 where day(trade_date) <> 9) f on f.stock_code = b.stock_code and f.trade_date = b.trade_date"),
+    "p17_stock_session": (lambda s, d: R.stock_session(D.minutes(s, d).withColumn("trade_date", F.date_sub("trade_date", 730)), D.bars(s, d)).select(*KEY, "event_id", "reference_price"), "select m.stock_code, m.trade_date, event_id, pre_close_price as reference_price from (select *  replace (cast(trade_date - interval 730 day as date) as trade_date) from minutes qualify trade_date = max(trade_date) over (partition by stock_code)) m left join bars b on b.stock_code = m.stock_code and b.trade_date = m.trade_date"),
+    "p17_stock_events": (lambda s, d: R.stock_events(D.limit_events(s, d), "2021-12-31", 120, 20).select(*KEY, "event_type"), "select stock_code, trade_date, event_type from limit_events where trade_date between date '2021-12-31' - 120 and date '2021-12-31' qualify row_number() over (partition by stock_code order by trade_date desc, event_type) <= 20"),
+    "q08_unit_samples": (lambda s, d: A.unit_samples(D.bars(s, d).select(*KEY).join(D.flow(s, d), KEY, "left")), "select * from (select bucket, row_number() over (partition by bucket order by trade_date desc, stock_code) as place, stock_code, trade_date, main_net_inflow from (select *, case when main_net_inflow is null then 'null' when abs(main_net_inflow) < 10000 then 'below_1e4' when abs(main_net_inflow) < 100000 then 'below_1e5' else 'above' end as bucket from bars left join flow using (stock_code, trade_date))) where place <= 5"),
     "a12_unit_audit": (lambda s, d: A.unit_audit(D.bars(s, d).select(*KEY).join(D.flow(s, d), KEY, "left")), "select case when main_net_inflow is null then 'null' when abs(main_net_inflow) < 10000 then 'below_1e4' when abs(main_net_inflow) < 100000 then 'below_1e5' else 'above' end as bucket, count(*) as n, min(main_net_inflow) as low, max(main_net_inflow) as high, quantile_cont(abs(main_net_inflow), 0.5) as median_size from bars left join flow using (stock_code, trade_date) group by 1"),
     "a13_catalog": (lambda s, d: A.catalog(D.stocks(s, d), D.members(s, d)), CATALOG),
     "q01_coverage": (cov, COV),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import windows as W
 from ..operators.merge import latest_per_key
@@ -43,6 +44,12 @@ def ranked(spark, d):
     return W.rank_with_delta(sector_strength(spark, d), [F.desc("heat"), F.col("sector_code")], "round_time", "sector_code")
 
 
+def held(spark, d):
+    """Quotes as paths of trades: each stock is bought at its first quote."""
+    day, w = F.to_date("round_time"), Window.partitionBy("stock_code")
+    return D.quotes(spark, d).select(F.col("stock_code").cast("long").alias("trade_id"), "quote_time", "last_price", F.first("last_price").over(w.orderBy("round_time")).alias("entry_price"), F.datediff(day, F.min(day).over(w)).alias("holding_days"))
+
+
 def depth(spark, d):
     side = lambda sign: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(i.alias("level"), (F.col("last_price") * (1 + sign * i * 0.001)).alias("price"), (F.col("volume_share") * i).alias("volume")))
     return D.quotes(spark, d).select("stock_code", F.col("round_time").alias("depth_time"), side(-1).alias("bids"), F.filter(side(1), lambda x: x["level"] <= F.hour("round_time") % 5 + 1).alias("asks"))
@@ -74,6 +81,7 @@ TABLE = {
     "x03_above_ma": (lambda s, d: X.above_ma(D.quotes(s, d), latest_factors(s, d)), "select round_time, count(*) filter (last_price >= ma5) as above_ma5, count(*) filter (last_price >= ma20) as above_ma20, count(*) filter (last_price >= ma60) as above_ma60, count(*) filter (last_price >= ma5 and last_price >= ma20 and last_price >= ma60) as above_all, count(*) as compared from quotes q join (select * from (select *, row_number() over (partition by stock_code order by trade_date desc) as latest from f1) where latest = 1) f on f.stock_code = q.stock_code group by 1"),
     "x04_intraday_structure": (lambda s, d: X.intraday_structure(D.quotes(s, d)), "select round_time, count(*) filter (last_price > open_price) as above_open, count(*) filter (last_price < open_price) as below_open, count(*) filter (abs(last_price - high_price) <= greatest(0.001, high_price * 0.0002::double)) as at_high, count(*) filter (abs(last_price - low_price) <= greatest(0.001, low_price * 0.0002::double)) as at_low from quotes group by 1"),
     "x05_limit_hits": (lambda s, d: X.limit_hits(D.quotes(s, d)), "select round_time, count(*) filter (abs(limit_up - last_price) <= greatest(0.001, limit_up * 0.0002::double)) as limit_ups, count(*) filter (abs(limit_down - last_price) <= greatest(0.001, limit_down * 0.0002::double)) as limit_downs, count(*) as verified from quotes group by 1"),
+    "c34_published": (lambda s, d: X.overview(X.accepted_rows(D.quotes(s, d), active(s, d), 0.12)).select("round_time", "quotes", "up", "down"), "select round_time, count(*) as quotes, count(*) filter (change_pct > 0) as up, count(*) filter (change_pct < 0) as down from quotes q group by 1 having count(distinct stock_code) >= ceil((select count(distinct stock_code) from quotes) * 0.12)"),
     "x06_sector_strength": (sector_strength, "select * from strength"),
     "x08_rank_delta": (ranked, "select * from ranked"),
     "x10_change_events": (lambda s, d: X.change_events(ranked(s, d), "sector_code"), "select round_time, sector_code, kind, rank, r as rank_before, row_number() over (partition by round_time order by rank, sector_code) as place from (select *, case when abs(r - rank) >= 5 then 'rank_jump' when rank <= 5 and l <> leader then 'leader_change' end as kind from (select *, lag(rank) over w as r, lag(leader) over w as l from ranked window w as (partition by sector_code order by round_time))) where kind is not null"),
@@ -86,9 +94,10 @@ TABLE = {
     "x07_pool_summary": (lambda s, d: X.strength(D.quotes(s, d), pools(s, d), "pool"), STRENGTH.replace("sector_code", "pool").replace(" grp", " pools")),
     "x09_timeline": (lambda s, d: X.timeline(D.quotes(s, d), active(s, d), 0.12), "select cast(round_time as date) as trade_date, row_number() over (partition by cast(round_time as date) order by round_time) as point, *, case when up / quotes * 100 >= 65 then 'broad_up' when down / quotes * 100 >= 65 then 'broad_down' else 'mixed' end as state from (select round_time, count(*) as quotes, count(*) filter (change_pct > 0) as up, count(*) filter (change_pct < 0) as down, round(avg(change_pct), 6) as mean_change, cast(sum(cast(amount_yuan as decimal(20,4))) as double) as amount from quotes q group by 1 having count(distinct stock_code) >= ceil((select count(distinct stock_code) from quotes) * 0.12))"),
     "x17_entry_triggers": (lambda s, d: X.entry_triggers(entry_candidates(s, d), D.quotes(s, d), depth(s, d), D.minutes(s, d), NOW, FRESH, FRESH), ENTRY),
+    "x18_exit_triggers": (lambda s, d: X.exit_triggers(held(s, d)), None),  # keyed state: tested against a loop over all quotes
     "x20_fresh_quotes": (lambda s, d: X.drop_stale(D.quotes(s, d), NOW, FRESH).select("stock_code", "quote_time"), f"select stock_code, quote_time from quotes where epoch(timestamp '{NOW}') - floor(epoch(quote_time)) <= {FRESH}"),
     "j14_latest_state": (lambda s, d: latest_state(active(s, d), D.quotes(s, d), NOW, FRESH), f"select a.stock_code, quote_time, last_price, coalesce(epoch(timestamp '{NOW}') - floor(epoch(quote_time)) <= {FRESH}, false) as fresh from (select distinct stock_code from quotes) a left join {LATEST} q on q.stock_code = a.stock_code"),
     "x19_dedupe_events": (lambda s, d: X.dedupe_events(D.table(s, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type"), "select distinct user_id, event_type from events"),
 }
 QUERIES = {name: entry[0] for name, entry in TABLE.items()}
-ORACLES = {name: with_frames(entry[1], **ALL) for name, entry in TABLE.items()}
+ORACLES = {name: with_frames(entry[1], **ALL) for name, entry in TABLE.items() if entry[1]}

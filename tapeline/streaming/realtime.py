@@ -16,10 +16,15 @@ from ..operators.relational import latest_state
 def accepted(quotes: DataFrame, active: DataFrame, least: float = 0.95, round_: str = "round_time") -> DataFrame:
     """Rounds with quotes of at least ceil(least * active stocks); one row a round."""
     n = active.select("stock_code").distinct().agg(F.count("*").alias("active"))
-    got = quotes.join(F.broadcast(active.select("stock_code").distinct()), "stock_code", "left_semi").groupBy(round_).agg(F.countDistinct("stock_code").alias("received"))
+    got = quotes.join(active.select("stock_code"), "stock_code", "left_semi").groupBy(round_).agg(F.countDistinct("stock_code").alias("received"))
     return got.crossJoin(F.broadcast(n)).withColumn("accepted", F.col("received") >= F.ceil(F.col("active") * least))  # one row
 
 
+def accepted_rows(quotes: DataFrame, active: DataFrame, least: float = 0.95) -> DataFrame:
+    """The quotes of accepted rounds: what is published."""
+    return quotes.join(accepted(quotes, active, least).filter("accepted").select("round_time"), "round_time", "left_semi")
+
+
 def overview(quotes: DataFrame) -> DataFrame:
     """By round: counts by direction, mean and median change, state of breadth, amount."""
     c = F.col("change_pct")
@@ -30,7 +35,7 @@ def overview(quotes: DataFrame) -> DataFrame:
 
 def above_ma(quotes: DataFrame, factors: DataFrame) -> DataFrame:
     """By round: quotes at or above each mean of the latest daily factors, and above all. factors: one row a stock."""
-    df = quotes.join(F.broadcast(factors.select("stock_code", "ma5", "ma20", "ma60")), "stock_code")
+    df = quotes.join(factors.select("stock_code", "ma5", "ma20", "ma60"), "stock_code")
     p = F.col("last_price")
     return df.groupBy("round_time").agg(*[F.count_if(p >= F.col(m)).alias(f"above_{m}") for m in ("ma5", "ma20", "ma60")], F.count_if((p >= F.col("ma5")) & (p >= F.col("ma20")) & (p >= F.col("ma60"))).alias("above_all"), F.count("*").alias("compared"))
 
@@ -74,7 +79,7 @@ def strength(quotes: DataFrame, groups: DataFrame, by: str) -> DataFrame:
 def timeline(quotes: DataFrame, active: DataFrame, least: float = 0.95) -> DataFrame:
     """One point an accepted round: the round's overview and its number within its trade date, from 1 on each date."""
     day = F.to_date("round_time")
-    points = overview(quotes).join(accepted(quotes, active, least).filter("accepted").select("round_time"), "round_time", "left_semi")
+    points = overview(accepted_rows(quotes, active, least))
     return points.select(day.alias("trade_date"), F.row_number().over(Window.partitionBy(day).orderBy("round_time")).alias("point"), "round_time", "quotes", "up", "down", "mean_change", "amount", "state")
 
 
@@ -185,7 +190,7 @@ def publish(folder: str, topic: str, operator: Callable[[DataFrame], DataFrame],
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if active is not None:
-            batch = batch.join(accepted(batch, active).filter("accepted").select("round_time"), "round_time", "left_semi")
+            batch = accepted_rows(batch, active)
         operator(batch).write.mode("overwrite").parquet(f"{folder}/{topic}/batch={batch_id}")
 
     return handle
@@ -199,37 +204,67 @@ def dedupe_events(stream: DataFrame, fields: list[str], time: str, delay: str =
     return df.dropDuplicates(["fingerprint"])
 
 
-def exit_triggers(stream: DataFrame, stop: float = -4.0, activate: float = 6.0, drawdown: float = 3.0, legs: tuple[float, ...] = (5.0, 10.0), days: int = 3) -> DataFrame:
+#: Columns that exit triggers read, and their result.
+EXITS = "trade_id long, quote_time timestamp, trigger string"
+FRESH_TRADE = (0.0, 0, False)
+
+
+def exit_triggers(quotes: DataFrame, stop: float = -4.0, activate: float = 6.0, drawdown: float = 3.0, legs: tuple[float, ...] = (5.0, 10.0), days: int = 3, keep_hours: int = 24 * 7) -> DataFrame:
     """trade_id, quote_time, trigger of each quote (trade_id, quote_time, last_price, entry_price, holding_days) that sells.
 
     State by trade: the highest price, the next take-profit leg, and whether it is sold. Never on the day of entry
-    (holding_days 0). By priority: stop, trailing stop, next leg, time.
+    (holding_days 0). By priority: stop, trailing stop, next leg, time. On a stream, a sold trade's state goes once it had no
+    quote for keep_hours. A static frame is read in order of trade and time, with the state of one trade at a time.
     """
-    schema = "trade_id long, quote_time timestamp, trigger string"
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        peak, leg, sold = state.get if state.exists else (0.0, 0, False)
+    def sells(frame: pd.DataFrame, state: tuple[float, int, bool]) -> tuple[list[tuple], tuple[float, int, bool]]:
+        peak, leg, sold = state
         rows = []
-        for frame in frames:
-            for q in frame.sort_values("quote_time").itertuples():
-                if sold or q.holding_days < 1:
-                    continue
-                peak = max(peak, q.entry_price, q.last_price)
-                gain = (q.last_price / q.entry_price - 1) * 100
-                why = None
-                if gain <= stop:
-                    why, sold = "hard_stop", True
-                elif (peak / q.entry_price - 1) * 100 >= activate and (peak - q.last_price) / peak * 100 >= drawdown:
-                    why, sold = "trailing_stop", True
-                elif leg < len(legs) and gain >= legs[leg]:
-                    why, leg = f"take_profit_{leg + 1}", leg + 1
-                elif q.holding_days >= days:
-                    why, sold = "time_exit", True
-                if why:
-                    rows.append((key[0], q.quote_time, why))
-        state.update((peak, leg, sold))
-        yield pd.DataFrame(rows, columns=["trade_id", "quote_time", "trigger"])
-
-    return stream.groupBy("trade_id").applyInPandasWithState(update, schema, "peak double, leg int, sold boolean", "append", "NoTimeout")
-
+        for q in frame.itertuples():
+            if sold or q.holding_days < 1:
+                continue
+            peak = max(peak, q.entry_price, q.last_price)
+            gain = (q.last_price / q.entry_price - 1) * 100
+            why = None
+            if gain <= stop:
+                why, sold = "hard_stop", True
+            elif (peak / q.entry_price - 1) * 100 >= activate and (peak - q.last_price) / peak * 100 >= drawdown:
+                why, sold = "trailing_stop", True
+            elif leg < len(legs) and gain >= legs[leg]:
+                why, leg = f"take_profit_{leg + 1}", leg + 1
+            elif q.holding_days >= days:
+                why, sold = "time_exit", True
+            if why:
+                rows.append((q.trade_id, q.quote_time, why))
+        return rows, (peak, leg, sold)
+
+    columns = ["trade_id", "quote_time", "trigger"]
 
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        rows, now = [], state.get if state.exists else FRESH_TRADE
+        for frame in frames:
+            more, now = sells(frame.sort_values(["quote_time", "last_price"]), now)
+            rows += more
+        state.update(now)
+        if now[2]:
+            state.setTimeoutDuration(keep_hours * 3_600_000)
+        yield pd.DataFrame(rows, columns=columns)
+
+    def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trade, now = None, FRESH_TRADE
+        for frame in frames:
+            rows = []
+            for key, part in frame.groupby("trade_id", sort=False):
+                more, now = sells(part, now if key == trade else FRESH_TRADE)
+                trade = key
+                rows += more
+            yield pd.DataFrame(rows, columns=columns)
+
+    if not quotes.isStreaming:
+        ordered = quotes.select("trade_id", "quote_time", "last_price", "entry_price", "holding_days").repartition("trade_id").sortWithinPartitions("trade_id", "quote_time", "last_price")
+        return ordered.mapInPandas(in_order, EXITS)
+    return quotes.groupBy("trade_id").applyInPandasWithState(update, EXITS, "peak double, leg int, sold boolean", "append", "ProcessingTimeTimeout")
