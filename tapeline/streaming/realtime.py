@@ -209,12 +209,12 @@ EXITS = "trade_id long, quote_time timestamp, trigger string"
 FRESH_TRADE = (0.0, 0, False)
 
 
-def exit_triggers(quotes: DataFrame, stop: float = -4.0, activate: float = 6.0, drawdown: float = 3.0, legs: tuple[float, ...] = (5.0, 10.0), days: int = 3, keep_hours: int = 24 * 7) -> DataFrame:
+def exit_triggers(quotes: DataFrame, stop: float = -4.0, activate: float = 6.0, drawdown: float = 3.0, legs: tuple[float, ...] = (5.0, 10.0), days: int = 3, keep_hours: int = 24 * 7, delay: str = "1 day") -> DataFrame:
     """trade_id, quote_time, trigger of each quote (trade_id, quote_time, last_price, entry_price, holding_days) that sells.
 
     State by trade: the highest price, the next take-profit leg, and whether it is sold. Never on the day of entry
-    (holding_days 0). By priority: stop, trailing stop, next leg, time. On a stream, a sold trade's state goes once it had no
-    quote for keep_hours. A static frame is read in order of trade and time, with the state of one trade at a time.
+    (holding_days 0). By priority: stop, trailing stop, next leg, time. On a stream, quotes later than the watermark of `delay` are
+    left, and a sold trade's state goes once the watermark is keep_hours past its last quote. A static frame is read in order of trade and time, with the state of one trade at a time.
     """
 
     def sells(frame: pd.DataFrame, state: tuple[float, int, bool]) -> tuple[list[tuple], tuple[float, int, bool]]:
@@ -246,12 +246,14 @@ def exit_triggers(quotes: DataFrame, stop: float = -4.0, activate: float = 6.0,
             yield pd.DataFrame([], columns=columns)
             return
         rows, now = [], state.get if state.exists else FRESH_TRADE
+        last = state.getCurrentWatermarkMs()
         for frame in frames:
             more, now = sells(frame.sort_values(["quote_time", "last_price"]), now)
             rows += more
+            last = max(last, int(frame["quote_time"].max().timestamp() * 1000))
         state.update(now)
         if now[2]:
-            state.setTimeoutDuration(keep_hours * 3_600_000)
+            state.setTimeoutTimestamp(last + keep_hours * 3_600_000)
         yield pd.DataFrame(rows, columns=columns)
 
     def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,4 +269,4 @@ def exit_triggers(quotes: DataFrame, stop: float = -4.0, activate: float = 6.0,
     if not quotes.isStreaming:
         ordered = quotes.select("trade_id", "quote_time", "last_price", "entry_price", "holding_days").repartition("trade_id").sortWithinPartitions("trade_id", "quote_time", "last_price")
         return ordered.mapInPandas(in_order, EXITS)
-    return quotes.groupBy("trade_id").applyInPandasWithState(update, EXITS, "peak double, leg int, sold boolean", "append", "ProcessingTimeTimeout")
+    return quotes.withWatermark("quote_time", delay).groupBy("trade_id").applyInPandasWithState(update, EXITS, "peak double, leg int, sold boolean", "append", "EventTimeTimeout")

@@ -25,6 +25,6 @@ def test_exit_triggers_keep_state(spark, tmp_path):
     df.repartition(1).write.parquet(str(tmp_path / "q"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "q"))
     query = X.exit_triggers(stream).writeStream.format("memory").queryName("exits").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
+    assert query.awaitTermination(90)
     got = sorted((r.trade_id, r.trigger) for r in spark.table("exits").collect())
     assert got == [(1, "take_profit_1"), (1, "take_profit_2"), (1, "trailing_stop"), (2, "hard_stop"), (3, "time_exit")]
