@@ -98,13 +98,14 @@ def shared_ends(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarra
     shared = np.zeros(len(a), bool)
     shared[last - 1] = True
     low, high = first, last - 1
-    while len(low):
+    while True:
+        low, high = low[low < high], high[low < high]
+        if not len(low):
+            return shared
         cut = _near(a, b, low, high)
         low, high, cut = low[cut >= 0], high[cut >= 0], cut[cut >= 0]
         shared[cut] = True
         low, high = np.concatenate([low, cut + 1]), np.concatenate([cut, high])
-        low, high = low[low < high], high[low < high]
-    return shared
 
 
 def _ids(tokens: Tokens, raws: list[bytes], texts: list[str]) -> tuple[list[list[int]], list[bool]]:

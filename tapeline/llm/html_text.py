@@ -40,6 +40,10 @@ def _feature(name: str) -> int:
     return zlib.crc32(name.encode()) % (SPACE - 1) + 1
 
 
+_FORM_END = re.compile(r"</form[\s/>]", re.I)
+_WHOLE = re.compile(r"<(?:main|article|h1)[\s/>]|role\s*=\s*[\"']?main", re.I)
+
+
 @lru_cache(maxsize=1 << 14)
 def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element gives its blocks: its tag, and the words in its names."""
@@ -56,18 +60,25 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 class Element:
-    __slots__ = ("hidden", "linked", "marks", "tag")
+    __slots__ = ("block", "form", "hidden", "linked", "marks", "tag")
 
     def __init__(self, tag: str, own: tuple[str, ...], above: Element | None) -> None:
         self.tag = tag
         self.marks = tuple(dict.fromkeys((above.marks if above else ()) + own))
         self.hidden = tag in HIDDEN or bool(above and above.hidden)
         self.linked = tag == "a" or bool(above and above.linked)
+        self.form = tag == "form" or bool(above and above.form)
+        self.block = tag if tag in BLOCKS or above is None else above.block
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
-    """(text, marks of its ancestors, the block's own tag, share of its signs in links) of each block with text, in page order."""
+    """(text, marks of its ancestors, the block's own tag, share of its signs in links) of each block with text, in page order.
+
+    Text of forms is left out, but for a form about a whole page: one with a main part, an article or a first heading in it. Linear in the page:
+    where open tags of a name lie is kept, so no end tag looks through the stack.
+    """
     stack: list[Element] = [Element("html", (), None)]
+    places: dict[str, list[int]] = {}
     out: list[tuple[str, tuple[str, ...], str, float]] = []
     texts: list[str] = []
     holder: Element | None = None
@@ -78,7 +89,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
         if holder is not None:
             text = " ".join("".join(texts).split())
             if text:
-                out.append((text, holder.marks, next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "html"), linked / max(total, 1)))
+                out.append((text, holder.marks, stack[-1].block, linked / max(total, 1)))
         texts, holder, linked, total = [], None, 0, 0
 
     def add(raw: str) -> None:
@@ -98,12 +109,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
             linked += n
 
     def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stop:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
+        """Closes the innermost of these tags and all within it, unless one to stop at is nearer."""
+        last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
+        i = last(tags)
+        if i and i > last(stop - tags):
+            while len(stack) > i:
+                places[stack.pop().tag].pop()
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -124,8 +135,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
         if tag in BLOCKS:
             flush()
         if ending:
-            if any(e.tag == tag for e in stack[1:]):
-                close({tag}, set())
+            close({tag}, set())
             continue
         if tag in ENDS_P:
             close({"p"}, {"button", "td", "th", "table", "div", "section", "article", "aside", "li", "body"} if tag != "p" else {"td", "th", "table"})
@@ -136,6 +146,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], str, float]]:
         if tag in VOID:
             continue
         stack.append(Element(tag, _marks(tag, m[3] or m[6] or ""), stack[-1]))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if tag == "form" and not stack[-2].form:
+            end = _FORM_END.search(page, at)
+            stack[-1].hidden = stack[-1].hidden or not _WHOLE.search(page, at, end.start() if end else len(page))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             if tag == "textarea":

@@ -184,7 +184,7 @@ def identify(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """
     prepared(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST) & ~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = F.struct("text", "lang")
     some = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(own, F.xxhash64("text", "lang")).alias("own"))
     net = fitted(some.select("doc_id", "own.text", "own.lang"), "lang", learn)

@@ -75,11 +75,13 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
     """doc_id, text and label of at most `rows` labelled documents, by the hash of their ids, whose texts have at most LONGEST
-    bytes. A document labelled twice counts once, by its greater label; of several rows of one id, the text of least hash counts."""
-    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    bytes. A document labelled twice counts once, by its greater label; of several rows of one id, the text of least hash counts.
+    Labels of documents that aren't there, or are longer, take no place in the sample."""
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    ids = ids.join(short.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers.
-    found = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(ids), "doc_id")
+    found = short.join(F.broadcast(ids), "doc_id")
     return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
