@@ -65,13 +65,18 @@ def test_exits_of_a_static_frame_equal_a_loop(spark):
     folder = "/root/testdata/sf0.001"
     expected = []
     state = {}
-    for q in sorted(held(spark, folder).collect(), key=lambda r: (r.trade_id, r.quote_time, r.last_price)):
-        top, taken, out = state.get(q.trade_id, (0.0, 0, False))
-        if out or not q.holding_days:
+    for q in sorted(held(spark, folder).collect(), key=lambda r: (r.trade_id, r.poll_time, r.last_price)):
+        top, taken, left = state.get(q.trade_id, (0.0, 0, q.quantity))
+        if not left or not q.holding_days or q.bid is None or (q.trade_id not in state and q.holding_days > 10):
             continue
         top = max(top, q.entry_price, q.last_price)
         now, high, fall = (q.last_price / q.entry_price - 1) * 100, (top / q.entry_price - 1) * 100, (top - q.last_price) / top * 100
         found = [n for n, yes in (("hard_stop", now <= -4), ("trailing_stop", high >= 6 and fall >= 3), (f"take_profit_{taken + 1}", taken < 2 and now >= (5, 10, 0)[taken]), ("time_exit", q.holding_days >= 3)) if yes][:1]
-        state[q.trade_id] = (top, taken + sum(n.startswith("take") for n in found), any(not n.startswith("take") for n in found))
-        expected += [(q.trade_id, q.quote_time, n) for n in found]
-    assert sorted(map(tuple, QUERIES["x18_exit_triggers"](spark, folder).collect())) == sorted(expected) and len(expected) > 10
+        for name in found:
+            leg = name.startswith("take")
+            sold = (left // 2 // 100 * 100 or left) if leg and not taken else left
+            taken, left = taken + leg, left - sold
+            expected.append((q.trade_id, q.quote_time, name, q.bid, sold, left))
+        state[q.trade_id] = (top, taken, left)
+    got = sorted(map(tuple, QUERIES["x18_exit_triggers"](spark, folder).collect()))
+    assert got == sorted(expected) and len(expected) > 10 and {r[2][:4] for r in got} >= {"hard", "take"}
