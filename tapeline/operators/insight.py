@@ -260,17 +260,40 @@ def emotion_stages(scores: DataFrame, raw: DataFrame, limits: dict[str, float] =
     return df.select("trade_date", "short_score", "risk_score", F.round("slope", 6).alias("slope"), stage.alias("stage"), aux.alias("auxiliary"))
 
 
-def forward_validation(scores: DataFrame, raw: DataFrame) -> DataFrame:
-    """By bucket of the short score: sample, mean next-day breadth, and mean compounded index return over one and three days."""
-    df = raw.select("trade_date", "up_ratio_pct", "core_index_trend")
-    df = df.withColumns({"next_breadth": F.lead("up_ratio_pct").over(per_day()), "t1": W.forward_compound("core_index_trend", 1, per_day()), "t3": W.forward_compound("core_index_trend", 3, per_day())})
-    df = scores.filter("short_score is not null").join(df, "trade_date")
-    bucket = F.when(F.col("short_score") < 40, "low").when(F.col("short_score") < 70, "middle").otherwise("high")
-    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("days"), F.count("next_breadth").alias("sample_t1"), F.round(F.avg("next_breadth"), 6).alias("mean_breadth"), F.round(F.avg("t1"), 6).alias("mean_t1"), F.count("t3").alias("sample_t3"), F.round(F.avg("t3"), 6).alias("mean_t3"))
-
-
-def calibration_summary(stages: DataFrame) -> DataFrame:
-    return stages.groupBy("stage").agg(F.count("*").alias("days"), F.min("short_score").alias("low"), F.max("short_score").alias("high"), F.round(F.avg("short_score"), 6).alias("mean"))
+def forward_validation(scores: DataFrame, raw: DataFrame, least: int = 15) -> DataFrame:
+    """What followed each score: rows by score (short, risk), horizon (1 and 3 days) and bucket (low below 40, middle below 70, high, all).
+
+    sample, mean breadth of the horizon's last day and mean core index return compounded up to it, shares of samples above 50 and above 0. On
+    `all` also both rank correlations with the score, high less low of both means, and the relationship: positive or inverse if neither difference
+    says otherwise, mixed, or insufficient with under `least` samples on a side. A day counts where one of both outcomes is known.
+    """
+    ahead = {f"_{h}": F.struct(F.lit(h).alias("horizon"), F.lead("up_ratio_pct", h).over(per_day()).alias("breadth"), F.round(W.forward_compound("core_index_trend", h, per_day()), 4).alias("core")) for h in (1, 3)}
+    df = raw.withColumns(ahead).select("trade_date", F.explode(F.array(*ahead)).alias("_")).select("trade_date", "_.*")
+    long = scores.select("trade_date", F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(f"{n}_score").alias("value")) for n in ("short", "risk")])).alias("_")).select("trade_date", "_.*").filter("value is not null")
+    df = long.join(df.filter("breadth is not null or core is not null"), "trade_date")
+    bucket = F.when(F.col("value") < 40, "low").when(F.col("value") < 70, "middle").otherwise("high")
+    keys = ["score", "horizon"]
+    above = lambda c, t: F.count_if(F.col(c) > t) / F.when(F.count(c) > 0, F.count(c)) * 100
+    both = df.withColumn("bucket", F.explode(F.array(bucket, F.lit("all"))))
+    means = both.groupBy(*keys, "bucket").agg(F.count("*").alias("sample"), F.round(F.avg("breadth"), 2).alias("mean_breadth"), F.round(F.avg("core"), 4).alias("mean_core"), above("breadth", 50).alias("breadth_above_50"), above("core", 0).alias("core_positive"))
+    side = lambda b, c: F.max(F.when(F.col("bucket") == b, F.col(c)))
+    gap = lambda c, n: F.round(side("high", c) - side("low", c), n)
+    ends = means.groupBy(*keys).agg(gap("mean_breadth", 2).alias("breadth_difference"), gap("mean_core", 4).alias("core_difference"), F.least(F.coalesce(side("high", "sample"), F.lit(0)), F.coalesce(side("low", "sample"), F.lit(0))).alias("_n"))
+    x, y = F.col("breadth_difference"), F.col("core_difference")
+    no = lambda c: c.isNull()
+    kind = F.when(F.col("_n") < least, "insufficient_samples").when(no(x) & no(y), "insufficient_outcomes").when((no(x) | (x >= 0)) & (no(y) | (y >= 0)), "positive").when((no(x) | (x <= 0)) & (no(y) | (y <= 0)), "inverse").otherwise("mixed")
+    rho = [spearman(df, "value", c, keys).select(*keys, F.col("rho").alias(f"rho_{c}")) for c in ("breadth", "core")]
+    whole = ends.withColumn("relationship", kind).drop("_n").join(rho[0], keys, "left").join(rho[1], keys, "left").withColumn("bucket", F.lit("all"))
+    return means.join(whole, [*keys, "bucket"], "left")
+
+
+def calibration_summary(stages: DataFrame, raw: DataFrame, requested: int = 250) -> DataFrame:
+    """By stage its days and scores; beside them, over all: days requested, processed (of raw) and ready (of stages), whether the baseline
+    is complete, and the lowest, highest and mean score."""
+    own = stages.groupBy("stage").agg(F.count("*").alias("days"), F.min("short_score").alias("low"), F.max("short_score").alias("high"), F.round(F.avg("short_score"), 6).alias("mean"))
+    all_ = stages.agg(F.count("*").alias("ready"), F.min("short_score").alias("score_min"), F.max("short_score").alias("score_max"), F.round(F.avg("short_score"), 2).alias("score_mean")).crossJoin(raw.agg(F.count("*").alias("processed")))
+    all_ = all_.withColumns({"requested": F.lit(requested).cast("long"), "baseline_complete": (F.col("processed") >= requested) & (F.col("ready") >= requested)})
+    return own.crossJoin(F.broadcast(all_))  # one row
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

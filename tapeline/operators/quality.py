@@ -19,22 +19,31 @@ def asset_counts(assets: dict[str, DataFrame]) -> DataFrame:
     return both.groupBy("trade_date").agg(*[F.countDistinct(F.when(F.col("asset") == n, F.col("stock_code"))).alias(n) for n in assets])
 
 
+def active_stocks(stocks: DataFrame) -> DataFrame:
+    """The stocks that assets are expected to have: those of status active."""
+    return stocks.filter("status = 'active'").select("stock_code").distinct()
+
+
 def coverage(assets: dict[str, DataFrame], dates: DataFrame, stocks: DataFrame, suspensions: DataFrame) -> DataFrame:
-    """By asset and day: expected stocks, those there, suspended, missing, and both completenesses in percent."""
-    off = suspensions.select(*KEY, F.lit(True).alias("_off")).distinct()
-    out = None
-    for name, df in assets.items():
-        g = date_universe(dates, stocks, df).join(off, KEY, "left")
-        gone = ~F.col("present") & F.col("_off").isNotNull()
-        part = g.groupBy("trade_date").agg(F.lit(name).alias("asset"), F.count("*").alias("expected"), F.count_if(F.col("present")).alias("actual"), F.count_if(gone).alias("suspended"))
-        out = part if out is None else out.unionByName(part)
+    """By asset and day of dates: expected stocks, those there, suspended, missing, and both completenesses in percent.
+
+    Each asset is read once; all come together in one grouping by stock and day, and days are counted from that. No grid of
+    stocks by days is made: what is expected is one number.
+    """
+    marked = [df.select(*KEY, F.lit(n).alias("_a")) for n, df in (*assets.items(), ("_off", suspensions))]
+    has = lambda n: F.max(F.when(F.col("_a") == n, True)).isNotNull()
+    flags = reduce(DataFrame.unionByName, marked).join(active_stocks(stocks), "stock_code", "left_semi").groupBy(*KEY).agg(*[has(n).alias(n) for n in (*assets, "_off")])
+    days = flags.groupBy("trade_date").agg(*[F.struct(F.count_if(n).alias("actual"), F.count_if(~F.col(n) & F.col("_off")).alias("suspended")).alias(n) for n in assets])
+    expected = active_stocks(stocks).agg(F.count("*").alias("expected"))
+    one = F.array(*[F.struct(F.lit(n).alias("asset"), F.coalesce(f"{n}.actual", F.lit(0)).alias("actual"), F.coalesce(f"{n}.suspended", F.lit(0)).alias("suspended")) for n in assets])
+    out = dates.select("trade_date").join(days, "trade_date", "left").select("trade_date", F.explode(one).alias("_")).select("trade_date", "_.*").crossJoin(F.broadcast(expected))  # one row
     missing = F.col("expected") - F.col("actual") - F.col("suspended")
     return out.withColumns({"missing": missing, "completeness": F.col("actual") / F.col("expected") * 100, "effective": (F.col("actual") + F.col("suspended")) / F.col("expected") * 100})
 
 
 def gaps(asset: DataFrame, bars: DataFrame, dates: DataFrame, stocks: DataFrame, suspensions: DataFrame) -> DataFrame:
-    """Stocks and days that the asset lacks, with why: suspended, no market record, or missing data."""
-    grid = date_universe(dates, stocks, asset).filter("not present").drop("present")
+    """Active stocks and days that the asset lacks, with why: suspended, no market record, or missing data."""
+    grid = date_universe(dates, active_stocks(stocks), asset).filter("not present").drop("present")
     df = grid.join(suspensions.select(*KEY, F.lit(True).alias("_s")).distinct(), KEY, "left").join(bars.select(*KEY, F.lit(True).alias("_b")).distinct(), KEY, "left")
     return df.select(*KEY, F.when(F.col("_s").isNotNull(), "suspended").when(F.col("_b").isNull(), "no_market_record").otherwise("missing_data").alias("reason"))
 
@@ -54,16 +63,14 @@ def stale_days(stats: DataFrame, calendar: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(calendar.select(F.col("trade_date").alias("_d"))), F.col("_d") > F.col("latest"), "left").groupBy("asset", "latest").agg(F.count("_d").alias("stale_days"))
 
 
-def _expected(stocks: DataFrame) -> DataFrame:
-    """One row: how many stocks the master has, which coverage expects of each asset and day."""
-    return F.broadcast(stocks.agg(F.countDistinct("stock_code").alias("_expected")))
-
-
-def asset_summary(stats: DataFrame, stale: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Each asset's status by its lag and by the share of the master's stocks on its latest day."""
-    df = stats.join(stale.select("asset", "stale_days"), "asset").crossJoin(_expected(stocks))
-    share = F.col("stocks_at_latest") / F.col("_expected")
-    return df.withColumn("status", F.when(F.coalesce("rows", F.lit(0)) == 0, "empty").when(F.col("stale_days") > 0, "stale").when(share >= 0.98, "ok").when(share >= 0.8, "partial").otherwise("limited")).drop("_expected")
+def asset_summary(stats: DataFrame, stale: DataFrame, coverage_: DataFrame, lags: dict[str, int]) -> DataFrame:
+    """Each asset's status: empty without rows, limited without a day, stale if it is more open days behind than its own lag (0 if lags
+    has none), partial if active stocks are missing on its latest day that suspensions don't explain, else ok."""
+    latest = coverage_.select("asset", F.col("trade_date").alias("latest"), "missing")
+    df = stats.join(stale.select("asset", "stale_days"), "asset").join(latest, ["asset", "latest"], "left")
+    lag = F.coalesce(F.create_map(*[F.lit(x) for item in lags.items() for x in item])[F.col("asset")], F.lit(0)) if lags else F.lit(0)
+    status = F.when(F.coalesce("rows", F.lit(0)) == 0, "empty").when(F.col("latest").isNull(), "limited").when(F.col("stale_days") > lag, "stale").when(F.col("missing") > 0, "partial").otherwise("ok")
+    return df.withColumn("status", status)
 
 
 def daily_health(coverage_: DataFrame) -> DataFrame:
@@ -73,11 +80,31 @@ def daily_health(coverage_: DataFrame) -> DataFrame:
     return df.groupBy("trade_date").agg(*[F.max(F.when(F.col("asset") == n, F.col("status"))).alias(n) for n in names])
 
 
-def readiness(counts: DataFrame, stocks: DataFrame) -> DataFrame:
-    """By day: complete, degraded or blocked by core, enhancement and optional assets, and what is missing; shares are of the master's stocks."""
-    r = {n: F.col(n) / F.col("_expected") for n in ("bars", "basic", "flow")}
-    low = F.concat_ws(",", F.when(r["bars"] < 0.95, "bars"), F.when(r["basic"] < 0.90, "basic"), F.when(r["flow"] < 0.85, "flow"))
-    return counts.crossJoin(_expected(stocks)).select("trade_date", F.when(r["bars"] < 0.95, "blocked").when((r["basic"] < 0.90) | (r["flow"] < 0.85), "degraded").otherwise("complete").alias("status"), low.alias("missing"))
+#: Blocks of a day's readiness. The kind, the count it is measured by (active stocks, the day's bars, or core indexes and
+#: sectors), and the least share; None asks for any row. A block whose feeds must have come names them by a column `<block>_captured`.
+READINESS = {
+    "bars": ("core", "active", 0.95), "basic": ("core", "bars", 0.95), "flow": ("core", "bars", 0.95), "adjust": ("core", "bars", 0.95), "index": ("core", "indexes", 0.85), "factors": ("core", "bars", 0.95),
+    "events": ("enhancement", None, None), "technical": ("enhancement", "bars", 0.95), "lhb": ("enhancement", None, None), "index_basic": ("enhancement", "indexes", 0.85), "sector_bars": ("enhancement", "sectors", 0.90),
+    "sector_flow": ("enhancement", None, None), "sector_factors": ("enhancement", None, None), "market_stats": ("optional", None, None),
+}
+
+
+def readiness(counts: DataFrame) -> DataFrame:
+    """By day: blocked if a core block is missing, degraded if an enhancement is, else complete; and the missing blocks, optional ones too.
+
+    counts: trade_date, active, indexes, sectors, a number of rows for blocks of READINESS, and for those that need feeds whether they were
+    captured. Blocks that counts doesn't have aren't checked. Events and lists may have no rows on a day, if their feeds were captured.
+    """
+
+    def there(name: str, base: str | None, least: float | None) -> Column:
+        ok = F.lit(True) if name in ("events", "lhb") else F.coalesce(F.col(name), F.lit(0)) > 0
+        if base:
+            ok = F.least(F.lit(1.0), F.coalesce(F.col(name), F.lit(0)) / F.greatest(F.lit(1), F.coalesce(F.col(base), F.lit(0)))) >= least
+        return ok & F.coalesce(F.col(f"{name}_captured"), F.lit(False)) if f"{name}_captured" in counts.columns else ok
+
+    blocks = {n: (kind, there(n, base, least)) for n, (kind, base, least) in READINESS.items() if n in counts.columns or f"{n}_captured" in counts.columns}
+    fails = lambda k: reduce(lambda x, y: x | y, [~ok for kind, ok in blocks.values() if kind == k], F.lit(False))
+    return counts.select("trade_date", F.when(fails("core"), "blocked").when(fails("enhancement"), "degraded").otherwise("complete").alias("status"), F.concat_ws(",", *[F.when(~ok, n) for n, (_, ok) in blocks.items()]).alias("missing"))
 
 
 def _size_bucket(v: Column) -> Column:

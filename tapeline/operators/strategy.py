@@ -123,11 +123,12 @@ def candidates(screened: DataFrame, n: int) -> DataFrame:
     return screened.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)
 
 
-def reconcile_candidates(old: DataFrame, new: DataFrame, keys: list[str], terminal: tuple[str, ...] = ("closed", "expired")) -> DataFrame:
-    """keys, status, action: new ones are created, old ones found again refreshed, and those not found cancelled; terminal statuses stay."""
+def reconcile_candidates(old: DataFrame, new: DataFrame, keys: list[str], open_: tuple[str, ...] = ("pending_confirmation", "watching")) -> DataFrame:
+    """keys, status, action: new ones are created, open ones found again refreshed, and open ones not found cancelled; all others, such as
+    entered or rejected ones, stay as they are."""
     df = old.select(*keys, F.col("status").alias("_old")).join(new.select(*keys, F.lit(True).alias("_new")), keys, "full")
-    action = F.when(F.col("_old").isNull(), "created").when(F.col("_old").isin(*terminal), "kept").when(F.col("_new").isNotNull(), "refreshed").otherwise("cancelled")
-    return df.select(*keys, F.when(action == "created", "pending").when(action == "cancelled", "cancelled").otherwise(F.col("_old")).alias("status"), action.alias("action"))
+    action = F.when(F.col("_old").isNull(), "created").when(~F.col("_old").isin(*open_), "kept").when(F.col("_new").isNotNull(), "refreshed").otherwise("cancelled")
+    return df.select(*keys, F.when(action == "created", "pending_confirmation").when(action == "cancelled", "cancelled").otherwise(F.col("_old")).alias("status"), action.alias("action"))
 
 
 def signal_outcomes(signals: DataFrame, bars: DataFrame, calendar: DataFrame, stop: float = -4.0, take: float = 8.0, activate: float = 6.0, drawdown: float = 3.0, days: int = 3, slip: float = 0.001, fee: float = 0.001) -> DataFrame:

@@ -95,6 +95,21 @@ def cov(spark, d):
     return A.coverage(assets(spark, d), days, st, off)
 
 
+#: Open days that an asset may be behind.
+LAGS = {"flow": 1}
+
+
+def ready_counts(spark, d):
+    """By day: rows of each block that the tables stand for, and what they are measured by."""
+    more = A.asset_counts({"adjust": D.adjust(spark, d), "factors": Q.f01(spark, d).filter("ma20 is not null")})
+    df = A.asset_counts(assets(spark, d)).join(more, "trade_date", "left").join(D.bars(spark, d).filter(F.col("stock_code").isin("000001", "000002")).groupBy("trade_date").agg(F.count("*").alias("index")), "trade_date", "left")
+    f6 = Q.f06(spark, d)
+    df = df.join(f6.groupBy("trade_date").agg(F.count("*").alias("sector_bars"), F.count("net_inflow").alias("sector_factors")), "trade_date", "left")
+    fed = audit(spark, d).filter("status <> 'failed'").groupBy("trade_date").agg((F.count_if(F.col("capability").isin("limit_list", "suspend")) == 2).alias("events_captured"), (F.count_if(F.col("capability") == "stk_limit") == 1).alias("lhb_captured"))
+    n = A.active_stocks(D.stocks(spark, d)).agg(F.count("*").alias("active")).crossJoin(D.members(spark, d).agg(F.countDistinct("sector_code").alias("sectors")))
+    return df.join(fed, "trade_date", "left").crossJoin(F.broadcast(n)).withColumn("indexes", F.lit(2))  # one row
+
+
 def audit(spark, d):
     return D.calendar(spark, d).select("trade_date", F.explode(F.array(*map(F.lit, ("limit_list", "stk_limit", "suspend")))).alias("capability"), (F.col("idx") % 5).alias("k")).select("trade_date", "capability", F.when((F.col("k") == 0) & (F.col("capability") == "suspend"), "complete_zero").when((F.col("k") == 1) & (F.col("capability") == "stk_limit"), "failed").otherwise("captured").alias("status"))
 
@@ -118,11 +133,16 @@ B = "select stock_code, trade_date, close_price from bars"
 N_ = "cast(substr(stock_code, 5, 2) as integer)"
 CUR = f"select sector_code, stock_code, {N_} as weight from members where {N_} % 4 <> 0"
 NEW = f"select sector_code, stock_code, {N_} + case when {N_} % 3 = 0 then 1 else 0 end as weight from members where {N_} % 5 <> 0"
-GRID = "select s.stock_code, c.trade_date from stocks s cross join calendar c"
+GRID = "select s.stock_code, c.trade_date from stocks s cross join calendar c where status = 'active'"
 OFF = "select distinct stock_code, trade_date from limit_events where event_type = 'suspend'"
 COV = " union all ".join(f"select trade_date, '{n}' as asset, count(*) as expected, count(a) as actual, count(*) filter (a is null and o) as suspended, count(*) - count(a) - count(*) filter (a is null and o) as missing, count(a) / count(*) * 100 as completeness, (count(a) + count(*) filter (a is null and o)) / count(*) * 100 as effective from grid g left join (select distinct stock_code, trade_date, 1 as a from {n}) using (stock_code, trade_date) left join (select *, true as o from off) using (stock_code, trade_date) group by 1" for n in ("bars", "basic", "flow"))
 STATS = " union all ".join(f"select '{n}' as asset, count(*) as rows, max(trade_date) as latest, (select count(distinct stock_code) from {n} where trade_date = (select max(trade_date) from {n})) as stocks_at_latest from {n}" for n in ("bars", "basic", "flow"))
 COUNTS = "select trade_date, count(distinct stock_code) filter (asset = 'bars') as bars, count(distinct stock_code) filter (asset = 'basic') as basic, count(distinct stock_code) filter (asset = 'flow') as flow from (select stock_code, trade_date, 'bars' as asset from bars union all select stock_code, trade_date, 'basic' from basic union all select stock_code, trade_date, 'flow' from flow) group by 1"
+READY = """select trade_date, case when concat(b, a, v, w, i, f) <> '' then 'blocked' when concat(e, l, sb, sf) <> '' then 'degraded' else 'complete' end as status, concat_ws(',', nullif(b, ''), nullif(a, ''), nullif(v, ''), nullif(w, ''), nullif(i, ''), nullif(f, ''), nullif(e, ''), nullif(l, ''), nullif(sb, ''), nullif(sf, '')) as missing from (
+  select c.trade_date, case when bars / (select count(*) from stocks where status = 'active') < 0.95 then 'bars' else '' end as b, case when basic / greatest(1, bars) < 0.95 then 'basic' else '' end as a, case when flow / greatest(1, bars) < 0.95 then 'flow' else '' end as v, case when coalesce(j.n, 0) / greatest(1, bars) < 0.95 then 'adjust' else '' end as w,
+    case when coalesce(x.n, 0) / 2 < 0.85 then 'index' else '' end as i, case when coalesce(y.n, 0) / greatest(1, bars) < 0.95 then 'factors' else '' end as f, case when k % 5 is null then 'events' else '' end as e, case when coalesce(k % 5 = 1, true) then 'lhb' else '' end as l, case when coalesce(z.n, 0) / (select count(distinct sector_code) from members) < 0.9 then 'sector_bars' else '' end as sb, case when coalesce(z.m, 0) = 0 then 'sector_factors' else '' end as sf
+  from counts c left join (select trade_date, count(distinct stock_code) as n from adjust group by 1) j on j.trade_date = c.trade_date left join (select trade_date, count(*) as n from bars where stock_code in ('000001', '000002') group by 1) x on x.trade_date = c.trade_date left join (select trade_date, count(distinct stock_code) as n from f1 where ma20 is not null group by 1) y on y.trade_date = c.trade_date
+  left join (select trade_date, count(*) as n, count(net_inflow) as m from f6 group by 1) z on z.trade_date = c.trade_date left join (select trade_date, idx as k from calendar) q on q.trade_date = c.trade_date)"""
 CATALOG = "select 'concept' as kind, sector_code as name, count(distinct stock_code) as n from members group by 1, 2 union all select 'industry', industry, count(*) filter (status = 'active') from stocks group by 1, 2"
 RAWM = "select *, case s_suppkey % 6 when 0 then '6' when 1 then '0' when 2 then '3' when 3 then '8' when 4 then '920' else '5' end || lpad(cast(s_suppkey as varchar), 5, '0') as code, case when s_suppkey % 11 = 0 then '*ST' when s_suppkey % 17 = 0 then 'ST' else '' end || 'N' || s_suppkey || case when s_suppkey % 13 = 0 then '退' else '' end as nm from supplier"
 ALL = S.ALL | {"cur_members": CUR, "new_members": NEW, "grid": GRID, "off": OFF, "coverage": COV, "stats": STATS, "counts": COUNTS, "catalog": CATALOG, "multi": MULTI, "rawm": RAWM, "f6": Q.F6}
@@ -175,7 +195,7 @@ TABLE = {
     "p15_daily_fact": (lambda s, d: R.daily_fact(D.bars(s, d), D.basic(s, d), D.flow(s, d)), "select stock_code, trade_date, close_price, turnover_rate, main_net_inflow, round(volume_hand / m, 6) as volume_ratio, turnover_rate is not null as has_basic, main_net_inflow is not null as has_flow, main_net_inflow / greatest(amount_yuan, 1) * 100 as net_ratio from (select *, avg(volume_hand) over (partition by stock_code order by trade_date rows between 5 preceding and 1 preceding) as m from bars) left join basic using (stock_code, trade_date) left join flow using (stock_code, trade_date)"),
     "j02_left_chain": (lambda s, d: D.bars(s, d).select(*KEY).join(D.flow(s, d), KEY, "left").join(D.adjust(s, d), KEY, "left"), "select stock_code, trade_date, main_net_inflow, big_order_net_inflow, super_large_net_inflow, adj_factor from bars left join flow using (stock_code, trade_date) left join adjust using (stock_code, trade_date)"),
     "j03_having_event": (lambda s, d: R.restrict(D.bars(s, d).select(*KEY, "close_price"), D.limit_events(s, d).filter("event_type = 'limit_break'").select(*KEY)), B + " b where exists (select 1 from limit_events e where e.stock_code = b.stock_code and e.trade_date = b.trade_date and event_type = 'limit_break')"),
-    "j05_date_universe": (lambda s, d: R.date_universe(D.calendar(s, d), D.stocks(s, d), D.bars(s, d)), "select stock_code, trade_date, b.p is not null as present from grid left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date)"),
+    "j05_date_universe": (lambda s, d: R.date_universe(D.calendar(s, d), D.stocks(s, d), D.bars(s, d)), "select stock_code, trade_date, b.p is not null as present from (select s.stock_code, c.trade_date from stocks s cross join calendar c) left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date)"),
     "j08_last_n": (lambda s, d: R.last_n_agg(D.bars(s, d), 20), "select stock_code, round(avg(close_price), 6) as mean_close, count(*) as rows from (select *, row_number() over (partition by stock_code order by trade_date desc) as n from bars) where n <= 20 group by 1"),
     "j11_forward_path": (lambda s, d: R.forward_path(Q.ups(s, d), D.bars(s, d), D.calendar(s, d), 3), "select u.stock_code, u.trade_date as signal_date, cast(d.idx - c.idx as bigint) as day, b.trade_date, close_price from upd u join calendar c using (trade_date) join calendar d on d.idx between c.idx + 1 and c.idx + 3 join bars b on b.stock_code = u.stock_code and b.trade_date = d.trade_date"),
     "j12_resolve_leader": (lambda s, d: R.resolve_leader(D.members(s, d).join(D.stocks(s, d).select("stock_code", "stock_name", "region_key"), "stock_code").groupBy("sector_code").agg(F.max("stock_name").alias("lead_stock")), members_named(s, d).filter("stock_code < '000090'")), "select sector_code, lead_stock, m.stock_code as leader_code from (select sector_code, max(stock_name) as lead_stock from members join stocks using (stock_code) group by 1) f left join (select sector_code, stock_name as lead_stock, stock_code from members join stocks using (stock_code) where stock_code < '000090') m using (sector_code, lead_stock)"),
@@ -200,9 +220,9 @@ TABLE = {
     "q02_gaps": (lambda s, d: (lambda g: A.gaps(D.flow(s, d), D.bars(s, d), *g))(grid_parts(s, d)), "select stock_code, trade_date, case when o.x is not null then 'suspended' when b.p is null then 'no_market_record' else 'missing_data' end as reason from grid left join (select *, 1 as x from off) o using (stock_code, trade_date) left join (select stock_code, trade_date, 1 as p from bars) b using (stock_code, trade_date) where (stock_code, trade_date) not in (select (stock_code, trade_date) from flow)"),
     "q03_table_stats": (lambda s, d: A.table_stats(assets(s, d)), STATS),
     "q04_stale_days": (lambda s, d: A.stale_days(A.table_stats({k: v.filter("trade_date < '2022-03-20'") if k == "flow" else v for k, v in assets(s, d).items()}), D.calendar(s, d)), "select asset, latest, (select count(*) from calendar where trade_date > latest) as stale_days from (select asset, case when asset = 'flow' then (select max(trade_date) from flow where trade_date < date '2022-03-20') else latest end as latest from stats)"),
-    "q05_asset_summary": (lambda s, d: (lambda st: A.asset_summary(st, A.stale_days(st, D.calendar(s, d)), D.stocks(s, d)))(A.table_stats(assets(s, d))), "select *, case when rows = 0 then 'empty' when stale_days > 0 then 'stale' when stocks_at_latest / (select count(*) from stocks) >= 0.98 then 'ok' when stocks_at_latest / (select count(*) from stocks) >= 0.8 then 'partial' else 'limited' end as status from (select *, (select count(*) from calendar where trade_date > latest) as stale_days from stats)"),
+    "q05_asset_summary": (lambda s, d: (lambda st: A.asset_summary(st, A.stale_days(st, D.calendar(s, d)), cov(s, d), LAGS))(A.table_stats(assets(s, d))), "select x.*, missing, case when rows = 0 then 'empty' when stale_days > case x.asset when 'flow' then 1 else 0 end then 'stale' when missing > 0 then 'partial' else 'ok' end as status from (select *, (select count(*) from calendar where trade_date > latest) as stale_days from stats) x left join coverage c on c.asset = x.asset and c.trade_date = x.latest"),
     "q06_daily_health": (lambda s, d: A.daily_health(cov(s, d)), "select trade_date, max(status) filter (asset = 'bars') as bars, max(status) filter (asset = 'basic') as basic, max(status) filter (asset = 'flow') as flow from (select *, case when missing = 0 and effective >= 99.5 then 'ok' when effective >= 98 then 'partial' else 'stale' end as status from coverage) group by 1"),
-    "q07_readiness": (lambda s, d: A.readiness(A.asset_counts(assets(s, d)), D.stocks(s, d)), "select trade_date, case when bars / (select count(*) from stocks) < 0.95 then 'blocked' when basic / (select count(*) from stocks) < 0.9 or flow / (select count(*) from stocks) < 0.85 then 'degraded' else 'complete' end as status, concat_ws(',', case when bars / (select count(*) from stocks) < 0.95 then 'bars' end, case when basic / (select count(*) from stocks) < 0.9 then 'basic' end, case when flow / (select count(*) from stocks) < 0.85 then 'flow' end) as missing from counts"),
+    "q07_readiness": (lambda s, d: A.readiness(ready_counts(s, d)), READY),
     "q09_duplicate_keys": (lambda s, d: A.duplicate_keys(D.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1"),
     "q10_mapping_report": (lambda s, d: G.mapping_report(raw_daily(s, d), G.normalize_daily(raw_daily(s, d))), "select count(*) as raw, count(*) filter (day(trade_date) <> 13) as mapped, count(*) filter (day(trade_date) = 13) as skipped from bars"),
     "l01_pool_members": (lambda s, d: A.pool_members(D.stocks(s, d), D.stocks(s, d).filter("is_st"), S.screened(s, d).select("stock_code").distinct()), "select stock_code, pool from (select stock_code, 'active' as pool from stocks union select stock_code, 'static' from stocks where is_st union select stock_code, 'candidates' from screened) where stock_code in (select stock_code from stocks where status = 'active')"),

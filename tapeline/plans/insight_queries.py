@@ -70,15 +70,20 @@ def scores(spark, d):
 
 
 def stages(spark, d):
-    r = raw(spark, d)
+    r = D.once(raw(spark, d))  # a row a day
     return I.emotion_stages(I.emotion_scores(I.emotion_percentiles(r)), r)
 
 
 def validation(spark, d):
-    r = raw(spark, d)
+    r = D.once(raw(spark, d))  # a row a day
     return I.forward_validation(I.emotion_scores(I.emotion_percentiles(r)), r)
 
 
+def calibration(spark, d):
+    r = D.once(raw(spark, d))  # a row a day
+    return I.calibration_summary(I.emotion_stages(I.emotion_scores(I.emotion_percentiles(r)), r), r)
+
+
 def leaders(spark, d):
     return I.sector_leaders(D.bars(spark, d), D.members(spark, d), D.limit_events(spark, d), D.flow(spark, d), heat(spark, d))
 
@@ -152,8 +157,17 @@ from (select *, case when value is not null and sample >= 60 then {_card(I.SHORT
 M5 = """select trade_date, short_score, risk_score, round(slope, 6) as slope, case when short_score <= 28 and risk_score <= 42 and slope <= 0 then 'ice_point' when short_score < 42 and (slope < 0 or qualified_limit_down_count > natural_limit_up_count) then 'retreat' when short_score >= 82 and risk_score >= 65 and natural_limit_up_count > 0 then 'climax' when short_score >= 48 and slope > 0 and risk_score >= 42 then 'recovery' else 'active' end as stage,
   case when limit_break_rate >= 40 and high - short_score >= 12 then 'divergence' when qualified_limit_down_count >= greatest(8, natural_limit_up_count) and short_score < 40 then 'panic_release' when board_promotion_rate >= 35 and highest_board_count >= 3 then 'acceleration' when theme_persistence >= 40 then 'ferment' when short_score < 50 and coalesce(theme_persistence, 0) < 20 then 'rotation' else 'trial' end as auxiliary
 from (select *, coalesce(max(short_score) over (order by trade_date rows between 5 preceding and 1 preceding), short_score) as high, short_score - coalesce(lag(short_score) over (order by trade_date), short_score) as slope from (select * from m4 where short_score is not null and risk_score is not null) join m3 using (trade_date))"""
-M7 = """select case when short_score < 40 then 'low' when short_score < 70 then 'middle' else 'high' end as bucket, count(*) as days, count(nb) as sample_t1, round(avg(nb), 6) as mean_breadth, round(avg(t1), 6) as mean_t1, count(t3) as sample_t3, round(avg(t3), 6) as mean_t3
-from (select * from m4 where short_score is not null) join (select trade_date, lead(up_ratio_pct) over w as nb, (1 + lead(core_index_trend) over w / 100 - 1) * 100 as t1, ((1 + lead(core_index_trend, 1) over w / 100) * (1 + lead(core_index_trend, 2) over w / 100) * (1 + lead(core_index_trend, 3) over w / 100) - 1) * 100 as t3 from m3 window w as (order by trade_date)) using (trade_date) group by 1"""
+M7 = """select * from (with f as (select trade_date, h as horizon, case h when 1 then b1 else b3 end as breadth, case h when 1 then c1 else c3 end as core from (select trade_date, lead(up_ratio_pct, 1) over w as b1, lead(up_ratio_pct, 3) over w as b3, round((1 + lead(core_index_trend) over w / 100 - 1) * 100, 4) as c1, round(((1 + lead(core_index_trend, 1) over w / 100) * (1 + lead(core_index_trend, 2) over w / 100) * (1 + lead(core_index_trend, 3) over w / 100) - 1) * 100, 4) as c3 from m3 window w as (order by trade_date)), (values (1), (3)) hs(h)),
+s as (select * from (select trade_date, 'short' as score, short_score as value from m4 union all select trade_date, 'risk', risk_score from m4) where value is not null),
+j as (select * from s join f using (trade_date) where breadth is not null or core is not null),
+m as (select score, horizon, bucket, count(*) as sample, round(avg(breadth), 2) as mean_breadth, round(avg(core), 4) as mean_core, count(*) filter (breadth > 50) / nullif(count(breadth), 0) * 100 as breadth_above_50, count(*) filter (core > 0) / nullif(count(core), 0) * 100 as core_positive
+  from (select *, unnest([case when value < 40 then 'low' when value < 70 then 'middle' else 'high' end, 'all']) as bucket from j) group by 1, 2, 3),
+e as (select score, horizon, round(max(mean_breadth) filter (bucket = 'high') - max(mean_breadth) filter (bucket = 'low'), 2) as breadth_difference, round(max(mean_core) filter (bucket = 'high') - max(mean_core) filter (bucket = 'low'), 4) as core_difference, least(coalesce(max(sample) filter (bucket = 'high'), 0), coalesce(max(sample) filter (bucket = 'low'), 0)) as n from m group by 1, 2),
+r as (select score, horizon, o, case when count(*) >= 3 and count(*) * sum(x * x) - sum(x) * sum(x) > 0 and count(*) * sum(y * y) - sum(y) * sum(y) > 0 then round((count(*) * sum(x * y) - sum(x) * sum(y)) / (sqrt(count(*) * sum(x * x) - sum(x) * sum(x)) * sqrt(count(*) * sum(y * y) - sum(y) * sum(y))), 6) end as rho from (
+  select score, horizon, o, rank() over (partition by score, horizon, o order by value) + (count(*) over (partition by score, horizon, o, value) - 1) / 2 as x, rank() over (partition by score, horizon, o order by z) + (count(*) over (partition by score, horizon, o, z) - 1) / 2 as y
+  from (select score, horizon, value, 'breadth' as o, breadth as z from j union all select score, horizon, value, 'core', core from j) where z is not null) group by 1, 2, 3)
+select m.*, breadth_difference, core_difference, case when n is null then null when n < 15 then 'insufficient_samples' when breadth_difference is null and core_difference is null then 'insufficient_outcomes' when coalesce(breadth_difference, 0) >= 0 and coalesce(core_difference, 0) >= 0 then 'positive' when coalesce(breadth_difference, 0) <= 0 and coalesce(core_difference, 0) <= 0 then 'inverse' else 'mixed' end as relationship, rb.rho as rho_breadth, rc.rho as rho_core
+from m left join e on e.score = m.score and e.horizon = m.horizon and m.bucket = 'all' left join r rb on rb.score = m.score and rb.horizon = m.horizon and rb.o = 'breadth' and m.bucket = 'all' left join r rc on rc.score = m.score and rc.horizon = m.horizon and rc.o = 'core' and m.bucket = 'all')"""
 ANN = "select doc_id, lpad(cast(doc_id % 100 + 1 as varchar), 6, '0') as stock_code, trade_date as published from documents join calendar on idx = doc_id * 7 % 500 + 1"
 M11 = """select u.stock_code, u.trade_date, u.open_count, w.board_count, close_price, change_pct, main_net_inflow, concepts, best_rank, coalesce(said, 0) as announcements
 from (select distinct stock_code, trade_date, open_count from limit_events where event_type = 'limit_up') u left join w17 w on w.stock_code = u.stock_code and w.trade_date = u.trade_date left join bars b on b.stock_code = u.stock_code and b.trade_date = u.trade_date left join flow f on f.stock_code = u.stock_code and f.trade_date = u.trade_date
@@ -183,7 +197,7 @@ select trade_date, cast(rank() over (partition by trade_date order by volume_han
     "m04_emotion_scores": (scores, M4),
     "m05_emotion_stages": (stages, M5),
     "m07_forward_validation": (validation, M7),
-    "m08_calibration": (lambda s, d: I.calibration_summary(stages(s, d)), "select stage, count(*) as days, min(short_score) as low, max(short_score) as high, round(avg(short_score), 6) as mean from m5 group by 1"),
+    "m08_calibration": (calibration, "select * from (select stage, count(*) as days, min(short_score) as low, max(short_score) as high, round(avg(short_score), 6) as mean from m5 group by 1), (select count(*) as ready, min(short_score) as score_min, max(short_score) as score_max, round(avg(short_score), 2) as score_mean, (select count(*) from m3) as processed, 250::bigint as requested, count(*) >= 250 and (select count(*) from m3) >= 250 as baseline_complete from m5)"),
     "m09_concept_heat": (heat, M9),
     "m10_sector_leaders": (leaders, """select trade_date, sector_code, n as place, stock_code, up as limit_up from (select b.trade_date, b.sector_code, b.stock_code, u.stock_code is not null as up, row_number() over (partition by b.trade_date, b.sector_code order by u.stock_code is not null desc, change_pct desc nulls last, main_net_inflow desc nulls last, b.stock_code) as n
 from member_bars b join m9 h on h.trade_date = b.trade_date and h.sector_code = b.sector_code and heat_rank <= 24 left join upd u on u.stock_code = b.stock_code and u.trade_date = b.trade_date left join flow f on f.stock_code = b.stock_code and f.trade_date = b.trade_date) where n <= 3"""),

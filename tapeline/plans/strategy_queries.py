@@ -54,8 +54,11 @@ def evaluated(spark, d):
     return S.evaluate_grid(t, grid(spark, d), FACTS, S.train_end_date(t))
 
 
+STATUSES = ("closed", "pending_confirmation", "watching", "rejected", "entered")
+
+
 def reconciled(spark, d):
-    old = screened(spark, d).filter("day(trade_date) % 2 = 0 or rule = 'trend_breakout'").withColumn("status", F.when(F.dayofmonth("trade_date") % 5 == 0, "closed").otherwise("pending"))
+    old = screened(spark, d).filter("day(trade_date) % 2 = 0 or rule = 'trend_breakout'").withColumn("status", F.element_at(F.array(*map(F.lit, STATUSES)), F.dayofmonth("trade_date") % 5 + 1))
     new = screened(spark, d).filter("score >= 80")
     return S.reconcile_candidates(old, new, ["rule", "trade_date", "stock_code"])
 
@@ -141,7 +144,7 @@ def _spark_screen(name: str):
 
 
 SUMMARY_BY = lambda s, d: S.trade_summary(outcomes(s, d), ["exit_reason"])
-OLD = "select *, case when day(trade_date) % 5 = 0 then 'closed' else 'pending' end as status from screened where day(trade_date) % 2 = 0 or rule = 'trend_breakout'"
+OLD = f"select *, ({list(STATUSES)})[day(trade_date) % 5 + 1] as status from screened where day(trade_date) % 2 = 0 or rule = 'trend_breakout'"
 TRADES = "select 's' || (o_custkey % 5) as rule, case o_orderstatus when 'O' then 'open' when 'P' then 'pending' else 'closed' end as status, cast(o_orderdate as date) as trade_date, o_totalprice as value from orders"
 TABLE = {
     "r01_universe_gate": (lambda s, d: S.universe_gate(frame(s, d), D.stocks(s, d), 60, 40000.0).groupBy("reason").agg(F.count("*").alias("n")), "select case when exchange not in ('SH', 'SZ') then 'unsupported_exchange' when is_st then 'st_excluded' when status <> 'active' then 'inactive_stock' when history_days < 60 then 'listing_history_insufficient' when amount_yuan < 40000 then 'liquidity_insufficient' end as reason, count(*) as n from ev join stocks s on s.stock_code = ev.stock_code group by 1"),
@@ -149,7 +152,7 @@ TABLE = {
     **{f"r{i:02d}_{name}": (_spark_screen(name), _screen(name, "evt" if "relay" in name else "ev")) for i, name in enumerate(SCREENS, 3)},
     "r14_evaluation_frame": (lambda s, d: frame(s, d).select("stock_code", "trade_date", "prior_high", "prior_low", "prev_ma5", "prev_ma10", "main_net_ratio", "is_limit_up", "board_count"), "select stock_code, trade_date, prior_high, prior_low, prev_ma5, prev_ma10, main_net_ratio, is_limit_up, board_count from ev"),
     "r16_candidates": (lambda s, d: S.candidates(screened(s, d), 2), "select * from (select *, row_number() over (partition by rule, trade_date order by score desc, stock_code) as place from screened) where place <= 2"),
-    "r17_reconcile": (reconciled, f"select rule, trade_date, stock_code, case when status is null then 'pending' when status in ('closed', 'expired') then status when n then status else 'cancelled' end as status, case when status is null then 'created' when status in ('closed', 'expired') then 'kept' when n then 'refreshed' else 'cancelled' end as action from (select rule, trade_date, stock_code, status from ({OLD})) o full join (select rule, trade_date, stock_code, true as n from screened where score >= 80) x using (rule, trade_date, stock_code)"),
+    "r17_reconcile": (reconciled, f"select rule, trade_date, stock_code, case when status is null then 'pending_confirmation' when status not in ('pending_confirmation', 'watching') or n then status else 'cancelled' end as status, case when status is null then 'created' when status not in ('pending_confirmation', 'watching') then 'kept' when n then 'refreshed' else 'cancelled' end as action from (select rule, trade_date, stock_code, status from ({OLD})) o full join (select rule, trade_date, stock_code, true as n from screened where score >= 80) x using (rule, trade_date, stock_code)"),
     "r18_signal_outcomes": (outcomes, "select * from outcomes"),
     "r19_qualify": (lambda s, d: S.qualify(SUMMARY_BY(s, d)), f"select *, days >= 120 and trades >= 300 and win_rate >= 50 and mean_return > 0 as qualified from ({_summary('outcomes', 'exit_reason')})"),
     "r20_train_end": (lambda s, d: S.train_end_date(trades_with_facts(s, d)), END),

@@ -5,6 +5,8 @@ They stand for canonical market tables where only the general test tables are at
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,20 @@ def slots(spark: SparkSession, folder: str) -> DataFrame:
     return _KEPT[key]
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, worked out now into the shared checkpoint folder and read from there: for small frames that a query names several times.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; only a local session without one gets its own.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the frames that this session keeps."""
     for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:

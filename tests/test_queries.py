@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeline.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["f01_daily_factors", "f05_daily_factors_v2", "f08_minute_factors", "a06_concept_metrics", "m09_concept_heat", "r05_ma_golden_cross", "r18_signal_outcomes", "c01_daily_bars", "c20_upsert", "c24_sync_membership", "p02_canonical_rows", "q01_coverage", "q02_gaps", "q05_asset_summary", "q07_readiness", "q06_daily_health", "j05_date_universe", "j14_latest_state", "f10_backfill_window", "a16_series", "r23_rank_trials", "x03_above_ma", "x05_limit_hits", "x06_sector_strength", "x07_pool_summary", "x09_timeline", "x17_entry_triggers", "x20_fresh_quotes", "w17_calendar_streak", "c02_daily_basic", "c03_moneyflow", "c05_limit_events", "c06_suspensions", "c07_index_daily", "c09_sector_bar", "c11_dragon_tiger", "c14_topics", "c21_insert_only", "c34_published", "p01_eligible", "p12_trend_history", "p17_stock_overview", "p17_stock_series", "p17_stock_session", "p17_stock_events", "q08_unit_samples", "j09_kth_open_after", "w15_history_percentile", "w22_baseline_ratio"]
+NAMES = ["f01_daily_factors", "f05_daily_factors_v2", "f08_minute_factors", "a06_concept_metrics", "m09_concept_heat", "r05_ma_golden_cross", "r18_signal_outcomes", "c01_daily_bars", "c20_upsert", "c24_sync_membership", "p02_canonical_rows", "q01_coverage", "q02_gaps", "q05_asset_summary", "q07_readiness", "q06_daily_health", "j05_date_universe", "j14_latest_state", "f10_backfill_window", "a16_series", "r23_rank_trials", "x03_above_ma", "x05_limit_hits", "x06_sector_strength", "x07_pool_summary", "x09_timeline", "x17_entry_triggers", "x20_fresh_quotes", "x02_overview", "x08_rank_delta", "x10_change_events", "x11_changed_quotes", "x15_merge_targets", "x16_opening_depth", "r17_reconcile", "w17_calendar_streak", "c02_daily_basic", "c03_moneyflow", "c05_limit_events", "c06_suspensions", "c07_index_daily", "c09_sector_bar", "c11_dragon_tiger", "c14_topics", "c21_insert_only", "c34_published", "p01_eligible", "p12_trend_history", "p17_stock_overview", "p17_stock_series", "p17_stock_session", "p17_stock_events", "q08_unit_samples", "j09_kth_open_after", "w15_history_percentile", "w22_baseline_ratio"]
 
 
 def plain(v):
@@ -36,18 +36,62 @@ def test_query_equals_sql(spark, name):
     assert got == sorted(tuple(plain(r[i]) for i in places) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("n", [10, 1000])
-def test_expected_stocks_follow_the_master(spark, n):
-    """850 of 1,000 stocks missing is no complete day; 10 of 10 is one."""
+def test_readiness_by_kinds_of_blocks(spark):
+    """Core blocks are measured by the day's bars; enhancements degrade, optional ones don't."""
     from tapeline.operators import quality as A
 
-    stocks = spark.range(n).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("stock_code"))
-    counts = spark.createDataFrame([(1, n, n, n), (2, n * 15 // 100, n, n), (3, n, n * 8 // 10, n)], "trade_date long, bars long, basic long, flow long")
-    got = {r.trade_date: (r.status, r.missing) for r in A.readiness(counts, stocks).collect()}
-    assert got == {1: ("complete", ""), 2: ("blocked", "bars"), 3: ("degraded", "basic")}
-    stats = spark.createDataFrame([("a", 5, n), ("b", 5, n * 9 // 10), ("c", 5, n // 10), ("d", 0, 0)], "asset string, rows long, stocks_at_latest long")
-    stale = stats.select("asset", F.lit(0).alias("stale_days"))
-    assert {r.asset: r.status for r in A.asset_summary(stats, stale, stocks).collect()} == {"a": "ok", "b": "partial", "c": "limited", "d": "empty"}
+    fine = {"active": 5000, "indexes": 7, "sectors": 400, "bars": 4800, "basic": 4600, "flow": 4600, "adjust": 4800, "index": 6, "technical": 4600, "events_captured": True, "sector_bars": 360, "sector_flow": 90, "sector_flow_captured": True, "market_stats": 3}
+    cases = {
+        1: ({}, "complete", ""), 2: ({"basic": 4320}, "blocked", "basic"), 3: ({"bars": 4700, "basic": 4500, "flow": 4500, "adjust": 4500}, "blocked", "bars"), 4: ({"index": 5}, "blocked", "index"), 5: ({"technical": 4500}, "degraded", "technical"),
+        6: ({"events_captured": False}, "degraded", "events"), 7: ({"sector_bars": 359, "adjust": None}, "blocked", "adjust,sector_bars"), 8: ({"sector_flow_captured": None}, "degraded", "sector_flow"), 9: ({"market_stats": 0}, "complete", "market_stats"),
+    }
+    df = spark.createDataFrame([(k, *(fine | change).values()) for k, (change, *_) in cases.items()], "trade_date long, " + ", ".join(f"{c} {'boolean' if v is True else 'long'}" for c, v in fine.items()))
+    assert {r.trade_date: (r.status, r.missing) for r in A.readiness(df).collect()} == {k: tuple(v[1:]) for k, v in cases.items()}
+
+
+def test_assets_are_judged_by_their_lag_and_by_active_stocks(spark):
+    from datetime import date
+
+    from tapeline.operators import quality as A
+
+    days = [date(2024, 1, i) for i in (2, 3)]
+    stocks = spark.createDataFrame([(f"{i}", "active" if i < 4 else "suspended") for i in range(6)], "stock_code string, status string")
+    rows = lambda *pairs: spark.createDataFrame([(c, d) for c, d in pairs], "stock_code string, trade_date date")
+    assets = {"a": rows(*[(f"{i}", d) for i in range(4) for d in days]), "b": rows(*[(f"{i}", days[1]) for i in range(3)]), "c": rows(*[(f"{i}", days[0]) for i in range(5)]), "d": rows(*[(f"{i}", days[0]) for i in range(4)])}
+    dates = spark.createDataFrame([(d,) for d in days], "trade_date date")
+    off = rows(("3", days[0]), ("5", days[1]))
+    cover = A.coverage(assets, dates, stocks, off)
+    assert {(r.asset, r.trade_date.day): (r.expected, r.actual, r.suspended, r.missing) for r in cover.collect() if r.asset in "bc"} == {("b", 2): (4, 0, 1, 3), ("b", 3): (4, 3, 0, 1), ("c", 2): (4, 4, 0, 0), ("c", 3): (4, 0, 0, 4)}
+    stats = A.table_stats(assets)
+    got = A.asset_summary(stats, A.stale_days(stats, dates), cover, {"d": 1})
+    assert {r.asset: r.status for r in got.collect()} == {"a": "ok", "b": "partial", "c": "stale", "d": "ok"}
+
+
+def test_only_open_candidates_are_refreshed_or_cancelled(spark):
+    from tapeline.operators import strategy as S
+
+    old = spark.createDataFrame([(1, "watching"), (2, "pending_confirmation"), (3, "entered"), (4, "rejected"), (5, "watching")], "k long, status string")
+    new = spark.createDataFrame([(1,), (3,), (6,)], "k long")
+    assert {r.k: (r.status, r.action) for r in S.reconcile_candidates(old, new, ["k"]).collect()} == {1: ("watching", "refreshed"), 2: ("cancelled", "cancelled"), 3: ("entered", "kept"), 4: ("rejected", "kept"), 5: ("cancelled", "cancelled"), 6: ("pending_confirmation", "created")}
+
+
+def test_what_followed_four_days_the_third_of_which_is_pending(spark):
+    """A day without scores gives no sample; the third day ahead counts compounded."""
+    from tapeline.operators import insight as I
+
+    scores = spark.createDataFrame([(1, 80.0, 20.0), (2, 30.0, None), (4, 55.0, 50.0)], "trade_date long, short_score double, risk_score double")
+    raw = spark.createDataFrame([(1, 50.0, 0.5), (2, 66.0, 1.0), (3, 42.0, -1.0), (4, 58.0, 2.0)], "trade_date long, up_ratio_pct double, core_index_trend double")
+    got = {(r.score, r.horizon, r.bucket): r for r in I.forward_validation(scores, raw).collect()}
+    assert {k: r["sample"] for k, r in got.items() if k[0] == "short"} == {("short", 1, "high"): 1, ("short", 1, "low"): 1, ("short", 1, "all"): 2, ("short", 3, "high"): 1, ("short", 3, "all"): 1}
+    high, all_ = got["short", 1, "high"], got["short", 1, "all"]
+    assert (high.mean_breadth, high.mean_core, high.breadth_above_50, high.relationship) == (66.0, 1.0, 100.0, None)
+    assert (all_.breadth_difference, all_.core_difference, all_.relationship, all_.rho_breadth) == (24.0, 2.0, "insufficient_samples", None)
+    assert got["short", 3, "high"].mean_core == round((1.01 * 0.99 * 1.02 - 1) * 100, 4)
+    assert got["risk", 1, "low"].mean_breadth == 66.0
+    many = spark.createDataFrame([(i, 20.0 + 60 * (i % 2), None) for i in range(40)], "trade_date long, short_score double, risk_score double")
+    path = spark.createDataFrame([(i, 40.0 + 20 * (i % 2 == 0), 0.0) for i in range(44)], "trade_date long, up_ratio_pct double, core_index_trend double")
+    one = {r.horizon: r for r in I.forward_validation(many, path).collect() if r.bucket == "all"}
+    assert one[1].relationship == "positive" and one[1].rho_breadth == 1.0 and one[1].breadth_difference == 20.0
 
 
 def test_trials_by_the_rules_of_both_splits(spark):
