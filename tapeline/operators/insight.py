@@ -188,15 +188,16 @@ def emotion_raw(market: DataFrame, events: DataFrame, bars: DataFrame, boards: D
     locked = one_word(F.col("limit_price"), F.col("open_price"), F.col("open_count"))
     limits = e.groupBy("trade_date").agg(F.count_if(up).alias("ups"), F.count_if(up & locked).alias("one_word"), F.count_if(up & ~locked).alias("natural"), F.count_if(F.col("event_type") == "limit_down").alias("downs"), F.count_if(F.col("event_type") == "limit_break").alias("breaks"))
     ladder = boards.groupBy("trade_date").agg(F.max("board_count").alias("highest"), F.count_if(F.col("board_count") >= 2).alias("multi"))
-    ups = events.filter(up).select(*KEY).distinct()
-    kept = prev_day_join(ups, ups, calendar).groupBy("trade_date").agg(F.count("*").alias("kept"))
-    before = ups.groupBy("trade_date").agg(F.count("*").alias("had")).join(calendar.select("trade_date", "next_trade_date"), "trade_date").select(F.col("next_trade_date").alias("trade_date"), "had")
-    top = heat.filter("heat_rank <= 5")
-    again = top.select("sector_code", "trade_date").join(F.broadcast(calendar.select("trade_date", "previous_trade_date")), "trade_date").join(top.select("sector_code", F.col("trade_date").alias("previous_trade_date")), ["sector_code", "previous_trade_date"]).groupBy("trade_date").agg(F.count("*").alias("again"))
-    themes = top.groupBy("trade_date").agg(F.count("*").alias("top")).join(calendar.select("trade_date", "next_trade_date"), "trade_date").select(F.col("next_trade_date").alias("trade_date"), F.col("top").alias("top_before"))
-    first = heat.filter("heat_rank = 1").select("trade_date", ratio("limit_ups", "priced").alias("theme_limit_up_density"), F.col("heat").alias("leader_strength"))
+    # What was there on the open day before is the row before of the same stock or sector, if it is of that day; and of days, the row before.
+    dates = F.broadcast(calendar.select("trade_date", "previous_trade_date"))
+    held = lambda df, key: df.withColumn("_last", F.lag("trade_date").over(W.by(key))).join(dates, "trade_date").withColumn("_held", F.coalesce(F.col("_last") == F.col("previous_trade_date"), F.lit(False)))
+    ups = held(events.filter(up).select(*KEY).distinct(), "stock_code").groupBy("trade_date").agg(F.count("*").alias("had"), F.count_if("_held").alias("kept"))
+    best = lambda c: F.max(F.when(F.col("heat_rank") == 1, c))
+    top = held(heat.filter("heat_rank <= 5").select("sector_code", "trade_date", "heat_rank", "limit_ups", "priced", "heat"), "sector_code")
+    themes = top.groupBy("trade_date").agg(F.count("*").alias("top"), F.count_if("_held").alias("again"), best(ratio("limit_ups", "priced")).alias("theme_limit_up_density"), best(F.col("heat")).alias("leader_strength"))
+    days = calendar.select("trade_date").join(ups, "trade_date", "left").join(themes, "trade_date", "left").withColumns({"had": F.lag("had").over(per_day()), "top_before": F.lag("top").over(per_day())}).drop("top")
     df = market
-    for other in (limits, ladder, kept, before, again, themes, first, premium.select("trade_date", F.col("premium").alias("previous_limit_up_premium")), index.select("trade_date", "index_change", "index_amplitude"), highs):
+    for other in (limits, ladder, days, premium.select("trade_date", F.col("premium").alias("previous_limit_up_premium")), index.select("trade_date", "index_change", "index_amplitude"), highs):
         df = df.join(other, "trade_date", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     df = W.baseline_ratio(df, "total_amount_yuan", 5, 5, "amount_vs_5d_average")
