@@ -120,7 +120,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, k: int
     new = F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0))
     hit = longest.withColumn("new", new).groupBy("digest").agg(F.sum("new").alias("n_hit"))
     named = hits.select("digest", "window").distinct().join(windows_of(spread, size).select("window", "item_id"), "window").groupBy("digest").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = rows.join(hit.join(named, "digest"), "digest", "left")
+    # A table of its own, so that the join with all documents is one that Spark can split where a text has very many copies.
+    out = rows.join(stored(hit.join(named, "digest")), "digest", "left")
     none = F.array().cast("array<string>")
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
 
