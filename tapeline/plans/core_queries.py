@@ -110,6 +110,20 @@ def ready_counts(spark, d):
     return df.join(fed, "trade_date", "left").crossJoin(F.broadcast(n)).withColumn("indexes", F.lit(2))  # one row
 
 
+def raw_depth(spark, d):
+    """Depths as a feed has them: JSON arrays of [price, volume], some levels empty, and more than five of them."""
+    level = lambda sign: F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.array((F.col("last_price") * (1 + sign * i * 0.001)).cast("double"), F.when((F.hour("round_time") + i) % 4 == 0, 0.0).otherwise(F.col("volume_share") * i).cast("double")))
+    return D.quotes(spark, d).select("stock_code", F.col("round_time").alias("depth_time"), F.to_json(level(-1)).alias("bids"), F.when(F.hour("round_time") % 6 != 0, F.to_json(level(1))).alias("asks"))
+
+
+def depth(spark, d):
+    """By side: levels kept, the first of them, and the volume of all."""
+    df = G.normalize_depth(raw_depth(spark, d))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["volume"])
+    one = lambda c: [F.size(c).cast("long").alias(f"{c}_n"), F.get(c, F.lit(0))["level"].cast("long").alias(f"{c}_first"), F.get(c, F.lit(0))["price"].alias(f"{c}_price"), total(c).alias(f"{c}_volume")]
+    return df.select("stock_code", "depth_time", *one("bids"), *one("asks"))
+
+
 def audit(spark, d):
     return D.calendar(spark, d).select("trade_date", F.explode(F.array(*map(F.lit, ("limit_list", "stk_limit", "suspend")))).alias("capability"), (F.col("idx") % 5).alias("k")).select("trade_date", "capability", F.when((F.col("k") == 0) & (F.col("capability") == "suspend"), "complete_zero").when((F.col("k") == 1) & (F.col("capability") == "stk_limit"), "failed").otherwise("captured").alias("status"))
 
@@ -164,6 +178,9 @@ TABLE = {
     "c15_stock_master": (lambda s, d: G.normalize_stock_master(raw_master(s, d)), "select code as stock_code, nm as stock_name, case when code[1] in ('8') or code like '920%' then 'excluded' when s_suppkey % 7 <> 0 and s_suppkey % 23 = 0 or s_suppkey % 13 = 0 then 'delisted' when s_suppkey % 7 = 0 then 'suspended' else 'active' end as status, nm like '*ST%' or nm like 'ST%' as is_st, date '2020-01-06' as list_date from rawm where code[1] <> '5'"),
     "c16_master_merge": (lambda s, d: G.merge_master(D.stocks(s, d).filter("stock_code > '000020'").select("stock_code", F.when(~F.col("is_st"), F.col("stock_name")).alias("stock_name"), "status", F.when(F.col("exchange") == "SH", "exchange").otherwise("other").alias("source")), D.stocks(s, d).filter("stock_code < '000080'").select("stock_code", F.lit("old").alias("stock_name"), F.when(F.col("region_key") == 1, "delisted").otherwise("active").alias("status"))), "select coalesce(n.stock_code, o.stock_code) as stock_code, coalesce(n.stock_name, o.stock_name) as stock_name, case when o.status = 'delisted' and not coalesce(n.source = 'exchange', false) then o.status else coalesce(n.status, o.status) end as status from (select stock_code, case when not is_st then stock_name end as stock_name, status, case when exchange = 'SH' then 'exchange' else 'other' end as source from stocks where stock_code > '000020') n full join (select stock_code, 'old' as stock_name, case when region_key = 1 then 'delisted' else 'active' end as status from stocks where stock_code < '000080') o on n.stock_code = o.stock_code"),
     "c17_quotes": (lambda s, d: G.normalize_quotes(D.quotes(s, d).select(F.col("stock_code").alias("ts_code"), s_("last_price").alias("last_price"), F.when(F.hour("round_time") != 3, s_("pre_close_price")).otherwise("0").alias("pre_close"), F.lit(None).cast("string").alias("change"), F.lit("").alias("pct"))).groupBy("stock_code").agg(F.count("*").alias("n"), F.count("change_pct").alias("with_change"), F.max("change_pct").alias("top"), F.min("change_amount").alias("low")), "select stock_code, count(*) as n, count(*) filter (hour(round_time) <> 3) as with_change, max(change_pct) filter (hour(round_time) <> 3) as top, min(last_price - pre_close_price) filter (hour(round_time) <> 3) as low from quotes group by 1"),
+    "c17_depth": (depth, """select stock_code, round_time as depth_time, len(k)::bigint as bids_n, k[1]::bigint as bids_first, last_price * (1 + -1 * k[1] * 0.001::double) as bids_price, coalesce(list_sum(k), 0)::bigint * volume_share as bids_volume,
+  case when not z then len(k)::bigint end as asks_n, case when not z then k[1]::bigint end as asks_first, case when not z then last_price * (1 + k[1] * 0.001::double) end as asks_price, case when not z then coalesce(list_sum(k), 0)::bigint * volume_share end as asks_volume
+  from (select *, list_filter([1, 2, 3, 4, 5], lambda i: (hour(round_time) + i) % 4 <> 0) as k, hour(round_time) % 6 = 0 as z from quotes)"""),
     "c18_trade_date": (lambda s, d: G.derive_trade_date(D.minutes(s, d).drop("trade_date")).groupBy("trade_date").agg(F.count("*").alias("n")), "select cast(bar_time + interval 8 hour as date) as trade_date, count(*) as n from minutes group by 1"),
     "c19_calendar": (lambda s, d: G.build_calendar(s, 2021, holidays(s, d)), "select x.trade_date, is_open, previous_trade_date, next_trade_date from days x left join (select trade_date, lag(trade_date) over (order by trade_date) as previous_trade_date, lead(trade_date) over (order by trade_date) as next_trade_date from days where is_open) o on o.trade_date = x.trade_date"),
     "c20_upsert": (lambda s, d: (lambda old, new: U.upsert(old, new.unionByName(new.withColumn("close_price", F.col("close_price") - 1)), KEY, [F.desc("close_price")]))(*old_new(s, d)), f"select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
