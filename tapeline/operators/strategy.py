@@ -202,13 +202,24 @@ def grid(spark: SparkSession, base: dict[str, float], stricter: dict[str, list[f
     return spark.createDataFrame([(i, changes(r), *[float(r[n]) for n in names]) for i, r in enumerate(rows)], "trial long, changes long, " + ", ".join(f"{n} double" for n in names))
 
 
-def evaluate_grid(trades: DataFrame, trials: DataFrame, facts: dict[str, str], end: DataFrame) -> DataFrame:
-    """Each trial's summary on the days to learn from and those held out. facts: the fact of a trade that each parameter bounds;
-    a missing fact fails the trade. Trials are at most 1000 rows and are sent to every task."""
+def _within(facts: dict[str, str]) -> Column:
+    """Whether a trade's facts are within a trial's bounds; a missing fact fails."""
     ok = F.lit(True)
     for name, fact in facts.items():
         ok = ok & ((F.col(fact) <= F.col(name)) if name.endswith("_max") else (F.col(fact) >= F.col(name)))
-    df = trades.crossJoin(F.broadcast(trials)).filter(ok).crossJoin(F.broadcast(end.select("train_end")))
+    return ok
+
+
+def grid_reach(trades: DataFrame, trials: DataFrame, facts: dict[str, str]) -> DataFrame:
+    """trials with how many trades, and on how many days, each lets through; 0 for none. Trials are at most 1000 rows and are sent to every task."""
+    got = trades.crossJoin(F.broadcast(trials.select("trial", *facts))).filter(_within(facts)).groupBy("trial").agg(F.count("*").alias("trades"), F.countDistinct("trade_date").alias("days"))
+    return trials.join(got, "trial", "left").fillna(0, ["trades", "days"])
+
+
+def evaluate_grid(trades: DataFrame, trials: DataFrame, facts: dict[str, str], end: DataFrame) -> DataFrame:
+    """Each trial's summary on the days to learn from and those held out. facts: the fact of a trade that each parameter bounds;
+    a missing fact fails the trade. Trials are at most 1000 rows and are sent to every task."""
+    df = trades.crossJoin(F.broadcast(trials)).filter(_within(facts)).crossJoin(F.broadcast(end.select("train_end")))
     return trade_summary(df.withColumn("split", F.when(F.col("trade_date") <= F.col("train_end"), "train").otherwise("test")), ["trial", "changes", "split"])
 
 

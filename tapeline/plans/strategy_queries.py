@@ -156,7 +156,7 @@ TABLE = {
     "r18_signal_outcomes": (outcomes, "select * from outcomes"),
     "r19_qualify": (lambda s, d: S.qualify(SUMMARY_BY(s, d)), f"select *, days >= 120 and trades >= 300 and win_rate >= 50 and mean_return > 0 as qualified from ({_summary('outcomes', 'exit_reason')})"),
     "r20_train_end": (lambda s, d: S.train_end_date(trades_with_facts(s, d)), END),
-    "r21_grid": (grid, GRID),
+    "r21_grid": (lambda s, d: S.grid_reach(trades_with_facts(s, d), grid(s, d), FACTS), "select g.*, coalesce(n, 0) as trades, coalesce(k, 0) as days from grid g left join (select trial, count(*) as n, count(distinct trade_date) as k from tf join grid on volume_ratio >= volume_ratio_min and close_position >= close_position_min group by 1) t on t.trial = g.trial"),
     "r22_evaluate_grid": (evaluated, EVAL),
     "r23_rank_trials": (lambda s, d: S.rank_trials(evaluated(s, d)), RANKED),
     "r24_cap_guard": (lambda s, d: S.cap_guard(screened(s, d), 5), "select rule, max(n) as peak, max(n) >= 5 as hit_cap from (select rule, trade_date, count(*) as n from screened group by 1, 2) group by 1"),
