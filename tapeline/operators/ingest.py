@@ -1,8 +1,12 @@
-"""Normalisers: raw vendor feeds (strings) to typed canonical rows. Rows with a bad key or date, or outside the universe, go."""
+"""Normalisers: raw vendor feeds (strings) to typed canonical rows. Rows with a bad key or date, or outside the universe, go.
+
+Sides that are broadcast here are the stock master (a row a listed stock), calendars (a row a day) and sector names: bounded by the market, not
+by the length of history.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -217,12 +221,14 @@ def normalize_depth(raw: DataFrame) -> DataFrame:
     return raw.select("stock_code", "depth_time", side("bids").alias("bids"), side("asks").alias("asks"))
 
 
-def build_calendar(spark: SparkSession, year: int, holidays: DataFrame) -> DataFrame:
-    """Each day of the year: open on weekdays that aren't holidays, with the open days around it (for open days only)."""
-    days = spark.sql(f"select explode(sequence(date '{year}-01-01', date '{year}-12-31')) as trade_date")
-    off = F.broadcast(holidays.select(F.col("day").alias("trade_date"), F.lit(True).alias("_off")).distinct())
+def build_calendar(span: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Each day of the years from first_year to last_year of span's one row: open on weekdays that aren't holidays (day), with the open
+    days around it (for open days only). One row a day."""
+    year = lambda c, m, d: F.make_date(F.col(c), F.lit(m), F.lit(d))
+    days = span.select(F.explode(F.sequence(year("first_year", 1, 1), year("last_year", 12, 31))).alias("trade_date"))
+    off = F.broadcast(holidays.select(F.col("day").alias("trade_date"), F.lit(True).alias("_off")).distinct())  # days, not rows
     df = days.join(off, "trade_date", "left").select("trade_date", (F.col("_off").isNull() & (F.dayofweek("trade_date") > 1) & (F.dayofweek("trade_date") < 7)).alias("is_open"))
-    w = Window.orderBy("trade_date")  # one year of days
+    w = Window.orderBy("trade_date")  # one row a day
     opened = df.filter("is_open").select("trade_date", F.lag("trade_date").over(w).alias("previous_trade_date"), F.lead("trade_date").over(w).alias("next_trade_date"))
     return df.join(opened, "trade_date", "left")
 

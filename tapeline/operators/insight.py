@@ -1,4 +1,8 @@
-"""Market insight: breadth, sentiment, emotion, concept heat, evidence and validation."""
+"""Market insight: breadth, sentiment, emotion, concept heat, evidence and validation.
+
+Sides that are broadcast here are the stock master (a row a listed stock), calendars (a row a day) and sector names: bounded by the market, not
+by the length of history.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Quality of data assets: coverage, gaps with reasons, staleness, readiness, audits; and pools of stocks."""
+"""Quality of data assets: coverage, gaps with reasons, staleness, readiness, audits; and pools of stocks.
+
+Sides that are broadcast here are the stock master (a row a listed stock), calendars (a row a day) and sector names: bounded by the market, not
+by the length of history.
+"""
 
 from __future__ import annotations
 

@@ -48,7 +48,12 @@ def raw_master(spark, d):
 
 
 def holidays(spark, d):
-    return D.table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.make_date(F.lit(2021), F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28))).alias("day")).distinct()
+    return D.table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+
+
+def years(spark, d):
+    y = F.year("o_orderdate")
+    return D.table(spark, d, "orders").agg(F.min(y).alias("first_year"), F.max(y).alias("last_year"))
 
 
 def sector_map(spark, d):
@@ -182,7 +187,7 @@ TABLE = {
   case when not z then len(k)::bigint end as asks_n, case when not z then k[1]::bigint end as asks_first, case when not z then last_price * (1 + k[1] * 0.001::double) end as asks_price, case when not z then coalesce(list_sum(k), 0)::bigint * volume_share end as asks_volume
   from (select *, list_filter([1, 2, 3, 4, 5], lambda i: (hour(round_time) + i) % 4 <> 0) as k, hour(round_time) % 6 = 0 as z from quotes)"""),
     "c18_trade_date": (lambda s, d: G.derive_trade_date(D.minutes(s, d).drop("trade_date")).groupBy("trade_date").agg(F.count("*").alias("n")), "select cast(bar_time + interval 8 hour as date) as trade_date, count(*) as n from minutes group by 1"),
-    "c19_calendar": (lambda s, d: G.build_calendar(s, 2021, holidays(s, d)), "select x.trade_date, is_open, previous_trade_date, next_trade_date from days x left join (select trade_date, lag(trade_date) over (order by trade_date) as previous_trade_date, lead(trade_date) over (order by trade_date) as next_trade_date from days where is_open) o on o.trade_date = x.trade_date"),
+    "c19_calendar": (lambda s, d: G.build_calendar(years(s, d), holidays(s, d)), "select x.trade_date, is_open, previous_trade_date, next_trade_date from days x left join (select trade_date, lag(trade_date) over (order by trade_date) as previous_trade_date, lead(trade_date) over (order by trade_date) as next_trade_date from days where is_open) o on o.trade_date = x.trade_date"),
     "c20_upsert": (lambda s, d: (lambda old, new: U.upsert(old, new.unionByName(new.withColumn("close_price", F.col("close_price") - 1)), KEY, [F.desc("close_price")]))(*old_new(s, d)), f"select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
     "c21_insert_only": (lambda s, d: U.upsert(*old_new(s, d), KEY, [F.desc("close_price")], mode="insert_only"), "select stock_code, trade_date, close_price + case when day(trade_date) > 20 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price from bars"),
     "c22_update_changed": (lambda s, d: U.update_changed(*old_new(s, d), KEY, "close_price"), "select stock_code, trade_date, close_price + case when day(trade_date) >= 15 and day(trade_date) % 2 = 0 then 1 else 0 end as close_price, day(trade_date) >= 15 and day(trade_date) % 2 = 0 as changed from bars where day(trade_date) <= 20"),
@@ -249,6 +254,6 @@ TABLE = {
     "l04_industry_groups": (lambda s, d: A.industry_groups(D.stocks(s, d), {"west": [0, 1], "east": [2, 3]}), "select case when region_key in (0, 1) then 'west' when region_key in (2, 3) then 'east' else 'other' end as group_name, count(distinct stock_code) as n, count(distinct industry) as industries from stocks group by 1"),
     "l05_sector_dashboard": (lambda s, d: A.sector_dashboard(Q.f06(s, d), A.catalog(D.stocks(s, d), D.members(s, d))), "select *, row_number() over (partition by trade_date order by mean_change desc nulls last, sector_code) as place from (select f.sector_code, max(trade_date) as trade_date, arg_max(mean_change, trade_date) as mean_change, first(net_inflow order by trade_date desc) as net_inflow, any_value(n) as n from f6 f left join catalog c on c.name = f.sector_code and kind = 'concept' group by 1)"),
 }
-MORE = {"days": "select trade_date, dayofweek(trade_date) between 1 and 5 and trade_date not in (select make_date(2021, month(o_orderdate), least(day(o_orderdate), 28)) from orders where o_orderkey % 97 = 0) as is_open from (select cast(unnest(generate_series(date '2021-01-01', date '2021-12-31', interval 1 day)) as date) as trade_date)", "vs": "select industry, trade_date, stock_code from bars join stocks using (stock_code) union all select industry, trade_date, stock_code from bars join stocks using (stock_code) where stock_code <= '000010'", "f5": Q.F5, "member_bars": Q.ASOF}
+MORE = {"days": "select trade_date, dayofweek(trade_date) between 1 and 5 and trade_date not in (select cast(o_orderdate as date) from orders where o_orderkey % 97 = 0) as is_open from (select cast(unnest(generate_series(make_date(lo, 1, 1), make_date(hi, 12, 31), interval 1 day)) as date) as trade_date from (select min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi from orders))", "vs": "select industry, trade_date, stock_code from bars join stocks using (stock_code) union all select industry, trade_date, stock_code from bars join stocks using (stock_code) where stock_code <= '000010'", "f5": Q.F5, "member_bars": Q.ASOF}
 QUERIES = {name: entry[0] for name, entry in TABLE.items()}
 ORACLES = {name: with_frames(entry[1], **{**ALL, **MORE}) for name, entry in TABLE.items()}
