@@ -52,7 +52,7 @@ def byte_level(vocabulary: str) -> Tokens:
     entries = [b""] * (max(ranks.values()) + 1)
     for entry, i in ranks.items():
         entries[i] = entry
-    return Tokens(lambda texts: [encoder.encode_ordinary(f" {x}") for x in texts], entries)
+    return Tokens(lambda texts: [encoder.encode_to_numpy(f" {x}", disallowed_special=()) for x in texts], entries)
 
 
 @lru_cache(maxsize=2)
@@ -108,30 +108,30 @@ def shared_ends(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarra
         low, high = np.concatenate([low, cut + 1]), np.concatenate([cut, high])
 
 
-def _ids(tokens: Tokens, raws: list[bytes], texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-    ids = tokens.encode(texts)
-    return ids, [b"".join(map(tokens.entries.__getitem__, x)) == b" " + raw for x, raw in zip(ids, raws, strict=True)]
-
-
 def _frame(rows: np.ndarray, doc_ids: list, raws: list[bytes], tokens: tuple[Tokens, Tokens], printed: list[bytes]) -> pd.DataFrame:
     """The rows of `alignments` for texts that one chunk holds."""
     n = len(raws)
     out = {"row": rows, "doc_id": pd.array(doc_ids, dtype="Int64"), **{c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}}
     groups, pair, count = [""] * n, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
     texts = [raw.decode() for raw in raws]
-    (ids_a, right_a), (ids_b, right_b) = _ids(tokens[0], raws, texts), _ids(tokens[1], raws, texts)
-    whole = [i for i in range(n) if raws[i] and right_a[i] and right_b[i]]
+    # Byte-level ids are those of the text's own bytes, so their lengths settle whether they spell it; pieces are compared.
+    ids_a, ids_b = tokens[0].encode(texts), tokens[1].encode(texts)
+    spelt = lambda i: tokens[0].lengths[ids_a[i]].sum() == len(raws[i]) + 1 and b"".join(map(tokens[1].entries.__getitem__, ids_b[i])) == b" " + raws[i]
+    whole = [i for i in range(n) if raws[i] and spelt(i)]
     if whole:
         n_a, n_b = (np.array([len(ids[i]) for i in whole]) for ids in (ids_a, ids_b))
-        a, b = (np.concatenate([np.array(ids[i], np.int64) for i in whole]) for ids in (ids_a, ids_b))
+        a, b = (np.concatenate([np.asarray(ids[i], np.int64) for i in whole]) for ids in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(tokens[0].lengths[a]), np.cumsum(tokens[1].lengths[b])
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
         shared_a = shared_ends(ends_a, ends_b, last_a - n_a, last_a)
         shared_b = np.zeros(len(b), bool)
         shared_b[np.searchsorted(ends_b, ends_a[shared_a])] = True
         # Two tokens overlap in one stretch of bytes that no end cuts, and each such stretch lies in one token of either.
-        stretches = np.sort(np.concatenate([ends_a, ends_b[~shared_b]]), kind="stable")
-        links = a[np.searchsorted(ends_a, stretches)] << 32 | b[np.searchsorted(ends_b, stretches)]
+        at_a, at_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        stretches = np.flatnonzero(at_a | at_b)
+        before = lambda at: (np.cumsum(at, dtype=np.int32) - at)[stretches]
+        links = a[before(at_a)] << 32 | b[before(at_b)]
         until = np.searchsorted(stretches, ends_a[last_a - 1], "right")
         # A token is printed with the mark that follows it; a group's tokens of A come before those of B.
         group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
