@@ -18,10 +18,12 @@ LEAST = 0.06
 
 @pytest.fixture(scope="module", autouse=True)
 def rocks(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], "2")  # each partition of each operator has a store of its own
     yield
-    spark.conf.set(name, before)
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
 
 
 def files(spark, df, folder, parts, order, first=0):
