@@ -17,8 +17,9 @@ def daily_factors(bars: DataFrame) -> DataFrame:
     df = df.withColumn("return_1d", (F.col("close_price") / F.when(F.col("_prev") != 0, F.col("_prev")) - 1) * 100)
     span = F.col("high_price") - F.col("low_price")
     base = F.coalesce("pre_close_price", "close_price")
-    df = df.withColumns({
-        **{f"ma{n}": F.round(W.sma("close_price", n), 6) for n in (5, 10, 20, 30, 60)},
+    widths = (5, 10, 20, 30, 60)
+    df = W.moving_means(df, "close_price", widths).withColumns({
+        **{f"ma{n}": F.round(f"mean_{n}", 6) for n in widths},
         "amplitude": span / F.when(base != 0, base) * 100,
         "volume_ratio": F.round(F.col("volume_hand") / F.when(W.prior_mean("volume_hand") != 0, W.prior_mean("volume_hand")), 6),
         "amount_ratio": F.round(F.col("amount_yuan") / F.when(W.prior_mean("amount_yuan") != 0, W.prior_mean("amount_yuan")), 6),
@@ -52,7 +53,9 @@ def daily_factors_v2(bars: DataFrame, adjust: DataFrame, basic: DataFrame, flow:
     ok = F.col("adj_factor")
     returns = {f"return_{k}d": F.when(ok.isNotNull() & W.lag_k("adj_factor", k).isNotNull(), (F.col("s_close") / W.lag_k("s_close", k) - 1) * 100) for k in (1, 3, 5, 10, 20)}
     df = df.withColumns(returns | {"_delta": F.col("s_close") - W.lag_k("s_close", 1), "history_days": W.history_days().cast("long"), "fallback": ok.isNull()})
-    ma = {f"ma{n}": W.guarded(F.round(W.sma("s_close", n) / F.col("factor"), 6), ok, n) for n in (5, 10, 20, 30, 60, 90, 250)}
+    widths = (5, 10, 20, 30, 60, 90, 250)
+    df = W.moving_means(df, "s_close", widths)
+    ma = {f"ma{n}": W.guarded(F.round(F.col(f"mean_{n}") / F.col("factor"), 6), ok, n) for n in widths}
     high = {f"high_{n}d": W.guarded(W.rolling_extreme("s_high", n, "max") / F.col("factor"), ok, n) for n in (20, 60)}
     low = {f"low_{n}d": W.guarded(W.rolling_extreme("s_low", n, "min") / F.col("factor"), ok, n) for n in (20, 60)}
     df = df.withColumns(ma | high | low | {
@@ -61,7 +64,7 @@ def daily_factors_v2(bars: DataFrame, adjust: DataFrame, basic: DataFrame, flow:
     })
     df = df.withColumn("drawdown_60d", (F.col("close_price") / F.col("high_60d") - 1) * 100)
     df = df.join(basic.select(*KEY, "turnover_rate"), KEY, "left").join(flow.select(*KEY, "main_net_inflow"), KEY, "left")
-    names = ["ma5", "ma10", "ma20", "ma30", "ma60", "ma90", "ma250"]
+    names = list(ma)
     if technical is not None:
         vendor = technical.select(*KEY, *[F.col(n).alias(f"v_{n}") for n in names])
         df = df.join(vendor, KEY, "left").withColumns({n: F.coalesce(f"v_{n}", n) for n in names})
@@ -113,11 +116,23 @@ def chip_features(chips: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def member_spans(members: DataFrame) -> DataFrame:
+    """members with spans of a stock and sector that overlap made one; open bounds are null. No day lies in two of them."""
+    w = Window.partitionBy("stock_code", "sector_code").orderBy(F.asc_nulls_first("start_date"))
+    end = F.coalesce("end_date", F.lit("9999-12-31").cast("date"))
+    reached = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = members.withColumn("_apart", F.when(reached.isNull() | F.coalesce(F.col("start_date") > reached, F.lit(False)), 1).otherwise(0))
+    df = df.withColumn("_span", W.running("_apart", "sum", w.orderBy(F.asc_nulls_first("start_date"), F.desc("_apart"))))
+    bound = lambda c, fn: F.when(F.count_if(F.col(c).isNull()) == 0, fn(c)).alias(c)
+    return df.groupBy("stock_code", "sector_code", "_span").agg(bound("start_date", F.min), bound("end_date", F.max)).drop("_span")
+
+
 def membership_asof(facts: DataFrame, members: DataFrame) -> DataFrame:
-    """facts with the sectors that each stock is a member of on its day; open bounds are null. One row a day, stock and sector."""
+    """facts with the sectors that each stock is a member of on its day; open bounds are null. Each row of facts meets a sector at most
+    once, as members' spans are made disjoint first: facts by sectors, the large side, are neither shuffled nor made distinct."""
     inside = (F.col("start_date").isNull() | (F.col("start_date") <= F.col("trade_date"))) & (F.col("end_date").isNull() | (F.col("trade_date") <= F.col("end_date")))
-    m = members.select(F.col("stock_code").alias("_c"), "sector_code", "start_date", "end_date")
-    return facts.join(m, (F.col("stock_code") == F.col("_c")) & inside).drop("_c", "start_date", "end_date").dropDuplicates(["trade_date", "stock_code", "sector_code"])
+    m = member_spans(members).withColumnRenamed("stock_code", "_c")
+    return facts.join(m, (F.col("stock_code") == F.col("_c")) & inside).drop("_c", "start_date", "end_date")
 
 
 def sector_factors(bars: DataFrame, flow: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Window helpers and factors against values worked out by hand."""
 
+import math
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -76,3 +78,33 @@ def test_grid_is_stricter_only_and_ordered_by_changes(spark):
 def test_entity_windows_share_one_exchange(spark):
     plan = X.daily_factors(rising(spark, 5))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_moving_means_and_gaps_equal_a_loop(spark):
+    """Two stocks, nulls and values of very different size: a running sum loses nothing."""
+    rng = random.Random(5)
+    rows = [(c, date(2020, 1, 1) + timedelta(days=i), None if rng.random() < 0.2 else rng.choice([1e-6, 1.0, 1e9]) * rng.random()) for c in "ab" for i in range(300)]
+    df = spark.createDataFrame(rows, "stock_code string, trade_date date, x double")
+    got = W.moving_means(df, "x", (1, 5, 250)).withColumns({f"ok_{n}": W.guarded(F.lit(1), "x", n) for n in (1, 5)})
+    found = {(r.stock_code, r.trade_date): r for r in got.collect()}
+    for code in "ab":
+        own = [r for r in rows if r[0] == code]
+        for i, (_, day, _) in enumerate(own):
+            r = found[code, day]
+            for n in (1, 5, 250):
+                known = [v for *_, v in own[max(0, i - n + 1) : i + 1] if v is not None]
+                assert (r[f"mean_{n}"] is None) == (not known) and (not known or abs(r[f"mean_{n}"] - math.fsum(known) / len(known)) <= 1e-15 * max(1, max(known)))
+            for n in (1, 5):
+                assert r[f"ok_{n}"] == (None if any(v is None for *_, v in own[max(0, i - n + 1) : i + 1]) else 1)
+
+
+def test_overlapping_spans_give_a_sector_once(spark):
+    """Open bounds, spans inside others, equal starts and a span that ends before it begins, against each day asked for by itself."""
+    rng = random.Random(6)
+    day = lambda i: date(2024, 1, 1) + timedelta(days=i)
+    spans = [(s, c, None if rng.random() < 0.15 else day(a), None if rng.random() < 0.15 else day(a + rng.randint(-2, 6))) for s in "xy" for c in "abcdef" for a in rng.sample(range(30), 4)]
+    members = spark.createDataFrame(spans * 2, "sector_code string, stock_code string, start_date date, end_date date")
+    facts = spark.createDataFrame([(c, day(i), i) for c in "abcdefg" for i in range(40)], "stock_code string, trade_date date, i int")
+    got = sorted((r.stock_code, r.i, r.sector_code) for r in X.membership_asof(facts, members).collect())
+    inside = lambda d, a, b: (a is None or a <= d) and (b is None or d <= b)
+    assert got == sorted({(c, i, s) for s, c, a, b in spans for i in range(40) if inside(day(i), a, b)})
