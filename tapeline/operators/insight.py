@@ -177,12 +177,23 @@ def concept_heat(metrics: DataFrame, ready: DataFrame | None = None, least: int
 
 
 def sector_leaders(bars: DataFrame, members: DataFrame, events: DataFrame, flow: DataFrame, heat: DataFrame, sectors: int = 24, k: int = 3) -> DataFrame:
-    """The first k stocks of each of the day's hottest sectors: limit-ups first, then by change and inflow."""
+    """The first k stocks of each of the day's hottest sectors: limit-ups first, then by change and inflow.
+
+    A stock's place among all of its day is the same in each of its sectors, so it is told before sectors are met. Stocks by sectors, the
+    large side, are neither shuffled nor sorted: they are gone through for the best place in each of 4k cells of a sector and day, and
+    again for those not behind the k-th best of these. That bound, a row a day and sector, is broadcast.
+    """
     ups = events.filter("event_type = 'limit_up'").select(*KEY, F.lit(1).alias("up")).distinct()
-    rows = membership_asof(bars, members).join(heat.filter(F.col("heat_rank") <= sectors).select("trade_date", "sector_code"), ["trade_date", "sector_code"], "left_semi")
-    rows = rows.join(ups, KEY, "left").join(flow.select(*KEY, "main_net_inflow"), KEY, "left")
-    order = Window.partitionBy("trade_date", "sector_code").orderBy(F.desc_nulls_last("up"), F.desc_nulls_last("change_pct"), F.desc_nulls_last("main_net_inflow"), "stock_code")
-    return rows.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k).select("trade_date", "sector_code", "place", "stock_code", F.col("up").isNotNull().alias("limit_up"))
+    rows = bars.select(*KEY, "change_pct").join(ups, KEY, "left").join(flow.select(*KEY, "main_net_inflow"), KEY, "left")
+    order = Window.partitionBy("trade_date").orderBy(F.desc_nulls_last("up"), F.desc_nulls_last("change_pct"), F.desc_nulls_last("main_net_inflow"), "stock_code")
+    met = membership_asof(rows.withColumn("_at", F.row_number().over(order)).select(*KEY, "up", "_at"), members)
+    sector = ["trade_date", "sector_code"]
+    cells = met.groupBy(*sector, F.pmod(F.xxhash64("stock_code"), F.lit(4 * k)).alias("_cell")).agg(F.min("_at").alias("_best"))
+    bound = cells.groupBy(*sector).agg(F.get(F.array_sort(F.collect_list("_best")), F.lit(k - 1)).alias("_bound"))  # null: fewer than k cells
+    bound = bound.join(heat.filter(F.col("heat_rank") <= sectors).select(*sector), sector, "left_semi")
+    near = met.join(F.broadcast(bound), sector).filter("_bound is null or _at <= _bound")
+    df = near.withColumn("place", F.row_number().over(Window.partitionBy(*sector).orderBy("_at")).cast("long")).filter(F.col("place") <= k)
+    return df.select(*sector, "place", "stock_code", F.col("up").isNotNull().alias("limit_up"))
 
 
 def emotion_raw(market: DataFrame, events: DataFrame, bars: DataFrame, boards: DataFrame, heat: DataFrame, premium: DataFrame, index: DataFrame, highs: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -135,3 +135,30 @@ def test_entries_need_fresh_depth_and_history(spark):
     candidates = spark.createDataFrame([(n, mode.get(n, "open")) for n in names], "stock_code string, entry_mode string")
     got = {r.stock_code: r.reason for r in X.entry_triggers(candidates, quotes, depth, minutes, "2024-01-10 10:00:00").collect()}
     assert got == {"ok": "entry_confirmation_matched", "old quote": "quote_stale_or_missing", "old depth": "depth_stale_or_missing", "no ask": "executable_ask_missing", "auction few": "auction_depth_history_insufficient", "minutes few": "minute_history_insufficient", "low": "gap_below_range", "high": "gap_above_range", "near": "near_limit_up_queue"}
+
+
+def test_leaders_of_sectors_without_sorting_stocks_by_sectors(spark):
+    """Against a loop: sectors of one stock to all, ties, missing changes and flows, spans that end, a sector that isn't hot."""
+    from datetime import date
+
+    from tapeline.operators import insight as I
+
+    days, codes = [date(2024, 1, i) for i in (2, 3, 4)], [f"{i:06d}" for i in range(40)]
+    bars = [(c, d, None if (i + d.day) % 11 == 0 else float((i * 7 + d.day) % 9)) for i, c in enumerate(codes) for d in days]
+    ups = {(c, d) for i, c in enumerate(codes) for d in days if (i * d.day) % 13 == 1}
+    flows = {(c, d): float((i * 3) % 5) for i, c in enumerate(codes) for d in days if i % 4}
+    members = [(f"s{k}", c, None, days[1] if i % 3 == 0 else None) for k in (1, 2, 5, 40) for i, c in enumerate(codes) if i % k == 0] + [("cold", codes[0], None, None)]
+    heat = spark.createDataFrame([(d, s, 1) for d in days for s in ("s1", "s2", "s5", "s40")] + [(d, "cold", 25) for d in days], "trade_date date, sector_code string, heat_rank long")
+    df = I.sector_leaders(
+        spark.createDataFrame(bars, "stock_code string, trade_date date, change_pct double"), spark.createDataFrame(members, "sector_code string, stock_code string, start_date date, end_date date"),
+        spark.createDataFrame([(c, d, "limit_up") for c, d in sorted(ups)], "stock_code string, trade_date date, event_type string"), spark.createDataFrame([(*key, v) for key, v in flows.items()], "stock_code string, trade_date date, main_net_inflow double"), heat,
+    )
+    low, expected = float("-inf"), []
+    for d in days:
+        for s in ("s1", "s2", "s5", "s40"):
+            there = {c for n, c, _, end in members if n == s and (end is None or d <= end)}
+            best = sorted((((c, d) not in ups, -(low if v is None else v), -flows.get((c, d), low), c) for c, x, v in bars if x == d and c in there))
+            expected += [(d, s, i, c, not no) for i, (no, _, _, c) in enumerate(best[:3], 1)]
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
+    windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in x and "sector_code" in x.split("windowspecdefinition")[-1].split(" ASC")[0]]
+    assert windows and not any("change_pct" in x.split("windowspecdefinition")[-1] for x in windows)
