@@ -162,3 +162,17 @@ def test_leaders_of_sectors_without_sorting_stocks_by_sectors(spark):
     assert sorted(map(tuple, df.collect())) == sorted(expected)
     windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in x and "sector_code" in x.split("windowspecdefinition")[-1].split(" ASC")[0]]
     assert windows and not any("change_pct" in x.split("windowspecdefinition")[-1] for x in windows)
+
+
+def test_medians_of_flow_sizes_by_cells(spark):
+    """Even and odd numbers of rows, middles in one cell and in two, many zeros, nulls; no task takes all values of a size."""
+    import statistics
+
+    from tapeline.operators import quality as A
+
+    sizes = {"below_1e4": [0.0] * 50 + [-0.5, 3.0, -9999.0], "below_1e5": [10000.0, -20000.0, 30000.0, 90000.0], "above": [1e5, 1e5, -100010.0, 5e9, 100020.0]}
+    df = spark.createDataFrame([(v,) for vs in sizes.values() for v in vs] + [(None,)] * 3, "main_net_inflow double")
+    out = A.unit_audit(df)
+    got = {r.bucket: (r.n, r.low, r.high, r.median_size) for r in out.collect()}
+    assert got == {k: (len(v), min(v), max(v), statistics.median(map(abs, v))) for k, v in sizes.items()} | {"null": (3, None, None, None)}
+    assert out.columns == ["bucket", "n", "low", "high", "median_size"] and "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
