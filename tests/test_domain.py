@@ -2,6 +2,9 @@
 
 import re
 
+import pytest
+
+from tapeline.plans import registry
 from tapeline.sources import domain as D
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +27,18 @@ def test_stock_days_take_their_first_and_last_line_by_order_and_number(spark, tm
     a, b = D._slots(spark, str(tmp_path)).orderBy("s").collect()
     assert (a.open_price, a.close_price, a.last_discount, a.last_quantity, a.last_line, a.last_part) == (21 * (1 + (0.04 - 0.04)), 21 * (1 + (0.07 - 0.05) * 2), 0.07, 49.0, 2, 7)
     assert (a.volume_hand, a.amount_yuan, a.net_all, a.net_big, a.net_super) == (100, 600.0, -100.0, -200.0, 0.0) and (b.s, b.last_part, b.stock_code) == (2, 8, "000001")
+
+
+@pytest.mark.parametrize("name", ["c32_missing_keys", "c22_update_changed", "c20_upsert", "c21_insert_only", "u04_overlap", "c23_merge_features", "q02_gaps", "f10_backfill_window", "w07_guarded"])
+def test_frames_of_stock_days_meet_without_an_exchange(spark, name):
+    """Rows by stock and day stay where their stock is, also where no side is small enough to be broadcast."""
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        df = registry.QUERIES[name](spark, FOLDER)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "InMemoryTableScan" in final and not re.findall(r"Exchange hashpartitioning\(stock_code#\d+, trade_date#\d+.*", final)
+    finally:
+        spark.conf.set(conf, was)
