@@ -29,7 +29,7 @@ def test_stock_days_take_their_first_and_last_line_by_order_and_number(spark, tm
     assert (a.volume_hand, a.amount_yuan, a.net_all, a.net_big, a.net_super) == (100, 600.0, -100.0, -200.0, 0.0) and (b.s, b.last_part, b.stock_code) == (2, 8, "000001")
 
 
-@pytest.mark.parametrize("name", ["c32_missing_keys", "c22_update_changed", "c20_upsert", "c21_insert_only", "u04_overlap", "c23_merge_features", "q02_gaps", "f10_backfill_window", "w07_guarded"])
+@pytest.mark.parametrize("name", ["c32_missing_keys", "j05_date_universe", "c22_update_changed", "c20_upsert", "c21_insert_only", "u04_overlap", "c23_merge_features", "q02_gaps", "f10_backfill_window", "w07_guarded"])
 def test_frames_of_stock_days_meet_without_an_exchange(spark, name):
     """Rows by stock and day stay where their stock is, also where no side is small enough to be broadcast."""
     conf = "spark.sql.autoBroadcastJoinThreshold"
