@@ -62,10 +62,11 @@ def scd2_apply(current: DataFrame, snapshot: DataFrame, keys: list[str], as_of:
 
 def latest_complete_snapshot(df: DataFrame, by: str, date: str, member: str, expected: int) -> DataFrame:
     """The members of each `by` on its newest date with at least `expected` of them, else on its newest date; pruned counts the repeated rows that went."""
-    days = df.groupBy(by, date).agg(F.countDistinct(member).alias("_m"), F.count("*").alias("_rows"))
+    rows = df.groupBy(by, date, member).agg(F.count("*").alias("_n"))
+    days = rows.groupBy(by, date).agg(F.count(member).alias("_m"), F.sum("_n").alias("_rows"))
     best = days.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("_m") >= expected, F.col(date))), F.max(date)).alias(date))
     chosen = best.join(days, [by, date]).withColumn("pruned", F.col("_rows") - F.col("_m")).drop("_m", "_rows")
-    return df.join(chosen, [by, date]).dropDuplicates([by, date, member])
+    return df.join(F.broadcast(chosen), [by, date]).dropDuplicates([by, date, member])  # one row for each `by`
 
 
 def compact(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

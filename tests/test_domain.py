@@ -42,3 +42,18 @@ def test_frames_of_stock_days_meet_without_an_exchange(spark, name):
         assert "InMemoryTableScan" in final and not re.findall(r"Exchange hashpartitioning\(stock_code#\d+, trade_date#\d+.*", final)
     finally:
         spark.conf.set(conf, was)
+
+
+def test_rows_of_snapshots_stay_where_their_stock_is(spark):
+    """Members are counted in place, and the one chosen date a group is sent to the rows, not the rows to it."""
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        df = registry.QUERIES["c26_complete_snapshot"](spark, FOLDER)
+        df.collect()
+        final = re.split(r"^\+- == Initial Plan ==", df._jdf.queryExecution().executedPlan().toString(), flags=re.M)[0]
+        assert re.search(r"BroadcastHashJoin \[industry#\d+, trade_date#\d+\]", final) and not re.search(r"Exchange hashpartitioning\(industry#\d+, trade_date#\d+, stock_code#\d+", final)
+        assert not re.search(r"SortMergeJoin \[industry#\d+, trade_date#\d+\]", final.split("BroadcastExchange")[0])
+    finally:
+        spark.conf.set(conf, was)
