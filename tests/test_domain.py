@@ -44,6 +44,17 @@ def test_frames_of_stock_days_meet_without_an_exchange(spark, name):
         spark.conf.set(conf, was)
 
 
+def test_lines_of_stock_days_are_not_held_by_the_writer_of_many_parts(spark):
+    """A session's many shuffle partitions don't make Spark's writer hold a map task's lines."""
+    conf = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "432")
+    try:
+        assert D._slots(spark, FOLDER).rdd.getNumPartitions() == 200
+    finally:
+        spark.conf.set(conf, was)
+
+
 def test_rows_of_snapshots_stay_where_their_stock_is(spark):
     """Members are counted in place, and the one chosen date a group is sent to the rows, not the rows to it."""
     conf = "spark.sql.autoBroadcastJoinThreshold"
