@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +30,23 @@ DEFAULTS: dict[str, dict[str, float]] = {
 }
 
 
-def evaluation_frame(bars: DataFrame, factors: DataFrame, basic: DataFrame, flow: DataFrame, events: DataFrame, boards: DataFrame, best_rank: DataFrame) -> DataFrame:
-    """Everything that a rule reads of a stock and day: bar, factors, the row before, prior extremes, basic, flow, event, boards, best heat rank."""
+def evaluation_frame(bars: DataFrame, factors: DataFrame, basic: DataFrame | None = None, flow: DataFrame | None = None, events: DataFrame | None = None, boards: DataFrame | None = None, best_rank: DataFrame | None = None) -> DataFrame:
+    """Everything that a rule reads of a stock and day: bar, factors, the row before, prior extremes, basic, flow, event, boards, best heat rank.
+
+    Sides that are left out aren't joined, and their columns aren't there: a rule that reads them fails. Rules of bars and factors need no other."""
     f = factors.select(*KEY, "ma5", "ma10", "ma20", "ma60", "volume_ratio", "amount_ratio", "volatility_20d", "close_position", "history_days")
-    kinds = events.groupBy(*KEY).agg(F.max(F.col("event_type") == "limit_up").alias("is_limit_up"), F.max(F.col("event_type") == "limit_break").alias("is_break"), F.max(F.when(F.col("event_type") == "limit_up", F.col("open_count"))).alias("open_count"))
     df = bars.withColumns({"prior_high": W.prior_extreme("high_price", 20), "prior_low": W.prior_extreme("low_price", 20, "min")})
     df = df.join(f, KEY, "left").withColumns({"prev_ma5": W.lag_k("ma5", 1), "prev_ma10": W.lag_k("ma10", 1)})
-    df = df.join(basic.select(*KEY, "turnover_rate"), KEY, "left").join(flow.select(*KEY, "main_net_inflow"), KEY, "left").withColumn("main_net_ratio", F.col("main_net_inflow") / F.when(F.col("amount_yuan") != 0, F.col("amount_yuan")) * 100)
-    return df.join(kinds, KEY, "left").join(boards.select(*KEY, "board_count"), KEY, "left").join(best_rank, KEY, "left")
+    if basic is not None:
+        df = df.join(basic.select(*KEY, "turnover_rate"), KEY, "left")
+    if flow is not None:
+        df = df.join(flow.select(*KEY, "main_net_inflow"), KEY, "left").withColumn("main_net_ratio", F.col("main_net_inflow") / F.when(F.col("amount_yuan") != 0, F.col("amount_yuan")) * 100)
+    if events is not None:
+        kinds = events.groupBy(*KEY).agg(F.max(F.col("event_type") == "limit_up").alias("is_limit_up"), F.max(F.col("event_type") == "limit_break").alias("is_break"), F.max(F.when(F.col("event_type") == "limit_up", F.col("open_count"))).alias("open_count"))
+        df = df.join(kinds, KEY, "left")
+    if boards is not None:
+        df = df.join(boards.select(*KEY, "board_count"), KEY, "left")
+    return df.join(best_rank, KEY, "left") if best_rank is not None else df
 
 
 def rule(name: str, config: dict[str, float] | None = None) -> tuple[Column, Column]:
@@ -97,6 +108,15 @@ def screen(frame: DataFrame, name: str, config: dict[str, float] | None = None)
     return frame.filter(ok).select(*KEY, F.lit(name).alias("rule"), F.round(score, 4).alias("score"))
 
 
+def screen_all(frame: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """What `screen` gives for each of the rules, together. The frame is gone through once for all of them: a union would work it out for
+    each rule, and Spark runs the parts of a union that are dealt alike one after another in the same task, which keeps all their memory."""
+    found = [(n, *rule(n)) for n in names]
+    matched = frame.filter(reduce(operator.or_, [ok for _, ok, _ in found]))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.round(score, 4).alias("score"), ok.alias("_ok")) for n, ok, score in found]))
+    return matched.select(*KEY, each.alias("_")).filter("_._ok").select(*KEY, "_.rule", "_.score")
+
+
 def universe_gate(frame: DataFrame, stocks: DataFrame, days: int = 60, amount: float = 80_000_000) -> DataFrame:
     """Adds reason: the first gate that a row fails, or null."""
     s = stocks.select("stock_code", "exchange", "is_st", "status")

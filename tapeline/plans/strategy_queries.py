@@ -26,12 +26,8 @@ def gated(spark, d):
 
 
 def screened(spark, d):
-    f = frame(spark, d)
-    out = None
-    for name in ("trend_breakout", "ma_golden_cross", "volume_price_surge"):
-        part = S.screen(f, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The rows that three rules of bars and factors match; these need no other side."""
+    return S.screen_all(S.evaluation_frame(D.bars(spark, d), Q.f01(spark, d)), ("trend_breakout", "ma_golden_cross", "volume_price_surge"))
 
 
 def outcomes(spark, d):

@@ -176,3 +176,25 @@ def test_medians_of_flow_sizes_by_cells(spark):
     got = {r.bucket: (r.n, r.low, r.high, r.median_size) for r in out.collect()}
     assert got == {k: (len(v), min(v), max(v), statistics.median(map(abs, v))) for k, v in sizes.items()} | {"null": (3, None, None, None)}
     assert out.columns == ["bucket", "n", "low", "high", "median_size"] and "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_screened_in_one_pass_over_the_frame(spark):
+    """Rows that match none, one and several rules, and rows that lack inputs, as rule by rule; the
+    stock days are read twice for all rules, and r17 sorts only what was found."""
+    from tapeline.operators import strategy as S
+    from tapeline.plans import strategy_queries as Q
+
+    names = tuple(S.DEFAULTS)
+    columns = ["open_price", "high_price", "low_price", "close_price", "change_pct", "amount_yuan", "prior_high", "prior_low", "ma5", "ma10", "ma20", "ma60", "volume_ratio", "amount_ratio", "volatility_20d", "close_position", "prev_ma5", "prev_ma10", "turnover_rate", "main_net_inflow", "main_net_ratio"]
+    high = [9.8, 10.6, 9.5, 10.5, 5.0, 1e6, 10.4, 9.4, 10.3, 10.2, 10.0, 9.0, 2.0, 2.0, 1.0, 0.9, 10.0, 10.1, 9.0, 10.0, 1.0]
+    rows = [(f"{i}", 1, *high, i % 2 == 0, i % 3 == 0, None if i % 4 else 1, 1 + i % 3, i % 25) for i in range(24)]
+    rows += [(f"n{k}", 1, *[None if j == k else v for j, v in enumerate(high)], None, None, None, None, None) for k in range(len(high))]
+    rows += [("low", 1, *[-1.0] * len(high), False, False, None, 0, None), ("x", 1, *[None] * len(high), None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "stock_code string, trade_date long, " + ", ".join(f"{c} double" for c in columns) + ", is_limit_up boolean, is_break boolean, open_count int, board_count long, best_rank long")
+    one_by_one = sorted(tuple(r) for n in names for r in S.screen(frame, n).collect())
+    out = S.screen_all(frame, names)
+    assert sorted(map(tuple, out.collect())) == one_by_one and out.columns == ["stock_code", "trade_date", "rule", "score"] and {r[2] for r in one_by_one} == set(names)
+    for query, scans, sorts in ((Q.screened, 2, 0), (Q.reconciled, 4, 2)):
+        execution = query(spark, FOLDER)._jdf.queryExecution()
+        assert execution.optimizedPlan().toString().count("InMemoryRelation") == scans and "Union" not in execution.optimizedPlan().toString()
+        assert execution.executedPlan().toString().count("- Sort [rule") == sorts
