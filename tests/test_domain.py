@@ -68,3 +68,11 @@ def test_rows_of_snapshots_stay_where_their_stock_is(spark):
         assert not re.search(r"SortMergeJoin \[industry#\d+, trade_date#\d+\]", final.split("BroadcastExchange")[0])
     finally:
         spark.conf.set(conf, was)
+
+
+def test_kept_frame_is_in_small_batches(spark):
+    """Large batches that a task has read stay on its heap until it ends."""
+    df = D.slots(spark, FOLDER)
+    rows = df.count()
+    kept = df._jdf.queryExecution().withCachedData().cacheBuilder()
+    assert rows > 4000 and kept.cachedColumnBuffers().count() >= rows / D.BATCH_ROWS > df.rdd.getNumPartitions()
